@@ -41,3 +41,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application (a zip sent like any --py-files)."""
+    import shutil
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="cairn-package-")
+    parts = shutil.ignore_patterns("__pycache__", "*.pyc")
+    shutil.copytree(root, os.path.join(folder, "tree", os.path.basename(root)), ignore=parts)
+    archive = shutil.make_archive(os.path.join(folder, os.path.basename(root)), "zip", os.path.join(folder, "tree"))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
