@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["chunking", "fusion", "leakage"]
+MODULES = ["vectors", "chunking", "fusion", "packing", "leakage"]
 
 QUERIES: dict = {}
 SQL: dict = {}
