@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "chunking", "fusion", "packing", "leakage"]
+MODULES = ["vectors", "chunking", "fusion", "packing", "leakage", "spans"]
 
 QUERIES: dict = {}
 SQL: dict = {}
