@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["vectors", "syntax", "chunking", "fusion", "packing", "leakage", "spans"]
+MODULES = ["vectors", "syntax", "chunking", "fusion", "docpairs", "packing", "leakage", "spans"]
 
 QUERIES: dict = {}
 SQL: dict = {}
