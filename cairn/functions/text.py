@@ -89,7 +89,7 @@ def _first_of_equal(items: Column, key) -> Column:
 
 def clean_strings(c: Column | str, limit: int) -> Column:
     """Trimmed non-empty strings, the first of those equal without case, at most `limit`."""
-    items = F.filter(F.transform(c, F.trim), lambda x: x.isNotNull() & (x != ""))
+    items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.slice(_first_of_equal(items, F.lower), 1, limit)
 
 
@@ -108,7 +108,7 @@ def is_generic_behaviour(x: Column) -> Column:
 
 def clean_behaviours(c: Column | str, limit: int = 8) -> Column:
     """Trimmed non-empty behaviours that are not stock phrases, at most `limit`."""
-    items = F.filter(F.transform(c, F.trim), lambda x: x.isNotNull() & (x != "") & ~is_generic_behaviour(x))
+    items = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "") & ~is_generic_behaviour(x))
     return F.slice(items, 1, limit)
 
 

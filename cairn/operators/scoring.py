@@ -336,11 +336,10 @@ SQL = {
 SELECT path, coalesce(arg_min(record_id, {'a': -score, 'b': record_id}) FILTER (WHERE is_file), arg_min(record_id, {'a': -score, 'b': record_id})) AS record_id,
   round(max(score) + least((count(*) - 1) * 0.015::DOUBLE, 0.06), 6) AS score, count(*) AS related_hits,
   count(DISTINCT CASE WHEN entity_type = 'symbol' THEN sym END)::INT AS symbols FROM h GROUP BY path""",
-    "evidence_score": f"""WITH e AS (SELECT DISTINCT * FROM candidate_evidence)
-SELECT query_id, record_id, round(
-  coalesce(greatest(0.04, 0.24 / (1 + abs(CASE WHEN NOT isnan(fts_rank::DOUBLE) THEN fts_rank::DOUBLE END))) * CASE WHEN NOT isnan(fts_rank::DOUBLE) THEN 1 END * {_P.lexical}, 0)
-  + coalesce(0.08 / sqrt(dense_rank + 1.0) * {_P.semantic}, 0) + coalesce(CASE WHEN NOT isnan(exact_score::DOUBLE) THEN exact_score::DOUBLE END, 0)
-  + coalesce(CASE WHEN NOT isnan(graph_score::DOUBLE) THEN graph_score::DOUBLE END, 0) * {_P.graph} + CASE WHEN card_hint THEN {0.16 * _P.card} ELSE 0 END, 5) AS score FROM e""",
+    "evidence_score": f"""WITH e AS (SELECT DISTINCT query_id, record_id, CASE WHEN fts_rank::VARCHAR <> 'nan' THEN fts_rank::DOUBLE END AS f, dense_rank AS d,
+    CASE WHEN exact_score::VARCHAR <> 'nan' THEN exact_score::DOUBLE END AS x, CASE WHEN graph_score::VARCHAR <> 'nan' THEN graph_score::DOUBLE END AS g, card_hint AS c FROM candidate_evidence)
+SELECT query_id, record_id, round(CASE WHEN f IS NOT NULL THEN greatest(0.04, 0.24 / (1 + abs(f))) * {_P.lexical} ELSE 0 END
+  + coalesce(0.08 / sqrt(d + 1.0) * {_P.semantic}, 0) + coalesce(x, 0) + coalesce(g, 0) * {_P.graph} + CASE WHEN c THEN {0.16 * _P.card} ELSE 0 END, 5) AS score FROM e""",
     "graph_candidate_score": f"""WITH r AS (SELECT DISTINCT ON (record_id) record_id, lower(coalesce(content, '') || ' kind ' || coalesce(metadata['kind'], '') || ' tag ' || coalesce(metadata['tag'], '')) AS t FROM semantic_records)
 SELECT record_id, CASE WHEN {_EDGE} THEN 0.25 ELSE 0.0 END::DOUBLE + CASE WHEN contains(t, 'blast_radius') OR contains(t, 'blast radius') THEN 0.25 ELSE 0.0 END::DOUBLE AS graph_score
 FROM r WHERE {_EDGE} OR contains(t, 'blast_radius') OR contains(t, 'blast radius')""",

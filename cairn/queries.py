@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with QUERIES (name -> callable) and SQL (name -> text), in the order of registration.
-MODULES = [f"cairn.operators.{m}" for m in ("incremental", "references", "bm25", "dense", "scoring", "graph")]
+MODULES = [f"cairn.operators.{m}" for m in ("incremental", "references", "bm25", "dense", "scoring", "graph", "textops", "records")]
 
 QUERIES: dict = {}
 SQL: dict = {}
