@@ -136,7 +136,7 @@ def p5_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bad_sql() -> str:
-    worst = lambda c, s: f"min(CASE WHEN {c} IS NULL OR isnan({c}::DOUBLE) THEN 'inf'::DOUBLE ELSE {s} * {c}::DOUBLE END) AS {c}"
+    worst = lambda c, s: f"min(CASE WHEN {c} IS NULL OR {c}::VARCHAR = 'nan' THEN 'inf'::DOUBLE ELSE {s} * {c}::DOUBLE END) AS {c}"
     cols = ", ".join(worst(c, s) for c, (s, _) in EVIDENCE.items())
     return f"SELECT query_id, record_id, {cols} FROM candidate_evidence GROUP BY ALL"
 
