@@ -33,6 +33,9 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     schema = f"query_id {query_type}, id {id_type}, score double"
     if not found:
         return rows.sparkSession.createDataFrame([], f"{schema}, pos int")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_type = to_arrow_type(queries.schema["query_id"].dataType)
     matrix, names = np.array([r["embedding"] for r in found], np.float64).T, [r["query_id"] for r in found]
 
     def run(batches):
@@ -46,7 +49,7 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             floor = np.take_along_axis(scores, best, 0).min(axis=0)
             at, q = np.nonzero(scores >= floor)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([names[j] for j in q]), ids.take(pa.array(at)), pa.array(scores[at, q])], ["query_id", "id", "score"]
+                [pa.array([names[j] for j in q], arrow_type), ids.take(pa.array(at)), pa.array(scores[at, q])], ["query_id", "id", "score"]
             )
 
     partial = rows.filter(F.size("embedding") == width).select("id", "embedding").mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import importlib
 MODULES = [
     f"cairn.operators.{m}"
     for m in ("incremental", "references", "bm25", "dense", "scoring", "graph", "textops", "records", "delta", "reports", "read")
-]
+] + ["cairn.plans.search"]
 
 QUERIES: dict = {}
 SQL: dict = {}
