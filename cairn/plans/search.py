@@ -170,7 +170,7 @@ def search_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_symbols(spark: SparkSession, d: str) -> DataFrame:
-    h = _search_table(spark, d, "where is bind_schema defined", "symbol", 12)
+    h = _search_table(spark, d, "where are fetch, pack and merge defined", "symbol", 12)
     return h.select("record_id", F.round("score", 6).alias("score"), F.array_join("matched_terms", ",").alias("terms"))
 
 

@@ -1,0 +1,29 @@
+"""Every core query runs on the smallest tables, and has the rows of its SQL where it has one."""
+
+import os
+
+import pytest
+
+from cairn import queries
+from tests.conftest import SMALL, normalised
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_query(spark, oracle, name):
+    df = queries.QUERIES[name](spark, SMALL)
+    rows = df.collect()
+    if name in queries.SQL:
+        columns, expected = oracle(queries.SQL[name])
+        assert sorted(columns) == sorted(df.columns)
+        assert normalised(df.columns, rows) == normalised(columns, expected)
+    else:
+        assert rows
+
+
+def test_entry_and_registry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() >= 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())
