@@ -55,7 +55,8 @@ g assert
 D del
 p pass break continue
 G global nonlocal
-H match case type
+H match type
+J case
 0 None True False ...
 ( (
 ) )

@@ -38,22 +38,22 @@ def _cross(left, right) -> set[str]:
 
 def python_pairs() -> set[str]:
     """What may follow what in Python."""
-    names, ends, closers = "NH", "NH0S)]}", ")]}"
-    begins = "NH0S([{"
+    names, ends, closers = "NHJ", "NHJ0S)]}", ")]}"
+    begins = "NHJ0S([{"
     prefix = "nlAm~"
     operand = begins + prefix
     infix = "aiIocm*^@"
     p = _cross(ends, infix + "n=u:,.;fers>YFMV" + "([" + closers + "$") | {"SS"}
     p |= _cross("aiIocm*^@=uV>fe", operand) | {"=y", "uy", "In", "ni", "=*", "e:"}
     p |= _cross("nAm~", operand)
-    p |= _cross("l", "NH*^:o") | _cross(",", operand + closers + "*^$=:io;y")
-    p |= _cross(":", operand + closers + ",:*^y=" + "RpqDgGMF;" + INDENT)
-    p |= {".N", ".H", "..", ".M", ".0", "F.", "F0"} | _cross("([{", operand + closers + "*^:yo") | _cross("*", ",)") | _cross("o", ",)")
+    p |= _cross("l", "NHJ*^:o") | _cross(",", operand + closers + "*^$=:io;y")
+    p |= _cross(":", operand + "],:*^y=" + "RpqDgGMF;" + INDENT)
+    p |= {".N", ".H", ".J", "..", ".M", ".0", "F.", "F0"} | _cross("([{", operand + closers + "*^:yo") | _cross("*", ",)") | _cross("o", ",)")
     p |= _cross("y", operand + "F*$;=," + closers) | _cross("[", ":")
     p |= _cross("$;", operand + "*yfEerwYdkRFMWtxzqgDpG@") | {";$"}
     p |= _cross("tz", ":") | _cross("x", operand + "*:") | _cross("R", operand + "*$;") | _cross("p", "$;") | _cross("q", operand + "$;")
-    p |= _cross("dkG", names) | _cross("D", begins + "*") | _cross("gfEwWF@", operand) | _cross("r", begins + "*") | _cross("M", "NH(*")
-    p |= _cross("s", "NH([{0S*m") | {"Yd", "Yr", "YW", "*$"} | _cross("H", operand + "*^")
+    p |= _cross("dkG", names) | _cross("D", begins + "*") | _cross("gfEwWF@", operand) | _cross("r", begins + "*") | _cross("M", "NHJ(*")
+    p |= _cross("s", "NHJ([{0S*m") | {"Yd", "Yr", "YW", "*$"} | _cross("HJ", operand + "*^")
     return p - {":$"}
 
 
@@ -97,8 +97,8 @@ PERMISSIBLE = {"py": python_pairs(), "rs": rust_pairs(), "ts": typescript_pairs(
 
 # ------------------------------------------------------------------------------------------ statement productions
 def _python_productions() -> re.Pattern:
-    nm, op = "[NH]", "[mo*^@]"
-    trailer = rf"(?:[NH0]|S+|[①②③])(?:\.{nm}|①|②)*+"
+    nm, op = "[NHJ]", "[mo*^@]"
+    trailer = rf"(?:[NHJ0]|S+|[①②③])(?:\.{nm}|①|②)*+"
     unary = rf"[m~]*+A?{trailer}"
     arith = rf"{unary}(?:{op}{unary})*+"
     boolean = rf"n*+{arith}(?:(?:c|ni|In?|i){arith})*+(?:an*+{arith}(?:(?:c|ni|In?|i){arith})*+)*+"
@@ -117,7 +117,7 @@ def _python_productions() -> re.Pattern:
     item = rf"{expr}(?:s{trailer})?"
     heads = "|".join([
         rf"[fEw]{named}", rf"Y?r{targets}i{many}", "[etz]", rf"x(?:\*?{expr}(?:s{nm})?)?", rf"Y?W{item}(?:,{item})*", rf"Y?d{nm}②?①(?:>{expr})?",
-        rf"k{nm}②?①?", r"H[^:]+",
+        rf"k{nm}②?①?", r"[HJ][^:]+",
     ])
     suite = rf"(?:{simple})(?:;(?:{simple}))*;?"
     return re.compile(rf"(?:(?:{heads}):(?:{suite})?|{suite}|@{named})\Z")
@@ -146,6 +146,8 @@ def _line_ok(skeleton: str) -> bool:
 
 # ------------------------------------------------------------------------------------------ lexing into rows
 _INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+#: A macro's arguments are any tokens: their pairs do not count.
+_MACRO = re.compile(r"N!N?[(\[{][^()\[\]{}]*[)\]}]|" + _INNER.pattern)
 _LAYOUT = re.compile(r"\$.", re.S)
 _NOT_BRACKET = re.compile(r"[^()\[\]{}]+")
 _PAIR = re.compile(r"\(\)|\[\]|\{\}")
@@ -153,17 +155,23 @@ _MATCH = {"(": ")", "[": "]", "{": "}"}
 _decoded: dict[str, str] = {}
 
 
-def _collapse(s: str, pairs: set, clean) -> str:
+def _collapse(s: str, pairs: set, clean, inner: re.Pattern = _INNER) -> str:
     """`s` with every bracket group as one operand; the pairs inside the groups go into `pairs`."""
 
     def group(m: re.Match) -> str:
         g = m.group()
+        if g[0] == "N":
+            head = g[: 3 if g[2] == "N" else 2]
+            g = g[len(head) :]
+            if ERROR in g:
+                pairs.add(ERROR + ERROR)
+            return head + (_GROUP_OF[g[0]] if g[-1] == _MATCH[g[0]] else ERROR)
         inside = clean(g)
         pairs.update(map(add, inside, inside[1:]))
         return _GROUP_OF[g[0]] if g[-1] == _MATCH[g[0]] else ERROR
 
     while True:
-        s, n = _INNER.subn(group, s)
+        s, n = inner.subn(group, s)
         if not n:
             return s
 
@@ -194,8 +202,8 @@ def _python_rows(text: str):
     marks = []
     flat = _collapse(s, pairs, lambda g: _LAYOUT.sub("", g) if "$" in g else g)
     lines = [x for x in flat.split("$")[1:] if len(x) > 1]
-    stack, last, seq = [0], "", 0
-    for i, line in enumerate(lines):
+    stack, last, opened = [0], "", ""
+    for line in lines:
         indent, code = ord(line[0]) - INDENT_BASE, line[1:]
         if indent > stack[-1]:
             stack.append(indent)
@@ -216,7 +224,12 @@ def _python_rows(text: str):
         head = code[0]
         if head == "Y" and len(code) > 1:
             head = {"d": "d", "r": "r"}.get(code[1], "h")
-        head = "d" if head == "k" else head if head in "fEerwtxz@d" else "h"
+        if head in "HJ" and len(code) > 2 and ":" in code and code[1] not in ":=.,u":
+            head = "m" if head == "H" and code[-1] == ":" else "c" if head == "J" else "h"
+        head = "d" if head == "k" else head if head in "fEerwtxz@dmc" else "h"
+        if marks and marks[-1] == INDENT and opened == "m" and head != "c":
+            marks.append(ERROR)
+        opened = head
         if head != "h" or not marks or marks[-1] != "h":
             marks.append(head)
         if not _line_ok(code):
@@ -235,7 +248,7 @@ def _rust_rows(text: str):
     s = rust_classes(text)
     pairs: set = set()
     marks = [b for line in s.split("\n") for b in _open_brackets(line)]
-    flat = _collapse(s.replace("\n", ""), pairs, lambda g: "" if "$" in g else g)
+    flat = _collapse(s.replace("\n", ""), pairs, lambda g: "" if "$" in g else g, _MACRO)
     whole = START + flat + END
     pairs.update(map(add, whole, whole[1:]))
     if not _RS_FILE.match(flat):
@@ -281,8 +294,8 @@ def permissible_pairs(spark: SparkSession) -> DataFrame:
 
 
 #: Which head may come just before, on the same level of the same block.
-AFTER = {"E": ["f", "E"], "e": ["f", "E", "r", "w", "x"], "x": ["t", "x"], "z": ["t", "x", "e"]}
-BEFORE = {"t": ["x", "z"], "@": ["@", "d"]}
+AFTER = {"c": ["c", INDENT], "E": ["f", "E"], "e": ["f", "E", "r", "w", "x"], "x": ["t", "x"], "z": ["t", "x", "e"]}
+BEFORE = {"t": ["x", "z"], "@": ["@", "d"], "c": ["c", DEDENT]}
 
 
 def invalid_ids(documents: DataFrame) -> DataFrame:
@@ -301,7 +314,7 @@ def invalid_ids(documents: DataFrame) -> DataFrame:
     level = Window.partitionBy("id", "level").orderBy("seq")
     prev, following = F.lag("code").over(level), F.lead("code").over(level)
     opener = F.when(code == ")", "(").when(code == "]", "[").when(code == "}", "{").otherwise(INDENT)
-    wrong = F.when(F.col("bad"), True).when(closes, ~prev.eqNullSafe(opener) & ~((code == DEDENT) & (prev.isin(*"hfEerwxzd")) & prev.isNotNull()))
+    wrong = F.when(F.col("bad"), True).when(closes, ~prev.eqNullSafe(opener) & ~((code == DEDENT) & (prev.isin(*"hfEerwxzdmc")) & prev.isNotNull()))
     wrong = wrong.when(opens & (code != INDENT), ~following.eqNullSafe(F.when(code == "(", ")").when(code == "[", "]").otherwise("}")))
     for head, before in AFTER.items():
         wrong = wrong.when((code == head) & ~F.coalesce(prev.isin(*before), F.lit(False)), True)
