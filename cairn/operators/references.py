@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.ids import canonical_path
 from cairn.session import table
 
 
+DAY_MICROS = 86_400_000_000
+
+
+def utc_day(at) -> Column:
+    """The UTC day of a timestamp, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(at) / DAY_MICROS).cast("int"))
+
+
 def parent_lifetimes(df: DataFrame, key, since, until=None) -> DataFrame:
     """(key, since, until): one row for each non-null key. A key lives from its earliest `since`; it is dead from
     `until` on if all its rows have one (the latest counts), else for ever."""
@@ -33,11 +41,11 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     over the distinct (fk, day) pairs, so a key that a third of all rows share is one row of it.
     """
     keys = refs.filter(F.col("fk").isNotNull() & F.col("day").isNotNull()).select("fk", "day").distinct()
-    midnight = F.date_add(F.col("k.day"), 1).cast("timestamp")
+    midnight = (F.unix_date(F.col("k.day")) + 1).cast("long") * DAY_MICROS
     alive = (
         (F.col("k.fk") == F.col("p.key"))
-        & (F.col("p.since") < midnight)
-        & (F.col("p.until").isNull() | (F.col("p.until") >= midnight))
+        & (F.unix_micros("p.since") < midnight)
+        & (F.col("p.until").isNull() | (F.unix_micros("p.until") >= midnight))
     )
     orphans = keys.alias("k").join(parents.alias("p"), alive, "left_anti")
     return refs.join(orphans, ["fk", "day"], "left_semi")
@@ -45,7 +53,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
 
 def _refs(df: DataFrame, name: str, row_key, fk, at) -> DataFrame:
     return df.select(
-        F.lit(name).alias("table_name"), row_key.cast("string").alias("row_key"), fk.alias("fk"), F.to_date(at).alias("day")
+        F.lit(name).alias("table_name"), row_key.cast("string").alias("row_key"), fk.alias("fk"), utc_day(at).alias("day")
     )
 
 
