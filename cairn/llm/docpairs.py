@@ -311,7 +311,7 @@ _TS_FUNCTION = re.compile(r"\bfunction\b\s*\*?\s*([\w$]+)\s*(?=[(<])")
 _TS_ARROW = re.compile(r"\bconst\s+([\w$]+)\s*(?::(?:[^=;]|=>)+?)?=(?![=>])\s*(?:async\b\s*)?(?=[(<\w$])")
 _TS_CLASS = re.compile(r"\b(?:class|interface)\b\s*([\w$]*)[^{};]*\{")
 _TS_METHOD = re.compile(
-    r"(?<![\w$.@])((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
+    r"(?<=[\n;{})])[ \t\r]*((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
 )
 _TS_RETURN = re.compile(r"\s*(?::[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)*?)?\s*\{")
 _TS_TO_ARROW = re.compile(r"\s*(?::[^;=]*?)?\s*=>\s*")
@@ -380,13 +380,13 @@ def _typescript_pairs(text: str):
             brace = code[a.end() : a.end() + 1] == "{"
             found.append((m.group(1), m.start(), m.start(), a.end() if brace else -1, None if brace else a.end()))
     for m in _TS_METHOD.finditer(code):
-        name = m.group(2)
-        if name in _NOT_METHODS or not classes.get(blocks.around(m.start())):
+        name, begin = m.group(2), m.start(1)
+        if name in _NOT_METHODS or not classes.get(blocks.around(begin)):
             continue
         close = _close_of(code, m.end() - 1)
         r = _TS_RETURN.match(code, close + 1) if close > 0 else None
-        if r and not code[: m.start()].rstrip().endswith(("=", "=>", ",", "(", "?", ":", "new", "return")):
-            found.append((name, m.start(), m.start(2), r.end() - 1, None))
+        if r:
+            found.append((name, begin, m.start(2), r.end() - 1, None))
     for name, _, _, at, _ in found:
         if at >= 0:
             blocks.names.setdefault(at, name)
