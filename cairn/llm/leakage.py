@@ -97,7 +97,7 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     docs = documents.filter(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("doc"))
     pairs = (
         docs.join(broadcast_if_small(candidates), "doc_id")
-        .join(broadcast_if_small(texts.withColumnRenamed("text", "item"), 20_000), "item_id")
+        .join(broadcast_if_small(texts.withColumnRenamed("text", "item"), 2_000), "item_id")
         .select("doc_id", "item_id", "doc", "item")
     )
     return pairs.mapInArrow(_verified, "doc_id long, item_id long").distinct()
