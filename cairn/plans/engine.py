@@ -18,7 +18,9 @@ from cairn.operators.dense import late_tokens
 from cairn.plans.planner import PREWARM_QUERIES, task_query, wants_tests
 from cairn.plans.search import search, without_details
 from cairn.providers import Embedder, Enricher, HashEmbedder, Reranker, TemplateEnricher, embed_column, late_vectors, summarise_column
+from cairn.session import checkpoint
 from cairn.sources.parse import code_chunks, symbol_facts, with_imports, with_snippets, with_symbols
+
 from cairn.sources.scan import file_facts, read_repository
 from cairn.store import VersionedStore
 
@@ -250,7 +252,8 @@ class Engine:
         if not self.store.current():
             return self.index() | {"changed": None}
         old = {n: self.store.read(n) for n in TABLES}
-        parsed = self._resolved(self.parsed())
+        found = checkpoint(self.parsed())  # the texts are parsed once
+        parsed = checkpoint(self._resolved(found))
         change = D.snapshot_delta(old["files"], parsed)
         if change.is_noop():
             return self.summary() | {"changed": 0}
@@ -259,7 +262,7 @@ class Engine:
         cards = D.delete_by_key(old["file_cards"], change.affected_files.select("id").unionByName(change.changes.select(F.col("file_id").alias("id"))), "file_id")
         folder_cards = D.delete_by_key(old["folder_cards"], change.affected_folders, "folder_id")
         repo_cards = old["repo_cards"] if not change.repo_card_stale.first()[0] else old["repo_cards"].limit(0)
-        self._write(self.parsed(), cards, folder_cards, repo_cards, self.config.enrich, old)
+        self._write(found, cards, folder_cards, repo_cards, self.config.enrich, old)
         self.log.event("finished", command="update", changed=changed)
         return self.summary() | {"changed": changed}
 
