@@ -6,9 +6,8 @@ and looks into that and `PROBES` perturbed ones, in the order of the estimated s
 distances to the cell borders). Pairs that meet in any table carry a 64-bit sign sketch each; pairs whose sketches are
 too far apart for `min_cosine` are dropped before the vectors are joined and the exact cosine is taken.
 
-A bucket of more than `FULL` vectors is not paired: its vectors go on to the next level, where cells are half as wide,
-so the pairs of a dense region are found among nearer ones. Vectors that still share such a bucket on the last level
-are closer than any rounding of the rank needs; there each meets its next `LINKS` ones in the bucket's order.
+A bucket of more than `FULL` vectors is compared by matrix products instead of pair by pair: its members and all vectors
+that look into it are split into blocks of `BLOCK`, and each vector keeps its nearest ones of every block.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from cairn.session import broadcast_if_small, checkpoint, table
 
 DIMENSION, NEIGHBOURS, MIN_COSINE = 64, 5, 0.93
 TABLES, HASHES, PROBES, WIDTH = 4, 16, 10, 2.0
-FULL, LEVELS, LINKS, SEED = 400, 4, 16, 20240229
+FULL, BLOCK, SLICE, SEED = 400, 4096, 512, 20240229
 
 
 def perturbation_sets(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -111,36 +110,96 @@ def _hashed(level: int, probes: int):
     return run
 
 
-def candidate_pairs(points: DataFrame, min_cosine: float) -> DataFrame:
-    """(a, b) with a < b: pairs of ids of `points` (id, vec) that the tables and the sketches propose, once each."""
-    limit, found, members = sketch_limit(min_cosine), [], points
-    for level in range(LEVELS):
-        entries = members.mapInArrow(_hashed(level, 0), "bucket long, id long, sketch long")
-        probes = members.mapInArrow(_hashed(level, PROBES), "bucket long, id long, sketch long")
-        hot = checkpoint(entries.groupBy("bucket").count().filter(F.col("count") > FULL).select("bucket"))
-        any_hot = not hot.isEmpty()
-        if any_hot:
-            marked = broadcast_if_small(hot)
-            crowded = entries.join(marked, "bucket", "left_semi")
-            entries, probes = (x.join(marked, "bucket", "left_anti") for x in (entries, probes))
-        met = entries.alias("e").join(probes.alias("p"), "bucket").filter(
-            (F.col("e.id") != F.col("p.id")) & (F.bit_count(F.col("e.sketch").bitwiseXOR(F.col("p.sketch"))) <= limit)
-        )
-        found.append(met.select(F.least("e.id", "p.id").alias("a"), F.greatest("e.id", "p.id").alias("b")))
-        if not any_hot:
-            break
-        if level == LEVELS - 1:
-            w = Window.partitionBy("bucket", F.pmod(F.shiftright("sketch", 8), F.lit(64))).orderBy("sketch", "id")
-            after = F.array(*[F.lead("id", i).over(w) for i in range(1, LINKS + 1)])
-            links = crowded.withColumn("after", after).select(F.col("id").alias("x"), F.explode("after").alias("y"))
-            links = links.filter("y IS NOT NULL AND x <> y")
-            found.append(links.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        else:
-            members = checkpoint(points.join(crowded.select("id").distinct(), "id", "left_semi"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
+def _exact(a, b, r, c) -> np.ndarray:
+    """Cosines of the rows `r` of `a` with the rows `c` of `b`, rounded to six places."""
+    out = [(a[r[i : i + 65536]] * b[c[i : i + 65536]]).sum(axis=1) for i in range(0, len(r), 65536)]
+    return np.round(np.concatenate(out), 6) if out else np.empty(0)
+
+
+def nearest(a, ids, b, others, firsts, k: int, least: float, known=None):
+    """(row, cosine, first, other): for every row of `a` the k nearest rows of `b` of another id and of cosine `least` or
+    more, ties by `firsts`; `known` is the result over earlier rows of `b` and is merged in.
+
+    Products in single precision choose what is taken exactly: all within their error of the k-th best.
+    """
+    fa, fb = a.astype(np.float32), b.astype(np.float32)
+    floor = np.full(len(a), least)
+    if known is not None:
+        full = np.bincount(known[0], minlength=len(a)) >= k
+        worst = np.full(len(a), np.inf)
+        np.minimum.at(worst, known[0], known[1])
+        floor = np.where(full, np.maximum(floor, worst), floor)
+    rows, columns = [], []
+    for s in range(0, len(a), SLICE):
+        cos, low = fa[s : s + SLICE] @ fb.T, floor[s : s + SLICE]
+        if known is None and len(b) > k + 1:  # one more, as the row itself may be among them
+            low = np.maximum(low, np.partition(cos, len(b) - k - 1, axis=1)[:, len(b) - k - 1])
+        r, c = np.nonzero(cos >= (low - 1e-5)[:, None])
+        other = ids[s + r] != others[c]
+        rows.append(s + r[other])
+        columns.append(c[other])
+    r, c = np.concatenate(rows), np.concatenate(columns)
+    cos = _exact(a, b, r, c)
+    keep = cos >= least
+    r, c, cos = r[keep], c[keep], cos[keep]
+    found = (r, cos, firsts[c], others[c])
+    if known is not None:
+        found = tuple(np.concatenate(x) for x in zip(known, found))
+    order = np.lexsort((found[3], found[2], -found[1], found[0]))
+    found = tuple(x[order] for x in found)
+    start = np.searchsorted(found[0], found[0])
+    return tuple(x[np.arange(len(start)) - start < k] for x in found)
+
+
+def _names(column) -> np.ndarray:
+    """Strings as bytes, which sort as in Spark."""
+    return np.array([x.encode() for x in column.to_pylist()], "S")
+
+
+def _block_pairs(k: int, least: float):
+    def run(members: pa.Table, probing: pa.Table) -> pa.Table:
+        out = [np.empty((0, 2), np.int64)]
+        if members.num_rows and probing.num_rows:
+            m, p = ((_matrix(x["vec"].combine_chunks()), x["id"].to_numpy(), _names(x["first"])) for x in (members, probing))
+            for (a, ids, _), (b, others, firsts) in ((m, p), (p, m)):
+                near = nearest(a, ids, b, others, firsts, k, least)
+                out.append(np.stack([ids[near[0]], near[3]], axis=1))
+        pairs = np.concatenate(out)
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+
+    return run
+
+
+def crowded_pairs(points: DataFrame, entries: DataFrame, probes: DataFrame, k: int, least: float) -> DataFrame:
+    """(a, b): for the members `entries` of crowded buckets and all `probes` into them (bucket, id), the k nearest of
+    every vector in every block of the other side. Both sides are split by id, so no task has more than a few blocks."""
+    blocks = lambda x, n: x.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    sizes = checkpoint(blocks(entries, "m").join(blocks(probes, "p"), "bucket"))
+    sizes, place = broadcast_if_small(sizes), lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = entries.select("bucket", "id").join(sizes, "bucket").select("bucket", "id", place("m").alias("i"), every("p").alias("j"))
+    probing = probes.select("bucket", "id").join(sizes, "bucket").select("bucket", "id", place("p").alias("j"), every("m").alias("i"))
+    grouped = [x.join(points, "id").select("bucket", "i", "j", "id", "vec", "first").groupBy("bucket", "i", "j") for x in (members, probing)]
+    return grouped[0].cogroup(grouped[1]).applyInArrow(_block_pairs(k, least), "a long, b long")
+
+
+def candidate_pairs(points: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """(a, b) with a < b: pairs of ids of `points` (id, vec, first) that the tables and the sketches propose, once each;
+    of crowded buckets those among the k nearest of one of the two."""
+    limit, vectors = sketch_limit(min_cosine), points.select("id", "vec")
+    entries = vectors.mapInArrow(_hashed(0, 0), "bucket long, id long, sketch long")
+    probes = vectors.mapInArrow(_hashed(0, PROBES), "bucket long, id long, sketch long")
+    hot = checkpoint(entries.groupBy("bucket").count().filter(F.col("count") > FULL).select("bucket"))
+    crowded = None
+    if not hot.isEmpty():
+        marked = broadcast_if_small(hot)
+        crowded = crowded_pairs(points, *(x.join(marked, "bucket", "left_semi") for x in (entries, probes)), k, min_cosine)
+        entries, probes = (x.join(marked, "bucket", "left_anti") for x in (entries, probes))
+    met = entries.alias("e").join(probes.alias("p"), "bucket").filter(
+        (F.col("e.id") != F.col("p.id")) & (F.bit_count(F.col("e.sketch").bitwiseXOR(F.col("p.sketch"))) <= limit)
+    )
+    pairs = met.select(F.least("e.id", "p.id").alias("a"), F.greatest("e.id", "p.id").alias("b"))
+    return (pairs if crowded is None else pairs.unionByName(crowded)).distinct()
 
 
 def _cosines(batches):
@@ -182,7 +241,7 @@ def most_similar(df: DataFrame, k: int = NEIGHBOURS, min_cosine: float = MIN_COS
         .select(F.xxhash64("key").alias("id"), "key", "vec", "head")
     )
     points = classes.select("id", "vec")
-    pairs = checkpoint(candidate_pairs(points, min_cosine))
+    pairs = checkpoint(candidate_pairs(classes.select("id", "vec", F.col("head")[0].alias("first")), k + 1, min_cosine))
     involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     close = points.join(broadcast_if_small(involved), "id", "left_semi")
     left = close.withColumnsRenamed({"id": "a", "vec": "va"})

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from cairn.llm import vectors as V
 
@@ -62,3 +63,26 @@ def test_blocks_of_queries_equal_the_index(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     exact_rows = {(r["record"], r["neighbour"]) for r in V.brute_force(df, 3, 0.93, 1, 8).collect()}
     assert exact_rows == exact(rows, 3, 0.93)
+
+
+def clustered(n, spread, seed):
+    """A third of the rows in one cluster, the rest apart."""
+    rng = np.random.default_rng(seed)
+    centre, v = rng.normal(size=64), rng.normal(size=(n, 64))
+    centre /= np.linalg.norm(centre)
+    jitter = rng.normal(size=(n // 3, 64)) / 8
+    v[: n // 3] = centre + jitter * spread
+    return [(f"r{i:05}", [float(x) for x in row], "") for i, row in enumerate(v)]
+
+
+def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
+    rows = [(name, v[:64], "") for name, v, _ in clustered(1500, 0.23, 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    classes = V.usable(df).select(F.xxhash64("key").alias("id"), "vec", F.col("record").alias("first"))
+    everything = {tuple(r) for r in V.candidate_pairs(classes, 10**6, 0.93).collect()}
+    monkeypatch.setattr(V, "FULL", 4)
+    monkeypatch.setattr(V, "BLOCK", 16)
+    crowded = {tuple(r) for r in V.candidate_pairs(classes, 10**6, 0.93).collect()}
+    v = {r["id"]: np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in classes.collect()}
+    near = {(a, b) for a, b in everything if v[a] @ v[b] >= 0.930001}
+    assert len(near) > 1000 and near <= crowded
