@@ -89,11 +89,15 @@ def sketch_limit(min_cosine: float) -> int:
     return min(64, int(np.ceil(64 * p + 5 * np.sqrt(64 * p * (1 - p)))))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def _unit(values: pa.Array, rows: int) -> np.ndarray:
+    v = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _unit(column.flatten(), len(column))
+
+
 def _hashed(level: int, probes: int):
     def run(batches):
         for batch in batches:
@@ -183,6 +187,45 @@ def crowded_pairs(points: DataFrame, entries: DataFrame, probes: DataFrame, k: i
     return grouped[0].cogroup(grouped[1]).applyInArrow(_block_pairs(k, least), "a long, b long")
 
 
+def _block_nearest(k: int):
+    """The k nearest of each id of the first block in the second ones that follow it, which come one after the other."""
+
+    def run(batches):
+        block, state = None, None
+
+        def result():
+            row, cosine, _, other = state
+            return pa.RecordBatch.from_arrays([pa.array(block[1][row]), pa.array(other), pa.array(cosine)], ["id", "other", "cosine"])
+
+        for batch in batches:
+            for n in range(batch.num_rows):
+                number, ids, vecs, others, more, firsts = (batch.column(i)[n] for i in range(6))
+                if block is None or block[0] != number.as_py():
+                    if block is not None:
+                        yield result()
+                    block, state = (number.as_py(), ids.values.to_numpy(), _unit(vecs.values, len(ids))), None
+                b = _unit(more.values, len(others))
+                state = nearest(block[2], block[1], b, others.values.to_numpy(), _names(firsts.values), k, -2.0, state)
+        if block is not None:
+            yield result()
+
+    return run
+
+
+def all_nearest(points: DataFrame, k: int) -> DataFrame:
+    """(id, other, cosine): the k nearest of every one of `points` (id, vec, first), without a threshold: every
+    block of vectors against every other as a matrix product. The work grows with the square of the rows; what is
+    stored and moved are the blocks, which are read again for each other block, and k rows an id and group of blocks."""
+    blocks = max(1, -(-points.count() // BLOCK))
+    number = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
+    packed = points.select(number, "*").repartition(blocks, "block").groupBy("block").agg(F.collect_list(F.struct("id", "vec", "first")).alias("x"))
+    packed = checkpoint(packed.select("block", F.col("x.id").alias("ids"), F.flatten("x.vec").alias("vecs"), F.col("x.first").alias("firsts")))
+    # 16 blocks at a time are all that a task holds; the left side is the outer loop of the product
+    right = packed.select(F.col("ids").alias("others"), F.col("vecs").alias("more"), "firsts").coalesce(-(-blocks // 16))
+    each = packed.select("block", "ids", "vecs").crossJoin(right.hint("shuffle_replicate_nl"))
+    return each.mapInArrow(_block_nearest(k), "id long, other long, cosine double")
+
+
 def candidate_pairs(points: DataFrame, k: int, min_cosine: float) -> DataFrame:
     """(a, b) with a < b: pairs of ids of `points` (id, vec, first) that the tables and the sketches propose, once each;
     of crowded buckets those among the k nearest of one of the two."""
@@ -222,9 +265,26 @@ def usable(df: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     )
 
 
-def most_similar(df: DataFrame, k: int = NEIGHBOURS, min_cosine: float = MIN_COSINE, dimension: int = DIMENSION) -> DataFrame:
+def _index_nearest(points: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """(id, other, cosine): for every id of `points` (id, vec, first) those of `min_cosine` or more that the index finds."""
+    pairs = checkpoint(candidate_pairs(points, k, min_cosine))
+    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    close = points.select("id", "vec").join(broadcast_if_small(involved), "id", "left_semi")
+    left = close.withColumnsRenamed({"id": "a", "vec": "va"})
+    right = close.withColumnsRenamed({"id": "b", "vec": "vb"})
+    near = (
+        pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
+        .mapInArrow(_cosines, "a long, b long, cosine double")
+        .filter(F.col("cosine") >= min_cosine)
+    )
+    both = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    return near.select(both.alias("x"), "cosine").select("x.*", "cosine")
+
+
+def most_similar(df: DataFrame, k: int = NEIGHBOURS, min_cosine: float | None = MIN_COSINE, dimension: int = DIMENSION) -> DataFrame:
     """(record, neighbour, cosine, rank): for every usable vector of `df` (record, vec), its up to k most similar ones
-    of cosine `min_cosine` or more; ties by record. Cosines are exact, rounded to six places.
+    of cosine `min_cosine` or more; ties by record. Cosines are exact, rounded to six places. Without `min_cosine` the k
+    most similar ones of all, from comparing everything: among vectors that are far apart no index finds them surely.
 
     Unusable vectors (null, another length, NaN, infinite, all zero) take no part. Repeated rows count once; of vectors
     that differ under one record one counts, always the same (the least key).
@@ -240,24 +300,16 @@ def most_similar(df: DataFrame, k: int = NEIGHBOURS, min_cosine: float = MIN_COS
         .join(heads, "key")
         .select(F.xxhash64("key").alias("id"), "key", "vec", "head")
     )
-    points = classes.select("id", "vec")
-    pairs = checkpoint(candidate_pairs(classes.select("id", "vec", F.col("head")[0].alias("first")), k + 1, min_cosine))
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    close = points.join(broadcast_if_small(involved), "id", "left_semi")
-    left = close.withColumnsRenamed({"id": "a", "vec": "va"})
-    right = close.withColumnsRenamed({"id": "b", "vec": "vb"})
-    near = (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-        .mapInArrow(_cosines, "a long, b long, cosine double")
-        .filter(F.col("cosine") >= min_cosine)
-    )
-    both = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other"))))
+    points = classes.select("id", "vec", F.col("head")[0].alias("first"))
+    if min_cosine is None:
+        near = all_nearest(points, k + 1)
+    else:
+        near = _index_nearest(points, k + 1, min_cosine)
     # k + 1 nearest classes hold the k + 1 nearest members
     wc = Window.partitionBy("id").orderBy(F.desc("cosine"), "first", "other")
     heads_of = classes.select(F.col("id").alias("other"), F.col("head"), F.col("head")[0].alias("first"))
     lists = (
-        near.select(both.alias("x"), "cosine").select("x.*", "cosine")
-        .join(heads_of, "other")
+        near.join(heads_of, "other")
         .withColumn("n", F.row_number().over(wc)).filter(F.col("n") <= k + 1)
         .groupBy("id").agg(F.collect_list(F.struct("cosine", "head")).alias("others"))
     )
@@ -283,7 +335,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return most_similar(_records(spark, sf_dir))
+    return most_similar(_records(spark, sf_dir), min_cosine=None)
 
 
 def brute_force(df: DataFrame, k: int, min_cosine: float, every: int = 100, dimension: int = DIMENSION) -> DataFrame:
@@ -321,16 +373,16 @@ def brute_force(df: DataFrame, k: int, min_cosine: float, every: int = 100, dime
 
 
 def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(wanted, found, recall): exact neighbours of one record in a hundred that the index finds too.
+    """(wanted, found, recall): the true five nearest of one record in a hundred that `p1_neighbours` lists too.
 
-    A neighbour counts as found if the index lists it or one at least as similar in its place.
+    A neighbour counts as found if it or one at least as similar is listed in its place.
     """
     df = _records(spark, sf_dir)
-    exact = brute_force(df, NEIGHBOURS, MIN_COSINE).groupBy("record").agg(F.collect_list("cosine").alias("want"))
-    index = most_similar(df).groupBy("record").agg(F.collect_list("cosine").alias("got"))
+    exact = brute_force(df, NEIGHBOURS, -2.0).groupBy("record").agg(F.collect_list("cosine").alias("want"))
+    listed = most_similar(df, min_cosine=None).groupBy("record").agg(F.collect_list("cosine").alias("got"))
     hit = F.least(F.size("want"), F.size(F.filter("got", lambda c: c >= F.array_min("want") - 2e-6)))
     return (
-        exact.join(index, "record", "left")
+        exact.join(listed, "record", "left")
         .agg(F.sum(F.size("want")).alias("wanted"), F.sum(F.coalesce(hit, F.lit(0))).alias("found"))
         .withColumn("recall", F.col("found") / F.col("wanted"))
     )

@@ -86,3 +86,14 @@ def test_crowded_buckets_are_compared_whole(spark, monkeypatch):
     v = {r["id"]: np.array(r["vec"]) / np.linalg.norm(r["vec"]) for r in classes.collect()}
     near = {(a, b) for a, b in everything if v[a] @ v[b] >= 0.930001}
     assert len(near) > 1000 and near <= crowded
+
+
+def test_nearest_five_of_all_without_a_threshold(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 20)
+    monkeypatch.setattr(V, "SLICE", 7)
+    rng = np.random.default_rng(5)
+    rows = [(f"r{i:03}", [float(x) for x in rng.normal(size=8)], "") for i in range(90)]
+    rows += [(f"c{i:03}", rows[0][1], "") for i in range(9)] + [(f"s{i}", [2 * x for x in rows[1][1]], "") for i in range(3)]
+    got = V.most_similar(spark.createDataFrame(rows, SCHEMA), 5, None, 8).collect()
+    assert {(r["record"], r["neighbour"]) for r in got} == exact(rows, 5, -2)
+    assert len(got) == 5 * len(rows)
