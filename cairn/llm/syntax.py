@@ -71,6 +71,7 @@ def rust_pairs() -> set[str]:
     p -= {"l" + b for b in every | {END} if b not in "Nu([&0mk*|@g"} | {"P" + b for b in every | {END} if b not in "FSETMUycIxXYN([&*<nk"}
     p -= _cross("D@", ")]};,=.?" + END) | _cross("([{,", "AqB.?j" + "J:") | _cross("([", ";=")
     p -= {a + END for a in every if a not in "};a"} | {START + b for b in every if b not in "FPUMSEITycxXYNa@D;"}
+    p -= _cross("m", stops + END) | {"j{"}
     p |= {START + END} | _cross("$", every) | _cross(every, "$")
     return p
 
@@ -132,6 +133,20 @@ _RS_FILE = re.compile(rf"(?:a|;|[@D]*+P?{_RS_ITEM})*+\Z")
 _TS_BAD = re.compile(
     r"dB?[NDTi](?![①<NDTi$])|k[NDTi]?[^③;]*\Z|(?:\A|[$;])P?M(?!①|\.|[NDTi]=)[^$;0]*(?:[$;]|\Z)"
 )
+#: Statements that no block has, whatever its level: looked for in the inside of each brace group, groups in it collapsed.
+_RS_STATEMENT = re.compile(
+    r"(?:\A|[;③@D])l[^;]*\Z|e(?![③f])|(?:\A|;)[^;fl]*e|f[^③;,J]*(?:[;,]|\Z)|w[^③;]*(?:;|\Z)|h[^③;]*(?:;|\Z)|o(?!③)|FN(?![①<])|FN[^③;]*\Z"
+    r"|[N0①②]\*(?:[;,]|\Z)"
+)
+_TS_STATEMENT = re.compile(r"(?<![.Q])(?:[fwh][N0!m~nu②③]|r[N0!②③]|t③(?![Kz])|o③(?!w))|(?<!t③)(?<!K③)(?<!K①③)(?<![.Q])z③")
+#: In what is a block for sure (a class or an object may have methods of these names).
+_TS_ORDER = re.compile(r"\A[^f]*(?<![.Q])e|(?<!t③)(?<![.Q])K①?③")
+_TS_BLOCK = "①Jeotz"
+_RS_MACRO = re.compile(r"N!N?[(\[{]")
+_BRACKETS = re.compile(r"[()\[\]{}]")
+#: What is no target of an assignment, and a positional argument after a named one.
+_PY_TARGET = re.compile(r"(?:\A|[=;])[^=:;l]*(?:[NHJ①②]①|[0S]|[mocIfaAi^@][^=:;l]*)[=u]")
+_PY_ORDER = re.compile(r"(?:\A|,)[NHJ]=[^,]+,[^=,*^:oVrl]+(?:,|\Z)")
 _known: dict[str, bool] = {}
 
 
@@ -140,7 +155,7 @@ def _line_ok(skeleton: str) -> bool:
     if ok is None:
         if len(_known) > 200_000:
             _known.clear()
-        ok = _known[skeleton] = bool(_PY_LINE.match(skeleton))
+        ok = _known[skeleton] = bool(_PY_LINE.match(skeleton)) and not _PY_TARGET.search(skeleton)
     return ok
 
 
@@ -176,6 +191,40 @@ def _collapse(s: str, pairs: set, clean, inner: re.Pattern = _INNER) -> str:
             return s
 
 
+def _without_macros(s: str) -> str:
+    """`s` without the arguments of macros, which may be any tokens."""
+    out, at = [], 0
+    while m := _RS_MACRO.search(s, at):
+        depth = 0
+        for b in _BRACKETS.finditer(s, m.end() - 1):
+            depth += 1 if b.group() in "([{" else -1
+            if not depth:
+                break
+        else:
+            break  # never closed: found by its brackets
+        out.append(s[at : m.end()])
+        at = b.start()
+    return "".join([*out, s[at:]])
+
+
+def _statements_ok(s: str, wrong: re.Pattern, order: re.Pattern | None = None) -> bool:
+    """Whether no brace group of `s`, nor its top level, has a statement that `wrong` finds, nor a block what `order` finds."""
+    ok = True
+
+    def group(m: re.Match) -> str:
+        nonlocal ok
+        g, at = m.group(), m.start()
+        if ok and g[0] == "{":
+            block = order is not None and at and m.string[at - 1] in _TS_BLOCK
+            ok = not wrong.search(g[1:-1]) and not (block and order.search(g[1:-1]))
+        return _GROUP_OF[g[0]]
+
+    n = 1
+    while n and ok:
+        s, n = _INNER.subn(group, s)
+    return ok and not wrong.search(s) and not (order is not None and order.search(s))
+
+
 def _decode(pairs: set) -> set:
     out = set()
     for p in pairs:
@@ -200,7 +249,14 @@ def _python_rows(text: str):
     s = python_classes(text)
     pairs: set = set()
     marks = []
-    flat = _collapse(s, pairs, lambda g: _LAYOUT.sub("", g) if "$" in g else g)
+
+    def inside(g: str) -> str:
+        g = _LAYOUT.sub("", g) if "$" in g else g
+        if g[0] == "(" and "=" in g and "l" not in g and "*" not in g and _PY_ORDER.search(g[1:-1]):
+            marks.append(ERROR)
+        return g
+
+    flat = _collapse(s, pairs, inside)
     lines = [x for x in flat.split("$")[1:] if len(x) > 1]
     stack, last, opened = [0], "", ""
     for line in lines:
@@ -251,7 +307,7 @@ def _rust_rows(text: str):
     flat = _collapse(s.replace("\n", ""), pairs, lambda g: "" if "$" in g else g, _MACRO)
     whole = START + flat + END
     pairs.update(map(add, whole, whole[1:]))
-    if not _RS_FILE.match(flat):
+    if not _RS_FILE.match(flat) or not _statements_ok(_without_macros(s.replace("\n", "")), _RS_STATEMENT):
         marks.append(ERROR)
     return _decode(pairs), marks
 
@@ -263,7 +319,7 @@ def _typescript_rows(text: str):
     flat = _collapse(s, pairs, lambda g: g)
     whole = START + flat.strip("$") + END
     pairs.update(map(add, whole, whole[1:]))
-    if _TS_BAD.search(flat):
+    if _TS_BAD.search(flat) or not _statements_ok(s.replace("$", ""), _TS_STATEMENT, _TS_ORDER):
         marks.append(ERROR)
     return _decode(pairs), marks
 

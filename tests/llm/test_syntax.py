@@ -73,3 +73,14 @@ def test_nulls_unknown_extensions_long_and_empty(spark):
     df = spark.createDataFrame(rows, "id long, ext string, text string")
     assert sorted(r[0] for r in invalid_ids(df).collect()) == [6]
     assert invalid_ids(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ext, valid, invalid", [
+    ("rs", ["fn f() { let a = 1; if a > 0 { g() } else if b { h() } else { let Some(x) = y else { return }; } }", "fn f() { m! { else let } match x { A if y => 1, _ => -1 }; loop { while a {} } let b = if c { 1 } else { 2 }; }"],
+     ["fn f() -> { 1 }", "fn f() { let a = b - ; }", "fn f() { let a = 1 }", "fn f() { else { } }", "fn f() { if a; }", "mod m { fn g() { while { } loop x; } }"]),
+    ("ts", ["function f() { try { a() } catch { b() } finally { c() } p.catch(e).finally(f); if (a) b\nelse c; do { x } while (y) }", "class A { catch(e) { } if() { } }\nconst o = { else: 1, try: 2 };"],
+     ["function f(x: number) { if x > 3 { return 1; } }", "try { a(); }", "function f() { else { a(); } }", "function f() { catch (e) { } }", "if (a) { finally { } }", "do { x() }"]),
+    ("py", ["f(a=1, *b)\nf(a, b=1)[0] = x.y = 2\na: b or c = 3\n", "def f(a=1, *, b): pass\n"], ["f() = 1\n", "a + b = 1\n", "1 = x\n", "f() += 1\n", "f(a=1, b)\n", "def f(a=1, b): pass\n"]),
+])
+def test_statements_inside_braces_and_targets(spark, ext, valid, invalid):
+    assert bad(spark, ext, valid + invalid) == set(range(len(valid), len(valid) + len(invalid)))
