@@ -116,6 +116,36 @@ _BRACES = re.compile(r"[{}]")
 _ANY_BRACKET = re.compile(r"[()\[\]{};]")
 
 
+_TS_STEP = re.compile(r"[()\[\]{};,\n`<]")
+_TS_ANGLES = re.compile(r"(?<=[\w$])<[^()=;]*?>(?=\s*(?:[(\[;,)\]}.`]|\n|\Z))")
+_TS_GOES_ON = re.compile(r"\s*(?:[.?:&|*/%<>=^,)\]}(\[`;]|\+(?!\+)|-(?!-)|!=|(?:instanceof|in|as|satisfies)\b)")
+_TS_UNFINISHED = re.compile(r"(?:[.?:&|*/%<=^,~]|=>|(?<!\+)\+|(?<!-)-|\b(?:new|typeof|await|void|delete|in|instanceof|as|satisfies|yield))\Z")
+
+
+def _expression_end(code: str, at: int, texts: dict[int, int]) -> int:
+    """Where the expression at `at` ends: at `;`, `,` or a closing bracket outside of its own brackets, or at a line break
+    there that neither side carries on. `texts` has the ends of the template literals by their starts."""
+    depth, i = 0, at
+    while m := _TS_STEP.search(code, i):
+        c, i = m.group(), m.end()
+        if c == "`":
+            i = texts.get(m.start(), i)
+        elif c == "<":
+            g = _TS_ANGLES.match(code, m.start())
+            i = g.end() if g else i
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return m.start()
+        elif depth == 0 and c in ";,":
+            return m.end() if c == ";" else m.start()
+        elif depth == 0 and c == "\n" and not _TS_GOES_ON.match(code, i) and not _TS_UNFINISHED.search(code[at : m.start()].rstrip()[-12:]):
+            return m.start()
+    return len(code)
+
+
 class Blocks:
     """The brace pairs of a blanked text, and names for some of them."""
 
@@ -348,12 +378,15 @@ def _typescript_docs(text: str, comments: dict[int, int], begin: int) -> str | N
 
 def _typescript_pairs(text: str):
     comments: dict[int, int] = {}
+    texts: dict[int, int] = {}
 
     def hide(m: re.Match) -> str:
         t = m.group()
         if t[:2] in ("//", "/*"):
             comments[m.start() + len(t.rstrip(" \t\r"))] = m.start()
             return _blank(t)
+        if t[0] == "`":
+            texts[m.start()] = m.end()
         return _blank(t, 1)
 
     code = _TS_TEXT.sub(hide, text)
@@ -403,8 +436,8 @@ def _typescript_pairs(text: str):
         if at >= 0:
             stop, sign = blocks.close.get(at, len(text) - 1) + 1, text[first:at]
         else:
-            stop = code.find("\n", expression)
-            stop = len(text) if stop < 0 else stop
+            stop = len(code[: _expression_end(code, expression, texts)].rstrip())
+            stop = max(stop, *(e for b, e in texts.items() if expression <= b < stop), 0) if texts else stop
             sign = text[first:expression]
         yield name, blocks.owner(begin), _line(text, name_at), sign, text[first:stop], doc
 

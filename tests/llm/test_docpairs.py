@@ -107,3 +107,10 @@ def test_frame(spark):
     got = sorted((r["doc_id"], r["start_line"]) for r in function_pairs(df).collect())
     assert got == [(1, 5), (1, 22), (3, 6), (3, 10), (3, 17)]
     assert function_pairs(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("body", ["xs\n  .filter(a)\n  .map(b);", "({\n  a: x,\n});", "x.a +\n  x.b", "`a\nb ${x}\nc`", "new Map<string, number>([\n  [x, 1],\n])", "x\n  ? [1,\n 2]\n  : y;"])
+def test_expression_bodies_are_whole(body):
+    for after in ("\nexport const z = 1;\n", "\n\nfoo();\n", ""):
+        (row,) = documented_functions("ts", f"/** Sends one request. */\nconst f = (x) =>\n  {body}{after}")
+        assert row[3] == f"const f = (x) =>\n  {body}"
