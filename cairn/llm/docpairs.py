@@ -26,15 +26,20 @@ PLACEHOLDERS = {
     "to do", "tbc", "lorem ipsum", "no description", "undocumented", "missing docs", "missing documentation", "not documented", "description here",
 }
 FILLERS = {"the", "to", "function", "a", "an", "this", "method", "fn"}
-_TODO = re.compile(r"^\W*(?:todo|fixme|xxx|tbd|hack|wip|placeholder)\b", re.I)
+_TODO = re.compile(
+    r"^\W*(?:(?:todo|fixme|xxx|tbd|wip)\b|(?:hack|placeholder)\s*(?:[:.,;!(–—-]|\Z|(?:for now|until|implementation|comment|description|doc\w*|documentation)\b))", re.I
+)
+#: Lines that address a tool, in the syntax that the tool demands: a word alone is English.
 _DIRECTIVE = re.compile(
-    r"^\W*(?:eslint|tslint|jshint|jslint|prettier|istanbul|c8|v8|webpack|biome|deno|ts-(?:ignore|expect-error|nocheck|check)|@ts-\w+|noqa|nosec|nosonar|type:\s*ignore"
-    r"|pylint|flake8|mypy|pyright|ruff|isort|yapf|fmt|black|pragma|coverage|rustfmt|clippy|cspell|spell-checker|sonar|noinspection|region|endregion|#region"
-    r"|language=|vim:|-\*-|@jsx|@flow|@format|@license|@preserve|@internal|@hidden|@ignore|@override|@inheritdoc|\{@inheritdoc\}|doctest:)(?![A-Za-z])",
+    r"^\W*(?:eslint(?:-(?:disable|enable|env)\b|\s+[\w@/-]+\s*:)|tslint:\s*(?:disable|enable)|js[hl]int(?:\s+\w+\s*:|\s*ignore:)|prettier-ignore|(?:istanbul|c8|v8)\s+ignore\b|webpack[A-Z]\w*\s*:"
+    r"|biome-ignore|deno-(?:lint|fmt|coverage)-ignore|ts-(?:ignore|expect-error|nocheck|check)\b|(?:noqa|nosec|nosonar)\s*(?::|\Z|[A-Z]\d+)|type:\s*ignore\b|pylint:\s*[\w-]+\s*(?:=|\Z)|flake8[:=]\s*noqa|mypy:\s*[\w-]+"
+    r"|pyright:\s*(?:ignore|basic|strict|\w+=)|ruff:\s*(?:noqa|isort)|isort:\s*[\w-]+|yapf:\s*(?:disable|enable)|fmt:\s*(?:off|on|skip)\b|pragma:?\s*(?:no\s*cover|no\s*branch|once)\b|coverage:\s*ignore|rustfmt(?:::|-)\w+"
+    r"|clippy::\w+|cspell:\s*\w+|spell-checker:\s*\w+|noinspection\s+\w+\s*\Z|endregion\s*\Z|language=\w+|vim:\s*\w+|-\*-|doctest:\s*[+-])"
+    r"|^\W*\#(?:end)?region\b|^\W*@(?:ts-\w+|jsx\w*|flow|format|license|preserve)\b|^-\*-",
     re.I,
 )
 _TAG = re.compile(
-    r"^(?:[@\\:](?:param|parameter|arg|argument|property|prop|template|typeparam|type|raises?|throws?|exception|keyword|ivar|cvar|var)\b:?(?:\s*\{[^}]*\})?(?:\s+[\w.$\[\]*]+)?\s*:?\s*-?\s*"
+    r"^(?:\{@[Ii]nherit[Dd]oc[^}]*\}\s*|[@\\:](?:param|parameter|arg|argument|property|prop|template|typeparam|type|raises?|throws?|exception|keyword|ivar|cvar|var)\b:?(?:\s*\{[^}]*\})?(?:\s+[\w.$\[\]*]+)?\s*:?\s*-?\s*"
     r"|[@\\:]\w+:?(?:\s*\{[^}]*\})?\s*:?\s*-?\s*)"
 )
 _HEADING = re.compile(
@@ -59,20 +64,17 @@ def says_something(doc: str, name: str) -> bool:
     """Whether a description tells more than the function's name does.
 
     Not counted: empty lines, punctuation and rules, tags and headings without text, tool directives, to-do and
-    placeholder notes, code in fences and prompts, the generic words, and the name itself - as a word or as a phrase
+    placeholder notes, the marks around code (not the code), the generic words, and the name itself - as a word or as a phrase
     with filler words or an ending -s.
     """
-    own, fenced, kept = name_words(name), False, []
+    own, kept = name_words(name), []
     for raw in doc.splitlines():
         line = raw.strip().strip("*").strip()
-        if line.startswith("```") or line.startswith("~~~"):
-            fenced = not fenced
-            continue
-        if fenced or line.startswith(">>>") or not _WORD.search(line):
+        if line.startswith("```") or line.startswith("~~~") or not _WORD.search(line):
             continue
         if _DIRECTIVE.match(line) or _TODO.match(line) or _HEADING.match(line):
             continue
-        line = _TAG.sub("", line, count=1) if line[0] in "@\\:" else line
+        line = _TAG.sub("", line, count=1) if line[0] in "@\\:{" else line
         words = [w.lower() for w in _WORD.findall(line)]
         if words:
             kept.append((line, words))

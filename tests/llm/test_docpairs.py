@@ -114,3 +114,13 @@ def test_expression_bodies_are_whole(body):
     for after in ("\nexport const z = 1;\n", "\n\nfoo();\n", ""):
         (row,) = documented_functions("ts", f"/** Sends one request. */\nconst f = (x) =>\n  {body}{after}")
         assert row[3] == f"const f = (x) =>\n  {body}"
+
+
+@pytest.mark.parametrize("doc", ["Region of the cache that holds live slots.", "Coverage of the window in percent.", "Black pixels are skipped.", "@internal Resolves the route.", "@override Returns the weight.", "{@inheritDoc} Adds the weight.", "Placeholder text shown while the list loads", "```\nlet x = weigh(2);\n```", ">>> weigh(2)\n4", "Pragma lines are kept.", "Sonar depth in metres."])
+def test_english_and_examples_say_something(doc):
+    assert says_something(doc, "open_lid")
+
+
+@pytest.mark.parametrize("doc", ["fmt: off", "#region Cache", "pragma: no cover", "@internal", "{@inheritDoc}", "noqa: E501", "istanbul ignore next", "webpackChunkName: 'a'", "Placeholder.", "placeholder for now", "clippy::all", "type: ignore[x]", "-*- coding: utf-8 -*-", "@license MIT", "prettier-ignore", "pylint: disable=x"])
+def test_directives_say_nothing(doc):
+    assert not says_something(doc, "open_lid")
