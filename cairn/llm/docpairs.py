@@ -341,17 +341,66 @@ def _rust_pairs(text: str):
 # ------------------------------------------------------------------------------------------ TypeScript
 _TS_FUNCTION = re.compile(r"\bfunction\b\s*\*?\s*([\w$]+)\s*(?=[(<])")
 _TS_ARROW = re.compile(r"\bconst\s+([\w$]+)\s*(?::(?:[^=;]|=>)+?)?=(?![=>])\s*(?:async\b\s*)?(?=[(<\w$])")
-_TS_CLASS = re.compile(r"\b(?:class|interface)\b\s*([\w$]*)[^{};]*\{")
+_TS_CLASS = re.compile(r"(?<![.\w$])(class|interface)\b\s*(?!(?:extends|implements)\b)([\w$]*)\s*(?=[<{]|(?:extends|implements)\b)")
+_TS_HEAD = re.compile(r"=>|[<>(){}\[\];]")
+#: A brace after one of these opens an object literal (or a type, whose methods have no bodies).
+_TS_OBJECT = re.compile(r"(?:(?:\b(?:const|let|var)\s+([\w$]+)\s*(?::[^={}();]*)?=|([\w$]+)\s*:)|[=(,\[?|&]|\b(?:return|default|yield|await))\s*\Z")
 _TS_METHOD = re.compile(
-    r"(?<=[\n;{})])[ \t\r]*((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
+    r"(?<=[\n;{}),])[ \t\r]*((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
 )
 _TS_RETURN = re.compile(r"\s*(?::[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)*?)?\s*\{")
 _TS_TO_ARROW = re.compile(r"\s*(?::[^;=]*?)?\s*=>\s*")
 _TS_GENERIC = re.compile(r"<[^()]*?>\s*(?=\()")
-_TS_FRONT = re.compile(r"(?:\b(?:export|default|declare|async|public|private|protected|static|override|abstract|readonly|get|set|accessor)\b|@[\w$.]+(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?|\*)\s*\Z")
+_TS_MODIFIERS = {"export", "default", "declare", "async", "public", "private", "protected", "static", "override", "abstract", "readonly", "get", "set", "accessor"}
 _NOT_METHODS = {"if", "for", "while", "switch", "catch", "return", "function", "new", "await", "typeof", "super", "with", "do", "else", "throw", "in", "of"}
 
 
+def _class_body(code: str, at: int) -> int:
+    """The brace that opens the body of the class whose head goes on at `at`: the first outside of angle and other
+    brackets; -1 if there is none."""
+    inside = 0
+    for m in _TS_HEAD.finditer(code, at):
+        c = m.group()
+        if c == "{" and not inside:
+            return m.start()
+        if c == ";" and not inside:
+            return -1
+        inside += 1 if c in "<([{" else -1 if c in ">)]}" else 0
+        if inside < 0:
+            return -1
+    return -1
+
+
+def _opened_at(code: str) -> dict[int, int]:
+    """The opening parenthesis of each closing one."""
+    out, stack = {}, []
+    for m in re.finditer(r"[()]", code):
+        if m.group() == "(":
+            stack.append(m.start())
+        elif stack:
+            out[m.start()] = stack.pop()
+    return out
+
+
+def _before_modifiers(code: str, at: int, opened: dict[int, int]) -> int:
+    """Where the modifiers and decorators in front of `at` begin."""
+    while True:
+        end = len(code) if at > len(code) else at
+        while end and code[end - 1].isspace():
+            end -= 1
+        call = opened.get(end - 1) if end and code[end - 1] == ")" else None
+        stop = end if call is None else call
+        begin = stop - 1 if call is None and stop and code[stop - 1] == "*" else stop
+        if begin == stop:
+            while begin and (code[begin - 1].isalnum() or code[begin - 1] in "_$."):
+                begin -= 1
+            if begin and code[begin - 1] == "@" and begin < stop:
+                begin -= 1
+            elif call is not None or code[begin:stop] not in _TS_MODIFIERS:
+                return at
+        at = begin
+
+
 def _typescript_docs(text: str, comments: dict[int, int], begin: int) -> str | None:
     """The comment block that ends on the line above `begin` (or before it on its line)."""
     docs, at = [], begin
@@ -395,8 +444,21 @@ def _typescript_pairs(text: str):
     blocks, found = Blocks(code), []
     classes = {}
     for m in _TS_CLASS.finditer(code):
-        blocks.names[m.end() - 1] = m.group(1) or "default"
-        classes[m.end() - 1] = m.group().lstrip().startswith("class")
+        at = _class_body(code, m.end())
+        if at >= 0:
+            blocks.names[at] = m.group(2) or "default"
+            classes[at] = m.group(1) == "class"
+
+    def holds_methods(at: int | None) -> bool:
+        """Whether the brace at `at` opens a class or an object literal; the literal gets the name of its variable or key."""
+        if at is not None and at not in classes:
+            start = max(code.rfind(c, 0, at) for c in "{};") + 1
+            m = None if code[start:at].rstrip().endswith("=>") else _TS_OBJECT.search(code, start, at)
+            classes[at] = m is not None
+            if m and (m.group(1) or m.group(2)):
+                blocks.names.setdefault(at, m.group(1) or m.group(2))
+        return at is not None and classes[at]
+
     for m in _TS_FUNCTION.finditer(code):
         c, at = _body_start(code, code.find("(", m.end()))
         close = _close_of(code, code.find("(", m.end()))
@@ -416,7 +478,7 @@ def _typescript_pairs(text: str):
             found.append((m.group(1), m.start(), m.start(), a.end() if brace else -1, None if brace else a.end()))
     for m in _TS_METHOD.finditer(code):
         name, begin = m.group(2), m.start(1)
-        if name in _NOT_METHODS or not classes.get(blocks.around(begin)):
+        if name in _NOT_METHODS or not holds_methods(blocks.around(begin)):
             continue
         close = _close_of(code, m.end() - 1)
         r = _TS_RETURN.match(code, close + 1) if close > 0 else None
@@ -425,13 +487,9 @@ def _typescript_pairs(text: str):
     for name, _, _, at, _ in found:
         if at >= 0:
             blocks.names.setdefault(at, name)
+    opened = _opened_at(code)
     for name, begin, name_at, at, expression in sorted(found, key=lambda x: x[1]):
-        first = begin
-        while True:
-            b = _TS_FRONT.search(code, max(0, first - 300), first)
-            if not b:
-                break
-            first = b.start()
+        first = _before_modifiers(code, begin, opened)
         doc = _typescript_docs(text, comments, first)
         if doc is None:
             continue

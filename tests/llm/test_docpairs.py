@@ -124,3 +124,27 @@ def test_english_and_examples_say_something(doc):
 @pytest.mark.parametrize("doc", ["fmt: off", "#region Cache", "pragma: no cover", "@internal", "{@inheritDoc}", "noqa: E501", "istanbul ignore next", "webpackChunkName: 'a'", "Placeholder.", "placeholder for now", "clippy::all", "type: ignore[x]", "-*- coding: utf-8 -*-", "@license MIT", "prettier-ignore", "pylint: disable=x"])
 def test_directives_say_nothing(doc):
     assert not says_something(doc, "open_lid")
+
+
+def test_methods_of_any_class_and_of_objects():
+    wide = ", ".join(f"key{i}: {i}" for i in range(80))
+    text = """class Store<T extends { id: string }> {
+  /** Loads the slots. */
+  load() { return 1; }
+}
+class A extends B<{ x: number }> {
+  /** Sends the rest. */
+  async send(): Promise<void> { if (x) { y(); } }
+}
+const api = {
+  /** Weighs all slots. */
+  weigh(x: number) { return x; }, /** Counts the rest. */ count() { },
+};
+class C {
+  /** Paints the rest. */
+  @dec({ WIDE }) @other
+  public static paint() { }
+}
+function f() { switch (x) { default: { g(); } } return { /** Makes it wet. */ rain() { } }; }
+""".replace("WIDE", wide)
+    assert found("ts", text) == [(3, "Store::load"), (7, "A::send"), (11, "api::weigh"), (11, "api::count"), (16, "C::paint"), (18, "f::rain")]
