@@ -41,6 +41,11 @@ def folders(files: DataFrame, key: str = "file_id", path: str = "path") -> DataF
     )
 
 
+def _normal(module: Column) -> Column:
+    """A module without its leading dots and `crate`, `self` and `super`."""
+    return F.regexp_replace(module, r"^(?:\./)*(?:\.\./)*(?:crate\.)*(?:self\.)*(?:super\.)*", "")
+
+
 def module_paths(module: Column, importer: Column, aliases: Column) -> Column:
     """The paths that a module may mean, in the order in which they are tried.
 
@@ -52,7 +57,7 @@ def module_paths(module: Column, importer: Column, aliases: Column) -> Column:
     climbed = F.slice(parent, F.lit(1), F.greatest(F.size(parent) - F.greatest(dots - 1, F.lit(0)), F.lit(0)))
     rest = F.filter(F.split(F.regexp_replace(module, r"^\.+", ""), r"\."), lambda x: x != "")
     relative = F.when(module.startswith("."), F.array(F.array_join(F.concat(climbed, rest), "/"))).otherwise(F.array().cast("array<string>"))
-    normal = F.regexp_replace(module, r"^(?:\./)*(?:\.\./)*(?:crate\.)*(?:self\.)*(?:super\.)*", "")
+    normal = _normal(module)
     dotted = F.when(normal != "", F.array(F.replace(normal, F.lit("."), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     by_alias = F.flatten(
         F.transform(
@@ -79,19 +84,27 @@ def candidates(path: Column, crate_prefixes: list[str] = ()) -> Column:
     return plain
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[str] = (), crate_prefixes: list[str] = ()) -> DataFrame:
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[str] = (), crate_prefixes: list[str] = (), packages: DataFrame | None = None) -> DataFrame:
     """(repo, importer, module, target): the first existing candidate of each distinct import, null if none exists.
 
     imports: (repo, importer, module); files: (repo, path). Candidates carry their order, meet the files by one equi-join
     on (repo, path), and the least order wins; hot importers or targets are only as many rows as they have imports.
+    Further aliases, any number of them, are the rows of `packages` (alias): they meet the leading segments of the modules.
     """
     names = F.array(*[F.lit(a) for a in sorted(set(aliases))]).cast("array<string>")
     one = imports.filter(F.col("module").isNotNull()).distinct()
+    if packages is not None:
+        parts = F.split(_normal(F.col("module")), r"\.")
+        leading = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+        heads = one.select("module").distinct().select("module", F.explode(leading).alias("alias"))
+        known = heads.join(packages.select("alias").distinct(), "alias").groupBy("module").agg(F.collect_set("alias").alias("known"))
+        one = one.join(known, "module", "left")
+        names = F.when(F.col("known").isNull(), names).otherwise(F.array_sort(F.array_union(names, F.col("known"))))
     tried = F.flatten(F.transform(module_paths(F.col("module"), F.col("importer"), names), lambda p: candidates(p, list(crate_prefixes))))
     rows = one.select("repo", "importer", "module", F.posexplode(tried).alias("ord", "path"))
     hit = rows.join(files.select("repo", "path").distinct(), ["repo", "path"])
     best = hit.groupBy("repo", "importer", "module").agg(F.min_by("path", "ord").alias("target"))
-    return one.join(best, ["repo", "importer", "module"], "left")
+    return one.select("repo", "importer", "module").join(best, ["repo", "importer", "module"], "left")
 
 
 def edges(folder_rows: DataFrame, resolved: DataFrame) -> DataFrame:

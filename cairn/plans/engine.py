@@ -128,9 +128,9 @@ class Engine:
     def _resolved(self, files: DataFrame) -> DataFrame:
         """`files` with their imports resolved against their own paths."""
         i = files.select(F.lit("").alias("repo"), F.col("path").alias("importer"), F.explode("imports").alias("i")).select("repo", "importer", F.col("i.module").alias("module"))
-        names = files.filter("name IN ('__init__.py', 'mod.rs')").select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("n")).filter("n <> ''").distinct()
-        aliases = sorted({*self.config.aliases, os.path.basename(self.root.rstrip("/")), *(r[0] for r in names.limit(1000).collect())})
-        target = graph.resolve_imports(i, files.select(F.lit("").alias("repo"), "path"), aliases, self.config.crate_prefixes)
+        names = files.filter("name IN ('__init__.py', 'mod.rs')").select(F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("alias")).filter("alias <> ''").distinct()
+        aliases = sorted({*self.config.aliases, os.path.basename(self.root.rstrip("/"))})
+        target = graph.resolve_imports(i, files.select(F.lit("").alias("repo"), "path"), aliases, self.config.crate_prefixes, names)
         by_file = target.groupBy(F.col("importer").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("module", "target"))).alias("targets"))
         hit = lambda x: F.try_element_at("targets", x["module"])
         done = F.transform(

@@ -182,3 +182,12 @@ def test_clients_with_a_fake_server():
     assert EndpointEmbedder(e, "m").embed(["a", "b"]) == [[0.6, 0.8], [0.0, 1.0]]
     assert EndpointReranker(e, "m").rerank("q", ["a", "b"]) == [0.0, 1.0]
     assert ChatEnricher(e, "m").summarise({}) == "ok" and json_from_text("none") == {} and json_from_text("[1]") == {"items": [1]}
+
+
+def test_more_packages_than_a_thousand_resolve(spark, tmp_path):
+    packages = [f"p{i:04}" for i in range(1100)]
+    schema = "path string, name string, imports array<struct<module:string,names:array<string>,line:int,resolved_file_id:string,is_internal:boolean>>"
+    rows = [(f"lib/{p}/__init__.py", "__init__.py", []) for p in packages] + [("x.py", "x.py", [(f"{p}.x", [], 1, None, False) for p in packages] + [("q.x", [], 1, None, False)])]
+    engine = Engine(spark, str(tmp_path / "store"), str(tmp_path), Config(primary="fts"), HashEmbedder())
+    done = engine._resolved(spark.createDataFrame(rows, schema)).filter("path = 'x.py'").first()["imports"]
+    assert [i["module"] for i in done if i["resolved_file_id"] != "x.py"] == ["q.x"]
