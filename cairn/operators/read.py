@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.ids import canonical_path
 from cairn.functions.text import low_signal_test_path
+from cairn.operators.ranking import group_ranks
 from cairn.session import table
 
 # Pack mode -> symbols, dependencies, whether the description is shown.
@@ -123,8 +124,7 @@ def pack_limits(spark: SparkSession, d: str) -> DataFrame:
 def related_files(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "files").select("file_id").distinct()
     first = files.agg(F.min("file_id")).first()[0]
-    w = Window.orderBy("file_id")
-    ranked = files.orderBy("file_id").limit(400).withColumn("pos", F.row_number().over(w))
+    ranked = group_ranks(files.withColumn("all", F.lit(0)), ["all"], ["file_id"]).select("file_id", (F.col("less") + 1).alias("pos"))
     return related_rank(ranked, first, 10).select("file_id", F.col("points").cast("int").alias("points"), F.col("pos").cast("int").alias("pos"))
 
 
