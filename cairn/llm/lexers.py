@@ -13,6 +13,7 @@ import re
 INDENT_BASE = 0x4000
 ERROR = "¿"
 
+_MARKS = ("<" * 7, ">" * 7, "=" * 7, "|" * 7)
 _MARKER = r"(?:(?<=\n)|(?<=\r))(?:<{7}|>{7}|={7}|\|{7})(?![<>=|])[^\n]*"
 
 
@@ -106,6 +107,8 @@ _PY_TOKEN = re.compile(
 
 def _py_class(t: str) -> str:
     c = t[0]
+    if t.startswith(_MARKS):
+        return ERROR
     if c == "\n":
         return "$" + chr(INDENT_BASE + min(len(t.rpartition("\n")[2].expandtabs(8)), 20000))
     if len(t) > 1 and t[-1] in "\"'":
@@ -202,6 +205,8 @@ _RS_TOKEN = re.compile(
 
 def _rs_class(t: str) -> str:
     c = t[0]
+    if t.startswith(_MARKS):
+        return ERROR
     if c == "\n":
         return "\n"
     if c == "/":
@@ -300,6 +305,8 @@ _TS_LEAD = re.compile(r"^(=>|return|typeof|case|.)", re.S)
 
 def _ts_class(t: str) -> str:
     c = t[0]
+    if t.startswith(_MARKS):
+        return ERROR
     if c == "\n":
         if t[-1] in "/" or (len(t) > 1 and "/" in t):
             return "$0"

@@ -1,13 +1,17 @@
 """Source files that do not parse, by token pairs, nesting and statement productions.
 
-A lexer pass turns each file into DataFrame rows: the distinct adjacent pairs of its token classes (brackets seen from
-outside as one operand), the brackets that each line leaves open or closes (matched ones inside a line are taken out
-there), Python's indents, dedents and statement heads, and a row for every statement that no production derives. Then
+A lexer pass turns each file into DataFrame rows of three kinds: the distinct adjacent pairs of its token classes
+(brackets seen from outside as one operand), the distinct skeletons of its statements (Python: logical lines; Rust and
+TypeScript: the file and each brace block, inner brackets as one operand), and in their order the marks of nesting - the
+brackets that each line leaves open or closes (matched ones inside a line are taken out there), Python's indents, dedents
+and statement heads. The rows are written once; then
 
 - an anti-join removes the pairs that the grammar permits (a fixed table of a few thousand rows); any that is left is
   an error,
-- windowed reductions validate nesting: the running sum of openings gives each row its depth, and among the rows of one
-  depth every closing must follow its opening and every `else`, `except`, `finally` a head that allows it.
+- the skeletons of all files are made distinct, the productions judge each of these once, and a semi-join finds the files
+  that have one which no production derives,
+- windowed reductions validate nesting: the running sum of openings gives each mark its depth, and among the marks of
+  one depth every closing must follow its opening and every `else`, `except`, `finally` a head that allows it.
 
 The permissible pairs follow from the rules below: which classes begin and end an operand, what stands between two
 operands, and what a keyword demands after it.
@@ -19,11 +23,12 @@ import re
 from operator import add
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.lexers import ERROR, INDENT_BASE, PY, RS, TS, python_classes, rust_classes, typescript_classes
-from cairn.session import table
+from cairn.session import broadcast_if_small, checkpoint, table
 
 LANGUAGE_OF = {"py": "python", "rs": "rust", "ts": "typescript"}
 #: Bracket groups as operands, and the marks for the start and the end of a text, indent and dedent.
@@ -147,16 +152,22 @@ _BRACKETS = re.compile(r"[()\[\]{}]")
 #: What is no target of an assignment, and a positional argument after a named one.
 _PY_TARGET = re.compile(r"(?:\A|[=;])[^=:;l]*(?:[NHJ①②]①|[0S]|[mocIfaAi^@][^=:;l]*)[=u]")
 _PY_ORDER = re.compile(r"(?:\A|,)[NHJ]=[^,]+,[^=,*^:oVrl]+(?:,|\Z)")
-_known: dict[str, bool] = {}
 
 
-def _line_ok(skeleton: str) -> bool:
-    ok = _known.get(skeleton)
-    if ok is None:
-        if len(_known) > 200_000:
-            _known.clear()
-        ok = _known[skeleton] = bool(_PY_LINE.match(skeleton)) and not _PY_TARGET.search(skeleton)
-    return ok
+def skeleton_ok(skeleton: str) -> bool:
+    """Whether the productions derive a statement skeleton; its first character tells what it is (see `SKELETONS`)."""
+    return SKELETONS[skeleton[0]](skeleton[1:])
+
+
+#: Python line, Rust file and block, TypeScript file, block and other brace group.
+SKELETONS = {
+    "p": lambda s: bool(_PY_LINE.match(s)) and not _PY_TARGET.search(s),
+    "R": lambda s: bool(_RS_FILE.match(s)),
+    "r": lambda s: not _RS_STATEMENT.search(s),
+    "T": lambda s: not _TS_BAD.search(s),
+    "b": lambda s: not _TS_STATEMENT.search(s) and not _TS_ORDER.search(s),
+    "t": lambda s: not _TS_STATEMENT.search(s),
+}
 
 
 # ------------------------------------------------------------------------------------------ lexing into rows
@@ -207,22 +218,22 @@ def _without_macros(s: str) -> str:
     return "".join([*out, s[at:]])
 
 
-def _statements_ok(s: str, wrong: re.Pattern, order: re.Pattern | None = None) -> bool:
-    """Whether no brace group of `s`, nor its top level, has a statement that `wrong` finds, nor a block what `order` finds."""
-    ok = True
+def _blocks(s: str, sign: str, block: str | None = None) -> set[str]:
+    """The skeletons of the top level of `s` and of each brace group: `block` in front of what is a block for sure and of
+    the top level, else `sign`."""
+    out, plain = set(), block is None
 
     def group(m: re.Match) -> str:
-        nonlocal ok
         g, at = m.group(), m.start()
-        if ok and g[0] == "{":
-            block = order is not None and at and m.string[at - 1] in _TS_BLOCK
-            ok = not wrong.search(g[1:-1]) and not (block and order.search(g[1:-1]))
+        if g[0] == "{":
+            out.add((sign if plain or not at or m.string[at - 1] not in _TS_BLOCK else block) + g[1:-1])
         return _GROUP_OF[g[0]]
 
     n = 1
-    while n and ok:
+    while n:
         s, n = _INNER.subn(group, s)
-    return ok and not wrong.search(s) and not (order is not None and order.search(s))
+    out.add((block or sign) + s)
+    return out
 
 
 def _decode(pairs: set) -> set:
@@ -248,7 +259,7 @@ def _open_brackets(line: str) -> str:
 def _python_rows(text: str):
     s = python_classes(text)
     pairs: set = set()
-    marks = []
+    marks, statements = [], set()
 
     def inside(g: str) -> str:
         g = _LAYOUT.sub("", g) if "$" in g else g
@@ -288,8 +299,7 @@ def _python_rows(text: str):
         opened = head
         if head != "h" or not marks or marks[-1] != "h":
             marks.append(head)
-        if not _line_ok(code):
-            marks.append(ERROR)
+        statements.add("p" + code)
         last = code[-1]
     if last:
         pairs.add(last + "$")
@@ -297,7 +307,7 @@ def _python_rows(text: str):
     # brackets are validated on their own, after the layout: they never span a logical line
     for line in s.split("$"):
         marks += _open_brackets(line)
-    return _decode(pairs), marks
+    return _decode(pairs), statements, marks
 
 
 def _rust_rows(text: str):
@@ -307,9 +317,7 @@ def _rust_rows(text: str):
     flat = _collapse(s.replace("\n", ""), pairs, lambda g: "" if "$" in g else g, _MACRO)
     whole = START + flat + END
     pairs.update(map(add, whole, whole[1:]))
-    if not _RS_FILE.match(flat) or not _statements_ok(_without_macros(s.replace("\n", "")), _RS_STATEMENT):
-        marks.append(ERROR)
-    return _decode(pairs), marks
+    return _decode(pairs), {"R" + flat} | _blocks(_without_macros(s.replace("\n", "")), "r"), marks
 
 
 def _typescript_rows(text: str):
@@ -319,29 +327,46 @@ def _typescript_rows(text: str):
     flat = _collapse(s, pairs, lambda g: g)
     whole = START + flat.strip("$") + END
     pairs.update(map(add, whole, whole[1:]))
-    if _TS_BAD.search(flat) or not _statements_ok(s.replace("$", ""), _TS_STATEMENT, _TS_ORDER):
-        marks.append(ERROR)
-    return _decode(pairs), marks
+    return _decode(pairs), {"T" + flat} | _blocks(s.replace("$", ""), "t", "b"), marks
 
 
 ROWS_OF = {"py": _python_rows, "rs": _rust_rows, "ts": _typescript_rows}
 
 
+#: What `seq` holds for a pair and for a skeleton; marks have their order.
+PAIR, SKELETON = -1, -2
+_ROWS = "id long, copy long, seq int, code string"
+
+
 def syntax_rows(documents: DataFrame) -> DataFrame:
-    """(id, seq, code): what the lexer finds in each text of (id, ext, text): pairs as `ext:xy`, marks as one character."""
+    """(id, copy, seq, code): what the lexer finds in each text of (id, ext, text): pairs as `ext:xy`, skeletons as in
+    `SKELETONS`, marks as one character. `copy` numbers the input rows, so that repeated rows of an id stay apart."""
 
     def run(batches):
+        copy = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, seqs, codes = [], [], []
+            ids, copies, seqs, codes = [], [], [], []
             for i, ext, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                pairs, marks = ROWS_OF[ext](text)
-                new = [f"{ext}:{p}" for p in pairs] + marks
-                ids += [i] * len(new)
-                seqs += range(len(new))
-                codes += new
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seqs, pa.int32()), pa.array(codes, pa.string())], ["id", "seq", "code"])
+                pairs, statements, marks = ROWS_OF[ext](text)
+                codes += [f"{ext}:{p}" for p in pairs]
+                codes += statements
+                codes += marks
+                seqs += [PAIR] * len(pairs)
+                seqs += [SKELETON] * len(statements)
+                seqs += range(len(marks))
+                n = len(codes) - len(ids)
+                ids += [i] * n
+                copies += [copy] * n
+                copy += 1
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, copies, seqs, codes), kinds)], ["id", "copy", "seq", "code"])
+
+    return documents.select("id", "ext", "text").mapInArrow(run, _ROWS)
+
 
-    return documents.select("id", "ext", "text").mapInArrow(run, "id long, seq int, code string")
+def _underivable(batches):
+    for batch in batches:
+        yield batch.filter(pa.array([not skeleton_ok(s) for s in batch.column(0).to_pylist()], pa.bool_()))
 
 
 def permissible_pairs(spark: SparkSession) -> DataFrame:
@@ -361,29 +386,36 @@ def invalid_ids(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     known = documents.filter(F.col("ext").isin(*LANGUAGE_OF) & F.col("text").isNotNull())
+    rows = checkpoint(syntax_rows(known))  # three uses of one pass over the texts
     # fixed size: a few thousand rows that follow from the rules
-    rest = syntax_rows(known).join(F.broadcast(permissible_pairs(spark)), "code", "left_anti")
+    odd = rows.filter(F.col("seq") == PAIR).join(F.broadcast(permissible_pairs(spark)), "code", "left_anti")
+    skeletons = rows.filter(F.col("seq") == SKELETON)
+    wrong = checkpoint(skeletons.select("code").distinct().mapInArrow(_underivable, "code string"))
+    unsound = skeletons.join(broadcast_if_small(wrong), "code", "left_semi")
+    return odd.select("id").unionByName(unsound.select("id")).unionByName(_badly_nested(rows.filter(F.col("seq") >= 0))).distinct()
+
+
+def _badly_nested(marks: DataFrame) -> DataFrame:
+    """(id): texts whose marks (id, copy, seq, code) do not nest, or hold an error."""
     code = F.col("code")
     opens, closes = code.isin("(", "[", "{", INDENT), code.isin(")", "]", "}", DEDENT)
-    bad_row = (F.length(code) > 1) | (code == ERROR)
-    run = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    level = Window.partitionBy("id", "level").orderBy("seq")
+    run = Window.partitionBy("copy").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    level = Window.partitionBy("copy", "level").orderBy("seq")
     prev, following = F.lag("code").over(level), F.lead("code").over(level)
     opener = F.when(code == ")", "(").when(code == "]", "[").when(code == "}", "{").otherwise(INDENT)
-    wrong = F.when(F.col("bad"), True).when(closes, ~prev.eqNullSafe(opener) & ~((code == DEDENT) & (prev.isin(*"hfEerwxzdmc")) & prev.isNotNull()))
+    wrong = F.when(code == ERROR, True).when(closes, ~prev.eqNullSafe(opener) & ~((code == DEDENT) & (prev.isin(*"hfEerwxzdmc")) & prev.isNotNull()))
     wrong = wrong.when(opens & (code != INDENT), ~following.eqNullSafe(F.when(code == "(", ")").when(code == "[", "]").otherwise("}")))
     for head, before in AFTER.items():
         wrong = wrong.when((code == head) & ~F.coalesce(prev.isin(*before), F.lit(False)), True)
     for head, after in BEFORE.items():
         wrong = wrong.when((code == head) & ~F.coalesce(following.isin(*after), F.lit(False)), True)
+    error = code == ERROR
     return (
-        rest.withColumn("bad", bad_row)
-        .withColumn("depth", F.sum(F.when(F.col("bad"), 0).when(opens, 1).when(closes, -1).otherwise(0)).over(run))
-        .withColumn("level", F.when(F.col("bad"), -1).otherwise(F.col("depth") + F.when(closes, 1).otherwise(0)))
+        marks.withColumn("depth", F.sum(F.when(error, 0).when(opens, 1).when(closes, -1).otherwise(0)).over(run))
+        .withColumn("level", F.when(error, -1).otherwise(F.col("depth") + F.when(closes, 1).otherwise(0)))
         .withColumn("wrong", F.coalesce(wrong, F.lit(False)))
         .filter("wrong")
         .select("id")
-        .distinct()
     )
 
 
@@ -401,10 +433,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, language, files, invalid, rate): how many source files of each repository and language do not parse."""
+    """(repo, language, files, invalid, rate): how many source files of each repository and language do not parse; repeated
+    rows are one file."""
     files = source_files(table(spark, sf_dir, "documents")).filter(F.col("ext").isin(*LANGUAGE_OF))
+    each = files.select("id", "file_id", "repo", "ext").distinct()
     language = F.create_map(*[F.lit(x) for kv in LANGUAGE_OF.items() for x in kv])[F.col("ext")]
-    marked = files.join(invalid_ids(files).withColumn("invalid", F.lit(1)), "id", "left")
+    marked = each.join(invalid_ids(files).withColumn("invalid", F.lit(1)), "id", "left")
     return (
         marked.groupBy("repo", language.alias("language"))
         .agg(F.count(F.lit(1)).alias("files"), F.count("invalid").alias("invalid"))

@@ -34,6 +34,7 @@ VALID_TS = [
 ]
 INVALID_TS = [
     "function f() {", "const x = ;", "def f(self):\n    pass\n", "use crate::a;\npub fn f() {}\n", "from a import b\n", "class A {}\n=======\nclass B {}\n", "const s = \"abc;\n", "`open", "/* open", "f(a b);", "export\n", "import { a } from\n", "x = (1]\n", "# c d\n", "const a = {b: =};\n",
+    "export class A {}\n>>>>>>> shelf/sample\nexport class B {}\n", "const a = 1;\n||||||| a/b/c\n", "function f() {}\n<<<<<<< a/'b'\n",
 ]
 
 
@@ -84,3 +85,11 @@ def test_nulls_unknown_extensions_long_and_empty(spark):
 ])
 def test_statements_inside_braces_and_targets(spark, ext, valid, invalid):
     assert bad(spark, ext, valid + invalid) == set(range(len(valid), len(valid) + len(invalid)))
+
+
+def test_repeated_rows_and_other_columns(spark):
+    text = "try:\n    x\nexcept E:\n    y\nelse:\n    z\n"
+    rows = [(1, "py", text, 1), (1, "py", text, 2), (2, "py", "x = (", 1), (2, "py", "x = (", 1), (3, "py", None, 1), (4, "xx", "(", 1)]
+    df = spark.createDataFrame(rows, "id long, ext string, text string, copy int")
+    assert [r[0] for r in invalid_ids(df).collect()] == [2]
+    assert invalid_ids(df.limit(0)).count() == 0
