@@ -9,12 +9,13 @@ function. Pairs whose documentation says nothing are dropped.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.lexers import RS_TEXT, TS_TEXT, comment_end, rewritten
 from cairn.llm.syntax import LANGUAGE_OF, invalid_ids, source_files
 from cairn.session import table
 
@@ -98,22 +99,6 @@ def _blank(t: str, keep: int = 0) -> str:
 _PY_TEXT = re.compile(
     r"\#[^\n]*|[A-Za-z]{0,2}(?:\"{3}(?:[^\"\\]|\\.|\"(?!\"\"))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3}|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+')", re.S
 )
-_RS_BLOCK = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|{})*+\*/"
-_RS_COMMENT = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
-for _ in range(4):
-    _RS_COMMENT = _RS_BLOCK.format(_RS_COMMENT)
-_RS_TEXT = re.compile(
-    r"//[^\n]*|" + _RS_COMMENT + r"|\b(?:br|cr|r)(\#*)\".*?\"\1|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\\n]|\\(?:x..|u\{[^}]*\}|.))'", re.S
-)
-_RS_ATTRIBUTE = re.compile(r"\#\s*\[[^\[\]]*(?:\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\][^\[\]]*)*\]")
-_TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`)*\}"
-for _ in range(3):
-    _TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`|" + _TS_BRACES + r")*\}"
-_TS_TEXT = re.compile(
-    r"//[^\n]*|/\*.*?\*/|`(?:[^`\\$]|\\.|\$(?!\{)|\$" + _TS_BRACES + r")*`|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
-    r"|(?:[(,=:\[!&|?{};~+\-*%<>]|\breturn|\btypeof|\bcase)[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*",
-    re.S,
-)
 _BRACES = re.compile(r"[{}]")
 _ANY_BRACKET = re.compile(r"[()\[\]{};]")
 
@@ -214,14 +199,28 @@ def _flat(text: str) -> str:
     return " ".join(text.split())
 
 
-def _line(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+class Lines:
+    """Line numbers, from 1, of positions asked for in any order."""
+
+    def __init__(self, text: str):
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+
+    def at(self, position: int) -> int:
+        return bisect_left(self.ends, position) + 1
+
+
+def _end_before(text: str, at: int, spaces: str) -> int:
+    """The end of what stands before `at`, without `spaces`."""
+    while at and text[at - 1] in spaces:
+        at -= 1
+    return at
 
 
 # ------------------------------------------------------------------------------------------ Python
 _PY_DEF = re.compile(r"^([ \t]*)((?:async[ \t]+)?def)[ \t]+(\w+)|^([ \t]*)class[ \t]+(\w+)", re.M)
 _PY_DOC = re.compile(r"(?:[ \t\r\n]|\#[^\n]*|\\\n)*([rRuU]?)(\"{3}|'{3}|\"|')", re.S)
 _PY_SUITE = re.compile(r"[()\[\]{}:]")
+_PY_REST = re.compile(r"[ \t]*(?:\#[^\n]*)?\r?(?:\n|;|\Z)")
 
 
 def _python_pairs(text: str):
@@ -259,7 +258,7 @@ def _python_pairs(text: str):
         if not d:
             continue
         s = _PY_TEXT.match(text, d.start(1))
-        if not s or not re.match(r"[ \t]*(?:\#[^\n]*)?\r?(?:\n|;|\Z)", text[s.end() : s.end() + 400].split("\n")[0] + "\n"):
+        if not s or not _PY_REST.match(text, s.end()):
             continue
         q = d.group(2)
         raw = s.group()[len(d.group(1)) + len(q) : -len(q)]
@@ -280,11 +279,12 @@ def _python_pairs(text: str):
 
 # ------------------------------------------------------------------------------------------ Rust
 _RS_FN = re.compile(r"\bfn\s+(?:r\#)?(\w+)")
-_RS_BEFORE = re.compile(r"(?:\bpub\b(?:\s*\([^()]*\))?|\b(?:async|unsafe|const|default|extern|crate)\b|\"\s*)\s*\Z")
+_RS_MODIFIERS = {"pub", "async", "unsafe", "const", "default", "extern", "crate"}
 _RS_OWNER = re.compile(r"\b(impl|trait)\b([^;{]*)\{")
 _RS_FRONT = re.compile(
-    r"///(?!/)([^\n]*)|//[^\n]*|/\*\*(?![*/])(.*?)\*/|" + _RS_COMMENT + r"|\#\s*\[\s*doc\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|r(\#*)\"(.*?)\"\4)\s*\]", re.S
+    r"///(?!/)([^\n]*)|//[^\n]*|(/\*)|\#\s*\[\s*doc\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|r(\#*)\"(.*?)\"\4)\s*\]", re.S
 )
+_RS_ATTRIBUTE = re.compile(r"\#\s*!?\s*\[")
 _STARS = re.compile(r"^[ \t]*\*?", re.M)
 
 
@@ -304,10 +304,60 @@ def _rust_owner(kind: str, head: str) -> str:
     return re.split(r"\s*::\s*", m.group(1))[-1] if m else head.strip()
 
 
+def _without_attributes(code: str) -> str:
+    """`code` with its attributes blanked, whatever their nesting."""
+    out, at = [], 0
+    while m := _RS_ATTRIBUTE.search(code, at):
+        close = _close_of(code, m.end() - 1)
+        end = close + 1 if close > 0 else m.end()
+        out.append(code[at : m.start()])
+        out.append(_blank(code[m.start() : end]))
+        at = end
+    return "".join([*out, code[at:]])
+
+
+def _before_rust_modifiers(bare: str, at: int, opened: dict[int, int]) -> int:
+    """Where the modifiers (`pub(crate)`, `extern "C"`) in front of `at` begin."""
+    while True:
+        end = _end_before(bare, at, " \t\r\n")
+        begin = end
+        if end and bare[end - 1] == ")":
+            begin = _end_before(bare, opened.get(end - 1, end), " \t\r\n")
+            if not bare.endswith("pub", 0, begin):
+                return at
+        elif end and bare[end - 1] == '"':
+            begin = _end_before(bare, end - 1, " \t\r\n")
+            if not bare.endswith("extern", 0, begin):
+                return at
+        while begin and (bare[begin - 1].isalnum() or bare[begin - 1] == "_"):
+            begin -= 1
+        if begin == end or bare[begin:end].split("(")[0].split('"')[0].strip() not in _RS_MODIFIERS:
+            return at
+        at = begin
+
+
+def _rust_docs(text: str, front: int, begin: int) -> list[str]:
+    docs, at = [], front
+    while d := _RS_FRONT.search(text, at, begin):
+        at = d.end()
+        if d.group(1) is not None:
+            docs.append(d.group(1))
+        elif d.group(2) is not None:
+            at = comment_end(text, d.start())
+            comment = text[d.start() : at]
+            if comment.startswith("/**") and comment[3] not in "*/":
+                docs.append(_STARS.sub("", comment[3:-2]))
+        elif d.group(3) is not None:
+            docs.append(d.group(3).replace("\\n", "\n").replace('\\"', '"'))
+        elif d.group(5) is not None:
+            docs.append(d.group(5))
+    return docs
+
+
 def _rust_pairs(text: str):
-    code = _RS_TEXT.sub(lambda m: _blank(m.group(), 0 if m.group()[0] == "/" else 1), text)
-    bare = _RS_ATTRIBUTE.sub(lambda m: _blank(m.group()), code)
-    blocks, found = Blocks(bare), []
+    code = rewritten(text, RS_TEXT, lambda a, b: _blank(text[a:b], 0 if text[a] == "/" else 1))
+    bare = _without_attributes(code)
+    blocks, found, opened, lines = Blocks(bare), [], _opened_at(bare), Lines(text)
     for m in _RS_OWNER.finditer(bare):
         blocks.names[m.end() - 1] = _rust_owner(m.group(1), m.group(2))
     for m in _RS_FN.finditer(bare):
@@ -316,26 +366,11 @@ def _rust_pairs(text: str):
             blocks.names[at] = m.group(1)
             found.append((m, at))
     for m, at in found:
-        begin = m.start()
-        while True:
-            b = _RS_BEFORE.search(bare, max(0, begin - 120), begin)
-            if not b:
-                break
-            begin = b.start()
-        front = len(bare[:begin].rstrip())
-        docs = []
-        for d in _RS_FRONT.finditer(text, front, begin):
-            if d.group(1) is not None:
-                docs.append(d.group(1))
-            elif d.group(2) is not None:
-                docs.append(_STARS.sub("", d.group(2)))
-            elif d.group(3) is not None:
-                docs.append(d.group(3).replace("\\n", "\n").replace('\\"', '"'))
-            elif d.group(5) is not None:
-                docs.append(d.group(5))
+        begin = _before_rust_modifiers(bare, m.start(), opened)
+        docs = _rust_docs(text, _end_before(bare, begin, " \t\r\n"), begin)
         if docs:
             close = blocks.close.get(at, len(text) - 1)
-            yield m.group(1), blocks.owner(begin), _line(text, m.start()), text[begin:at], text[begin : close + 1], "\n".join(docs)
+            yield m.group(1), blocks.owner(begin), lines.at(m.start()), text[begin:at], text[begin : close + 1], "\n".join(docs)
 
 
 # ------------------------------------------------------------------------------------------ TypeScript
@@ -405,10 +440,9 @@ def _typescript_docs(text: str, comments: dict[int, int], begin: int) -> str | N
     """The comment block that ends on the line above `begin` (or before it on its line)."""
     docs, at = [], begin
     while True:
-        front = text[:at].rstrip(" \t\r")
-        if front.endswith("\n"):
-            front = front[:-1].rstrip(" \t\r")
-        end = len(front)
+        end = _end_before(text, at, " \t\r")
+        if end and text[end - 1] == "\n":
+            end = _end_before(text, end - 1, " \t\r")
         start = comments.get(end)
         if start is None:
             break
@@ -431,16 +465,16 @@ def _typescript_pairs(text: str):
     comments: dict[int, int] = {}
     texts: dict[int, int] = {}
 
-    def hide(m: re.Match) -> str:
-        t = m.group()
+    def hide(start: int, end: int) -> str:
+        t = text[start:end]
         if t[:2] in ("//", "/*"):
-            comments[m.start() + len(t.rstrip(" \t\r"))] = m.start()
+            comments[start + len(t.rstrip(" \t\r"))] = start
             return _blank(t)
         if t[0] == "`":
-            texts[m.start()] = m.end()
+            texts[start] = end
         return _blank(t, 1)
 
-    code = _TS_TEXT.sub(hide, text)
+    code, lines = rewritten(text, TS_TEXT, hide), Lines(text)
     blocks, found = Blocks(code), []
     classes = {}
     for m in _TS_CLASS.finditer(code):
@@ -496,10 +530,10 @@ def _typescript_pairs(text: str):
         if at >= 0:
             stop, sign = blocks.close.get(at, len(text) - 1) + 1, text[first:at]
         else:
-            stop = len(code[: _expression_end(code, expression, texts)].rstrip())
+            stop = _end_before(code, _expression_end(code, expression, texts), " \t\r\n")
             stop = max(stop, *(e for b, e in texts.items() if expression <= b < stop), 0) if texts else stop
             sign = text[first:expression]
-        yield name, blocks.owner(begin), _line(text, name_at), sign, text[first:stop], doc
+        yield name, blocks.owner(begin), lines.at(name_at), sign, text[first:stop], doc
 
 
 PAIRS_OF = {"py": _python_pairs, "rs": _rust_pairs, "ts": _typescript_pairs}

@@ -17,6 +17,61 @@ _MARKS = ("<" * 7, ">" * 7, "=" * 7, "|" * 7)
 _MARKER = r"(?:(?<=\n)|(?<=\r))(?:<{7}|>{7}|={7}|\|{7})(?![<>=|])[^\n]*"
 
 
+_COMMENT_EDGE = re.compile(r"/\*|\*/")
+_TEMPLATE = re.compile(r"\\.|`|\$\{", re.S)
+_HOLE = re.compile(r"[`{}]|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|//[^\n]*|/\*.*?\*/", re.S)
+
+
+def comment_end(text: str, at: int) -> int:
+    """The end of the block comment at `at`, in which others nest to any depth; -1 if it is not closed."""
+    depth = 0
+    for m in _COMMENT_EDGE.finditer(text, at):
+        depth += 1 if m.group() == "/*" else -1
+        if not depth:
+            return m.end()
+    return -1
+
+
+def template_end(text: str, at: int) -> int:
+    """The end of the template literal at `at`, whose holes hold code and other templates to any depth; -1 if it is not
+    closed."""
+    stack, i = [-1], at + 1  # -1: in a template's text; else in a hole, inside so many braces
+    while stack:
+        m = (_TEMPLATE if stack[-1] < 0 else _HOLE).search(text, i)
+        if not m:
+            return -1
+        t, i = m.group(), m.end()
+        if stack[-1] < 0:
+            if t == "`":
+                stack.pop()
+            elif t == "${":
+                stack.append(0)
+        elif t == "`":
+            stack.append(-1)
+        elif t == "{":
+            stack[-1] += 1
+        elif t == "}":
+            stack[-1] -= 1
+            if stack[-1] < 0:
+                stack.pop()
+    return i
+
+
+def rewritten(text: str, pattern: re.Pattern, put) -> str:
+    """`text` with put(start, end) in the place of every match of `pattern`, a nested comment or template taken whole."""
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        start, end = m.span()
+        if m.group() == "`" or m.group() == "/*":
+            end = (template_end if m.group() == "`" else comment_end)(text, start)
+            end = m.end() if end < 0 else end
+        out.append(text[at:start])
+        out.append(put(start, end))
+        at = end
+    out.append(text[at:])
+    return "".join(out)
+
+
 def _classes(spec: str) -> dict[str, str]:
     """'x: a b, y: c' -> {'a': 'x', 'b': 'x', 'c': 'y'}"""
     out = {}
@@ -189,13 +244,18 @@ _RS_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*))*+\*/"
 for _ in range(4):
     _RS_NESTED = _RS_COMMENT.format(_RS_NESTED)
 _RS_STRING = r'"(?:[^"\\]|\\.)*+"'
+_RS_ATTRIBUTE = r"\[(?:[^\[\]\"]|" + _RS_STRING + r")*\]"
+for _ in range(6):
+    _RS_ATTRIBUTE = r"\[(?:[^\[\]\"]|" + _RS_STRING + "|" + _RS_ATTRIBUTE + r")*\]"
+#: Comments (block comments by their first characters) and strings of Rust.
+RS_TEXT = re.compile(r"//[^\n]*|/\*|\b(?:br|cr|r)(\#*)\".*?\"\1|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\\n]|\\(?:x..|u\{[^}]*\}|.))'", re.S)
 _RS_TOKEN = re.compile(
     r"(?:[ \t\f\r]+|//(?!/(?!/))[^\n]*|" + r"(?!/\*\*[^*/])" + _RS_NESTED + ")*+("
     + _MARKER
     + r"|\n\s*|///(?!/)[^\n]*|" + _RS_NESTED
     + r"""|(?:br|cr|r)(\#*)".*?"\2|[bc]?""" + _RS_STRING
     + r"""|b?'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))'|'[A-Za-z_]\w*(?!')"""
-    + r"""|\#!?\[(?:[^\[\]"]|""" + _RS_STRING + r"""|\[(?:[^\[\]"]|""" + _RS_STRING + r""")*\])*\]"""
+    + r"""|\#!?""" + _RS_ATTRIBUTE
     + r"""|pub\s*\(\s*(?:crate|self|super|in\s+[\w:]+)\s*\)|r\#[A-Za-z_]\w*"""
     + r"""|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?[A-Za-z_]\w*|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?\d[\d_]*)?"""
     + r"""|[^\W\d]\w*|\.\.=|\.\.\.|<<=|>>=|->|=>|::|\.\.|&&|\|\||<<|>>|[+\-*/%&|^=!<>]=|[()\[\]{},:;.=<>?!&*\-|+/%^$]|\S)""",
@@ -227,8 +287,26 @@ def _rs_class(t: str) -> str:
 def rust_classes(text: str) -> str:
     """The class string of a Rust text; line breaks are kept as line feeds. Outer documentation is a token (`D`)."""
     get = RS.get
-    found = _RS_TOKEN.findall("\n" + text.removeprefix("﻿") + "\n")
-    return "".join([get(t) or _rs_class(t) for t, _ in found])
+    text = "\n" + text.removeprefix("﻿") + "\n"
+    if text.count("/*") > 5 and _may_nest(text) > 5:  # comments nested deeper than the pattern goes
+        whole = text
+        text = rewritten(whole, RS_TEXT, lambda a, b: _flat_comment(whole[a:b]))
+    return "".join([get(t) or _rs_class(t) for t, _ in _RS_TOKEN.findall(text)])
+
+
+def _may_nest(text: str) -> int:
+    """How deep block comments could nest at most: the greatest excess of openings over closings in a stretch."""
+    depth = most = 0
+    for m in _COMMENT_EDGE.finditer(text):
+        depth = depth + 1 if m.group() == "/*" else max(depth - 1, 0)
+        most = max(most, depth)
+    return most
+
+
+def _flat_comment(t: str) -> str:
+    if not t.startswith("/*") or len(t) < 4:
+        return t
+    return (t[:4] + " */" if re.match(r"/\*\*[^*/]", t) else " ") + "\n" * t.count("\n")
 
 
 # ---------------------------------------------------------------- TypeScript
@@ -290,6 +368,12 @@ _TS_INNER = r"[^`\\{}]|\\."
 _TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`)*\}"
 for _ in range(3):
     _TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`|" + _TS_BRACES + r")*\}"
+#: Comments, strings, regular expressions and (by their first character) template literals of TypeScript.
+TS_TEXT = re.compile(
+    r"//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|`|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
+    r"|(?:[(,=:\[!&|?{};~+\-*%<>]|\breturn|\btypeof|\bcase)[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*",
+    re.S,
+)
 _TS_TOKEN = re.compile(
     r"(?:[ \t\f\r ]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+("
     + _MARKER
@@ -331,4 +415,9 @@ def _ts_class(t: str) -> str:
 def typescript_classes(text: str) -> str:
     """The class string of a TypeScript text; a line break is `$`."""
     get = TS.get
-    return "".join([get(t) or _ts_class(t) for t in _TS_TOKEN.findall("\n" + text.removeprefix("﻿") + "\n")])
+    text = "\n" + text.removeprefix("﻿") + "\n"
+    out = "".join([get(t) or _ts_class(t) for t in _TS_TOKEN.findall(text)])
+    if ERROR in out and "`" in text:  # templates nested deeper than the pattern goes
+        flat = rewritten(text, TS_TEXT, lambda a, b: "``" + "\n" * text.count("\n", a, b) if text[a] == "`" and b > a + 1 else text[a:b])
+        out = "".join([get(t) or _ts_class(t) for t in _TS_TOKEN.findall(flat)])
+    return out

@@ -148,3 +148,15 @@ class C {
 function f() { switch (x) { default: { g(); } } return { /** Makes it wet. */ rain() { } }; }
 """.replace("WIDE", wide)
     assert found("ts", text) == [(3, "Store::load"), (7, "A::send"), (11, "api::weigh"), (11, "api::count"), (16, "C::paint"), (18, "f::rain")]
+
+
+def test_no_bounds_on_what_stands_in_between():
+    far = " " * 900
+    deep = "/* " * 12 + "x" + " */" * 12
+    rust = f"/// Says it.\n#[a({'(' * 9}{')' * 9})]\n{deep}\npub(crate){far}async{far}unsafe{far}extern \"C\"{far}fn go() {{ let s = 1; {deep} }}\n"
+    assert [(f[0], f[1]) for f in documented_functions("rs", rust)] == [(4, "go")]
+    template = "`a" + "${`b" * 9 + "{" + "`}" * 9 + "`"
+    ts = f"/** Says it. */\nfunction go() {{\n  const a = {template};\n  return a;\n}}\n/** Says more. */\nfunction on() {{ return 1; }}\n"
+    assert [(f[0], f[1]) for f in documented_functions("ts", ts)] == [(2, "go"), (7, "on")]
+    python = f'def go():\n    """Says it."""{far}# and more\n    return 1\n'
+    assert [(f[0], f[1]) for f in documented_functions("py", python)] == [(1, "go")]

@@ -93,3 +93,10 @@ def test_repeated_rows_and_other_columns(spark):
     df = spark.createDataFrame(rows, "id long, ext string, text string, copy int")
     assert [r[0] for r in invalid_ids(df).collect()] == [2]
     assert invalid_ids(df.limit(0)).count() == 0
+
+
+def test_nesting_of_any_depth(spark):
+    deep = "/* " * 40 + "x" + " */" * 40
+    template = "`a" + "${`b" * 30 + "${ {a: {b: {c: {d: {}}}}}.a }" + "`}" * 30 + "`"
+    assert bad(spark, "rs", [deep, f"fn f() {{ {deep} }}\n", deep[:-2], "#[a([[[[[1]]]]])]\nfn f() {}\n"]) == {2}
+    assert bad(spark, "ts", [f"const a = {template};\n", f"const a = {template[:-1]};\n", f"{template} a b"]) == {1, 2}
