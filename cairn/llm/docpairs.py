@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.lexers import RS_TEXT, TS_TEXT, comment_end, rewritten
-from cairn.llm.syntax import LANGUAGE_OF, invalid_ids, source_files
-from cairn.session import table
+from cairn.llm.syntax import OTHER, invalid_rows, known_files, source_files, syntax_rows
+from cairn.session import checkpoint, table
 
 # ------------------------------------------------------------------------------------------ does a text say something?
 # The generic words that count as no documentation.
@@ -550,32 +550,26 @@ def documented_functions(ext: str, text: str):
     return out
 
 
-_SCHEMA = "doc_id long, start_line long, qualified_name string, signature string, code string, description string"
+_TEXTS = ("qualified_name", "signature", "code", "description")
+_COLUMNS = pa.schema([("start_line", pa.int64()), *[(c, pa.string()) for c in _TEXTS]])
 
 
-def _extract(batches):
-    for batch in batches:
-        rows = []
-        for i, ext, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            rows += [(i, *f) for f in documented_functions(ext, text)]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
-        names = ["doc_id", "start_line", "qualified_name", "signature", "code", "description"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+def function_pairs(files: DataFrame, texts: bool = True) -> DataFrame:
+    """(doc_id, start_line, qualified_name, signature, code, description) of (id, ext, text); without `texts` only
+    (doc_id, start_line).
 
-
-def function_pairs(files: DataFrame) -> DataFrame:
-    """(doc_id, start_line, qualified_name, signature, code, description) of (id, ext, text).
-
-    Files that do not parse, unknown extensions and null texts give nothing; repeated rows count once.
+    Files that do not parse, unknown extensions and null texts give nothing; repeated rows count once. Functions and what
+    decides whether a file parses come from one pass over the texts.
     """
-    known = files.filter(F.col("ext").isin(*LANGUAGE_OF) & F.col("text").isNotNull()).select("id", "ext", "text")
-    pairs = known.mapInArrow(_extract, _SCHEMA)
-    return pairs.join(invalid_ids(files).withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").distinct()
+    columns = _COLUMNS if texts else pa.schema([_COLUMNS.field(0)])
+    find = documented_functions if texts else lambda ext, text: [f[:1] for f in documented_functions(ext, text)]
+    rows = checkpoint(syntax_rows(known_files(files), find, columns))
+    found = rows.filter(F.col("seq") == OTHER).select(F.col("id").alias("doc_id"), *columns.names)
+    return found.join(invalid_rows(rows).withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").distinct()
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return function_pairs(source_files(table(spark, sf_dir, "documents"))).select("doc_id", "start_line").distinct()
+    return function_pairs(source_files(table(spark, sf_dir, "documents")), texts=False)
 
 
 def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

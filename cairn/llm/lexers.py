@@ -72,6 +72,23 @@ def rewritten(text: str, pattern: re.Pattern, put) -> str:
     return "".join(out)
 
 
+class _ClassOf(dict):
+    """The class of each token: the fixed ones, and by `rule` the others, of which short ones are remembered."""
+
+    def __init__(self, fixed: dict[str, str], rule):
+        super().__init__(fixed)
+        self.fixed, self.rule = fixed, rule
+
+    def __missing__(self, token: str) -> str:
+        c = self.rule(token)
+        if len(token) < 64:
+            if len(self) > 300_000:
+                self.clear()
+                self.update(self.fixed)
+            self[token] = c
+        return c
+
+
 def _classes(spec: str) -> dict[str, str]:
     """'x: a b, y: c' -> {'a': 'x', 'b': 'x', 'c': 'y'}"""
     out = {}
@@ -139,7 +156,8 @@ o / // % << >> & | ^
 
 _PY_FIELD = r"\{{(?:[^{{}}{0}]|\{{[^{{}}{0}]*\}})+\}}"
 _PY_TOKEN = re.compile(
-    r"(?:[ \t\f\r]+|\\\r?\n|\#[^\n]*)*+("
+    r"[ \t\f\r]*+(?:(?:\\\r?\n|\#[^\n]*)[ \t\f\r]*+)*+("
+    + r"""[A-Za-z_]\w*+(?!["'])|[()\[\]{},]|"""  # most tokens; the rest is tried only for others
     + _MARKER
     + r"""|\n(?:[ \t\f\r]*(?:\#[^\n]*)?\n)*+[ \t\f]*"""
     + r"""|(?:[bBuU]|[bB]?[rR]|[rR][bB])?(?:\"{3}(?:[^"\\]|\\.|"(?!""))*+\"{3}|'{3}(?:[^'\\]|\\.|'(?!''))*+'{3})"""
@@ -173,10 +191,12 @@ def _py_class(t: str) -> str:
     return "N" if c.isidentifier() else ERROR
 
 
+_PY_OF = _ClassOf(PY, _py_class)
+
+
 def python_classes(text: str) -> str:
     """The class string of a Python text; every code line begins with `$` and its indentation."""
-    get = PY.get
-    return "".join([get(t) or _py_class(t) for t in _PY_TOKEN.findall("\n" + text.removeprefix("﻿") + "\n")])
+    return "".join(map(_PY_OF.__getitem__, _PY_TOKEN.findall("\n" + text.removeprefix("﻿") + "\n")))
 
 
 # ---------------------------------------------------------------- Rust
@@ -250,7 +270,8 @@ for _ in range(6):
 #: Comments (block comments by their first characters) and strings of Rust.
 RS_TEXT = re.compile(r"//[^\n]*|/\*|\b(?:br|cr|r)(\#*)\".*?\"\1|\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\\n]|\\(?:x..|u\{[^}]*\}|.))'", re.S)
 _RS_TOKEN = re.compile(
-    r"(?:[ \t\f\r]+|//(?!/(?!/))[^\n]*|" + r"(?!/\*\*[^*/])" + _RS_NESTED + ")*+("
+    r"[ \t\f\r]*+(?:(?://(?!/(?!/))[^\n]*|" + r"(?!/\*\*[^*/])" + _RS_NESTED + r")[ \t\f\r]*+)*+("
+    + r"""(?!pub\b)[A-Za-z_]\w*+(?!["'\#])|[(){}\[\],;]|"""
     + _MARKER
     + r"|\n\s*|///(?!/)[^\n]*|" + _RS_NESTED
     + r"""|(?:br|cr|r)(\#*)".*?"\2|[bc]?""" + _RS_STRING
@@ -284,14 +305,17 @@ def _rs_class(t: str) -> str:
     return "N" if c.isidentifier() else ERROR
 
 
+_RS_OF = _ClassOf(RS, _rs_class)
+
+
 def rust_classes(text: str) -> str:
     """The class string of a Rust text; line breaks are kept as line feeds. Outer documentation is a token (`D`)."""
-    get = RS.get
+    of = _RS_OF
     text = "\n" + text.removeprefix("﻿") + "\n"
     if text.count("/*") > 5 and _may_nest(text) > 5:  # comments nested deeper than the pattern goes
         whole = text
         text = rewritten(whole, RS_TEXT, lambda a, b: _flat_comment(whole[a:b]))
-    return "".join([get(t) or _rs_class(t) for t, _ in _RS_TOKEN.findall(text)])
+    return "".join([of[t] for t, _ in _RS_TOKEN.findall(text)])
 
 
 def _may_nest(text: str) -> int:
@@ -375,7 +399,8 @@ TS_TEXT = re.compile(
     re.S,
 )
 _TS_TOKEN = re.compile(
-    r"(?:[ \t\f\r ]+|//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)*+("
+    r"[ \t\f\r ]*+(?:(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)[ \t\f\r ]*+)*+("
+    + r"(?!return\b|typeof\b|case\b)[A-Za-z_]\w*+(?!\$)|[)\]]|[(\[{},;](?![ \t]*/)|"
     + _MARKER
     + r"|\n\s*|/\*|`(?:[^`\\$]|\\.|\$(?!\{)|\$" + _TS_BRACES + r")*`"
     + r"""|"(?:[^"\\\n]|\\(?:\r\n|.))*+"|'(?:[^'\\\n]|\\(?:\r\n|.))*+'"""
@@ -412,12 +437,14 @@ def _ts_class(t: str) -> str:
     return ERROR
 
 
+_TS_OF = _ClassOf(TS, _ts_class)
+
+
 def typescript_classes(text: str) -> str:
     """The class string of a TypeScript text; a line break is `$`."""
-    get = TS.get
     text = "\n" + text.removeprefix("﻿") + "\n"
-    out = "".join([get(t) or _ts_class(t) for t in _TS_TOKEN.findall(text)])
+    out = "".join(map(_TS_OF.__getitem__, _TS_TOKEN.findall(text)))
     if ERROR in out and "`" in text:  # templates nested deeper than the pattern goes
         flat = rewritten(text, TS_TEXT, lambda a, b: "``" + "\n" * text.count("\n", a, b) if text[a] == "`" and b > a + 1 else text[a:b])
-        out = "".join([get(t) or _ts_class(t) for t in _TS_TOKEN.findall(flat)])
+        out = "".join(map(_TS_OF.__getitem__, _TS_TOKEN.findall(flat)))
     return out

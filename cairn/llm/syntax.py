@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from cairn.llm.lexers import ERROR, INDENT_BASE, PY, RS, TS, python_classes, rust_classes, typescript_classes
 from cairn.session import broadcast_if_small, checkpoint, table
@@ -333,35 +334,44 @@ def _typescript_rows(text: str):
 ROWS_OF = {"py": _python_rows, "rs": _rust_rows, "ts": _typescript_rows}
 
 
-#: What `seq` holds for a pair and for a skeleton; marks have their order.
-PAIR, SKELETON = -1, -2
-_ROWS = "id long, copy long, seq int, code string"
+#: What `seq` holds for a pair, for a skeleton and for what else was looked for; marks have their order.
+PAIR, SKELETON, OTHER = -1, -2, -3
+_ROWS = pa.schema([("id", pa.int64()), ("copy", pa.int64()), ("seq", pa.int32()), ("mark", pa.int32()), ("code", pa.string())])
 
 
-def syntax_rows(documents: DataFrame) -> DataFrame:
-    """(id, copy, seq, code): what the lexer finds in each text of (id, ext, text): pairs as `ext:xy`, skeletons as in
-    `SKELETONS`, marks as one character. `copy` numbers the input rows, so that repeated rows of an id stay apart."""
+def syntax_rows(documents: DataFrame, find=None, columns: pa.Schema = pa.schema([])) -> DataFrame:
+    """(id, copy, seq, mark, code): what the lexer finds in each text of (id, ext, text): in `code` pairs as `ext:xy` and
+    skeletons as in `SKELETONS`, in `mark` the number of a mark's character. `copy` numbers the input rows, so that
+    repeated rows of an id stay apart. What `find(ext, text)` lists in the same pass comes as rows of its `columns`."""
+    schema = pa.schema([*_ROWS, *columns])
 
     def run(batches):
         copy = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, copies, seqs, codes = [], [], [], []
+            ids, copies, seqs, signs, codes, found = [], [], [], [], [], []
             for i, ext, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 pairs, statements, marks = ROWS_OF[ext](text)
                 codes += [f"{ext}:{p}" for p in pairs]
                 codes += statements
-                codes += marks
+                codes += [None] * len(marks)
+                signs += [0] * (len(pairs) + len(statements))
+                signs += map(ord, marks)
                 seqs += [PAIR] * len(pairs)
                 seqs += [SKELETON] * len(statements)
                 seqs += range(len(marks))
                 n = len(codes) - len(ids)
                 ids += [i] * n
                 copies += [copy] * n
+                if find is not None:
+                    found += [(i, copy, OTHER, 0, None, *x) for x in find(ext, text)]
                 copy += 1
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, copies, seqs, codes), kinds)], ["id", "copy", "seq", "code"])
+            parts = [pa.array(x, f.type) for x, f in zip((ids, copies, seqs, signs, codes), _ROWS)]
+            parts += [pa.nulls(len(ids), f.type) for f in columns]
+            yield pa.RecordBatch.from_arrays(parts, schema=schema)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found), schema)], schema=schema)
 
-    return documents.select("id", "ext", "text").mapInArrow(run, _ROWS)
+    return documents.select("id", "ext", "text").mapInArrow(run, from_arrow_schema(schema))
 
 
 def _underivable(batches):
@@ -384,32 +394,41 @@ def invalid_ids(documents: DataFrame) -> DataFrame:
 
     Null texts and unknown extensions are not judged. The empty text is valid, and so is a byte order mark.
     """
-    spark = documents.sparkSession
-    known = documents.filter(F.col("ext").isin(*LANGUAGE_OF) & F.col("text").isNotNull())
-    rows = checkpoint(syntax_rows(known))  # three uses of one pass over the texts
+    return invalid_rows(checkpoint(syntax_rows(known_files(documents))))  # three uses of one pass over the texts
+
+
+def known_files(documents: DataFrame) -> DataFrame:
+    return documents.filter(F.col("ext").isin(*LANGUAGE_OF) & F.col("text").isNotNull())
+
+
+def invalid_rows(rows: DataFrame) -> DataFrame:
+    """(id) of `invalid_ids`, from the (written) rows of `syntax_rows`."""
+    spark = rows.sparkSession
     # fixed size: a few thousand rows that follow from the rules
     odd = rows.filter(F.col("seq") == PAIR).join(F.broadcast(permissible_pairs(spark)), "code", "left_anti")
     skeletons = rows.filter(F.col("seq") == SKELETON)
     wrong = checkpoint(skeletons.select("code").distinct().mapInArrow(_underivable, "code string"))
     unsound = skeletons.join(broadcast_if_small(wrong), "code", "left_semi")
-    return odd.select("id").unionByName(unsound.select("id")).unionByName(_badly_nested(rows.filter(F.col("seq") >= 0))).distinct()
+    return odd.select("id").unionByName(unsound.select("id")).unionByName(_badly_nested(rows.filter(F.col("seq") >= 0).select("id", "copy", "seq", "mark"))).distinct()
 
 
 def _badly_nested(marks: DataFrame) -> DataFrame:
-    """(id): texts whose marks (id, copy, seq, code) do not nest, or hold an error."""
-    code = F.col("code")
-    opens, closes = code.isin("(", "[", "{", INDENT), code.isin(")", "]", "}", DEDENT)
+    """(id): texts whose marks (id, copy, seq, mark) do not nest, or hold an error."""
+    mark, one = F.col("mark"), lambda x: F.lit(ord(x))
+    among = lambda c, xs: c.isin(*map(ord, xs))
+    opens, closes = among(mark, ["(", "[", "{", INDENT]), among(mark, [")", "]", "}", DEDENT])
     run = Window.partitionBy("copy").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     level = Window.partitionBy("copy", "level").orderBy("seq")
-    prev, following = F.lag("code").over(level), F.lead("code").over(level)
-    opener = F.when(code == ")", "(").when(code == "]", "[").when(code == "}", "{").otherwise(INDENT)
-    wrong = F.when(code == ERROR, True).when(closes, ~prev.eqNullSafe(opener) & ~((code == DEDENT) & (prev.isin(*"hfEerwxzdmc")) & prev.isNotNull()))
-    wrong = wrong.when(opens & (code != INDENT), ~following.eqNullSafe(F.when(code == "(", ")").when(code == "[", "]").otherwise("}")))
+    prev, following = F.lag("mark").over(level), F.lead("mark").over(level)
+    opener = F.when(mark == one(")"), one("(")).when(mark == one("]"), one("[")).when(mark == one("}"), one("{")).otherwise(one(INDENT))
+    closer = F.when(mark == one("("), one(")")).when(mark == one("["), one("]")).otherwise(one("}"))
+    error = mark == one(ERROR)
+    wrong = F.when(error, True).when(closes, ~prev.eqNullSafe(opener) & ~((mark == one(DEDENT)) & among(prev, "hfEerwxzdmc") & prev.isNotNull()))
+    wrong = wrong.when(opens & (mark != one(INDENT)), ~following.eqNullSafe(closer))
     for head, before in AFTER.items():
-        wrong = wrong.when((code == head) & ~F.coalesce(prev.isin(*before), F.lit(False)), True)
+        wrong = wrong.when((mark == one(head)) & ~F.coalesce(among(prev, before), F.lit(False)), True)
     for head, after in BEFORE.items():
-        wrong = wrong.when((code == head) & ~F.coalesce(following.isin(*after), F.lit(False)), True)
-    error = code == ERROR
+        wrong = wrong.when((mark == one(head)) & ~F.coalesce(among(following, after), F.lit(False)), True)
     return (
         marks.withColumn("depth", F.sum(F.when(error, 0).when(opens, 1).when(closes, -1).otherwise(0)).over(run))
         .withColumn("level", F.when(error, -1).otherwise(F.col("depth") + F.when(closes, 1).otherwise(0)))
