@@ -209,6 +209,14 @@ class Lines:
         return bisect_left(self.ends, position) + 1
 
 
+def _word_starts(pattern: re.Pattern, code: str, inner: str = "_"):
+    """The matches of `pattern` that do not begin inside a word, nor behind one of the characters `inner`."""
+    for m in pattern.finditer(code):
+        at = m.start()
+        if not at or not (code[at - 1].isalnum() or code[at - 1] in inner):
+            yield m
+
+
 def _end_before(text: str, at: int, spaces: str) -> int:
     """The end of what stands before `at`, without `spaces`."""
     while at and text[at - 1] in spaces:
@@ -218,13 +226,14 @@ def _end_before(text: str, at: int, spaces: str) -> int:
 
 # ------------------------------------------------------------------------------------------ Python
 _PY_DEF = re.compile(r"^([ \t]*)((?:async[ \t]+)?def)[ \t]+(\w+)|^([ \t]*)class[ \t]+(\w+)", re.M)
+_PY_QUOTED = re.compile(_PY_TEXT.pattern.replace("[A-Za-z]{0,2}", ""), re.S)  # prefixes stay outside: no try at each letter
 _PY_DOC = re.compile(r"(?:[ \t\r\n]|\#[^\n]*|\\\n)*([rRuU]?)(\"{3}|'{3}|\"|')", re.S)
 _PY_SUITE = re.compile(r"[()\[\]{}:]")
 _PY_REST = re.compile(r"[ \t]*(?:\#[^\n]*)?\r?(?:\n|;|\Z)")
 
 
 def _python_pairs(text: str):
-    code = _PY_TEXT.sub(lambda m: _blank(m.group(), 0 if m.group()[0] == "#" else 1), text)
+    code = _PY_QUOTED.sub(lambda m: _blank(m.group(), 0 if m.group()[0] == "#" else 1), text)
     lines = code.split("\n")
     starts, depth_at, depth, at = [], [], 0, 0
     for ln in lines:
@@ -278,9 +287,10 @@ def _python_pairs(text: str):
 
 
 # ------------------------------------------------------------------------------------------ Rust
-_RS_FN = re.compile(r"\bfn\s+(?:r\#)?(\w+)")
+# These begin with letters, so that the search skips fast; `_word_starts` drops matches inside of words.
+_RS_FN = re.compile(r"fn\s+(?:r\#)?(\w+)")
 _RS_MODIFIERS = {"pub", "async", "unsafe", "const", "default", "extern", "crate"}
-_RS_OWNER = re.compile(r"\b(impl|trait)\b([^;{]*)\{")
+_RS_OWNER = re.compile(r"(impl|trait)\b([^;{]*)\{")
 _RS_FRONT = re.compile(
     r"///(?!/)([^\n]*)|//[^\n]*|(/\*)|\#\s*\[\s*doc\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|r(\#*)\"(.*?)\"\4)\s*\]", re.S
 )
@@ -358,9 +368,9 @@ def _rust_pairs(text: str):
     code = rewritten(text, RS_TEXT, lambda a, b: _blank(text[a:b], 0 if text[a] == "/" else 1))
     bare = _without_attributes(code)
     blocks, found, opened, lines = Blocks(bare), [], _opened_at(bare), Lines(text)
-    for m in _RS_OWNER.finditer(bare):
+    for m in _word_starts(_RS_OWNER, bare):
         blocks.names[m.end() - 1] = _rust_owner(m.group(1), m.group(2))
-    for m in _RS_FN.finditer(bare):
+    for m in _word_starts(_RS_FN, bare):
         c, at = _body_start(bare, m.end())
         if c == "{":
             blocks.names[at] = m.group(1)
@@ -374,14 +384,14 @@ def _rust_pairs(text: str):
 
 
 # ------------------------------------------------------------------------------------------ TypeScript
-_TS_FUNCTION = re.compile(r"\bfunction\b\s*\*?\s*([\w$]+)\s*(?=[(<])")
-_TS_ARROW = re.compile(r"\bconst\s+([\w$]+)\s*(?::(?:[^=;]|=>)+?)?=(?![=>])\s*(?:async\b\s*)?(?=[(<\w$])")
-_TS_CLASS = re.compile(r"(?<![.\w$])(class|interface)\b\s*(?!(?:extends|implements)\b)([\w$]*)\s*(?=[<{]|(?:extends|implements)\b)")
+_TS_FUNCTION = re.compile(r"function\b\s*\*?\s*([\w$]+)\s*(?=[(<])")
+_TS_ARROW = re.compile(r"const\s+([\w$]+)\s*(?::(?:[^=;]|=>)+?)?=(?![=>])\s*(?:async\b\s*)?(?=[(<\w$])")
+_TS_CLASS = re.compile(r"(class|interface)\b\s*(?!(?:extends|implements)\b)([\w$]*)\s*(?=[<{]|(?:extends|implements)\b)")
 _TS_HEAD = re.compile(r"=>|[<>(){}\[\];]")
 #: A brace after one of these opens an object literal (or a type, whose methods have no bodies).
 _TS_OBJECT = re.compile(r"(?:(?:\b(?:const|let|var)\s+([\w$]+)\s*(?::[^={}();]*)?=|([\w$]+)\s*:)|[=(,\[?|&]|\b(?:return|default|yield|await))\s*\Z")
 _TS_METHOD = re.compile(
-    r"(?<=[\n;{}),])[ \t\r]*((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
+    r"[\n;{}),][ \t\r]*((?:(?:public|private|protected|static|async|override|readonly|get|set|declare|accessor)\s+)*)(?:\*\s*)?(\#?[\w$]+)\s*\??\s*(?:<[^(){};]*>)?\s*\("
 )
 _TS_RETURN = re.compile(r"\s*(?::[^;{}=]*(?:\{[^{}]*\}[^;{}=]*)*?)?\s*\{")
 _TS_TO_ARROW = re.compile(r"\s*(?::[^;=]*?)?\s*=>\s*")
@@ -472,12 +482,12 @@ def _typescript_pairs(text: str):
             return _blank(t)
         if t[0] == "`":
             texts[start] = end
-        return _blank(t, 1)
+        return _blank(t, 1) if t[0] != "/" else "0" + _blank(t[1:])
 
     code, lines = rewritten(text, TS_TEXT, hide), Lines(text)
     blocks, found = Blocks(code), []
     classes = {}
-    for m in _TS_CLASS.finditer(code):
+    for m in _word_starts(_TS_CLASS, code, "._$"):
         at = _class_body(code, m.end())
         if at >= 0:
             blocks.names[at] = m.group(2) or "default"
@@ -493,13 +503,13 @@ def _typescript_pairs(text: str):
                 blocks.names.setdefault(at, m.group(1) or m.group(2))
         return at is not None and classes[at]
 
-    for m in _TS_FUNCTION.finditer(code):
+    for m in _word_starts(_TS_FUNCTION, code):
         c, at = _body_start(code, code.find("(", m.end()))
         close = _close_of(code, code.find("(", m.end()))
         r = _TS_RETURN.match(code, close + 1) if close > 0 else None
         if r:
             found.append((m.group(1), m.start(), m.start(), r.end() - 1, None))
-    for m in _TS_ARROW.finditer(code):
+    for m in _word_starts(_TS_ARROW, code):
         g = _TS_GENERIC.match(code, m.end())
         at = g.end() if g else m.end()
         if code[at : at + 1] == "(":
@@ -550,7 +560,7 @@ def documented_functions(ext: str, text: str):
     return out
 
 
-_TEXTS = ("qualified_name", "signature", "code", "description")
+_TEXTS = ("qualified_name", "signature", "body", "description")  # the rows have a `code` already
 _COLUMNS = pa.schema([("start_line", pa.int64()), *[(c, pa.string()) for c in _TEXTS]])
 
 
@@ -564,7 +574,7 @@ def function_pairs(files: DataFrame, texts: bool = True) -> DataFrame:
     columns = _COLUMNS if texts else pa.schema([_COLUMNS.field(0)])
     find = documented_functions if texts else lambda ext, text: [f[:1] for f in documented_functions(ext, text)]
     rows = checkpoint(syntax_rows(known_files(files), find, columns))
-    found = rows.filter(F.col("seq") == OTHER).select(F.col("id").alias("doc_id"), *columns.names)
+    found = rows.filter(F.col("seq") == OTHER).select(F.col("id").alias("doc_id"), *[F.col(c).alias("code" if c == "body" else c) for c in columns.names])
     return found.join(invalid_rows(rows).withColumnRenamed("id", "doc_id"), "doc_id", "left_anti").distinct()
 
 

@@ -57,18 +57,40 @@ def template_end(text: str, at: int) -> int:
     return i
 
 
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
+_BEFORE_REGEX = set("(,=:[!&|?{};~+-*%<>")
+
+
+def regex_end(text: str, at: int) -> int:
+    """The end of the regular expression at the slash `at`; -1 if it is a division."""
+    i = at
+    while i and text[i - 1] in " \t":
+        i -= 1
+    if i and text[i - 1] not in _BEFORE_REGEX and not text.endswith(("return", "typeof", "case"), 0, i):
+        return -1
+    m = _REGEX.match(text, at)
+    return m.end() if m else -1
+
+
+#: Where what begins with these characters ends.
+_END_OF = {"`": template_end, "/*": comment_end, "/": regex_end}
+
+
 def rewritten(text: str, pattern: re.Pattern, put) -> str:
-    """`text` with put(start, end) in the place of every match of `pattern`, a nested comment or template taken whole."""
-    out, at = [], 0
-    while m := pattern.search(text, at):
-        start, end = m.span()
-        if m.group() == "`" or m.group() == "/*":
-            end = (template_end if m.group() == "`" else comment_end)(text, start)
-            end = m.end() if end < 0 else end
-        out.append(text[at:start])
-        out.append(put(start, end))
-        at = end
-    out.append(text[at:])
+    """`text` with put(start, end) in the place of every match of `pattern`; what begins with one of `_END_OF` is taken to
+    its end, and stays as it is if it has none."""
+    out, at, last, search = [], 0, 0, pattern.search
+    while m := search(text, at):
+        start, at = m.span()
+        if at - start < 3 and (find := _END_OF.get(m.group())):
+            end = find(text, start)
+            if end < 0:
+                continue
+            at = end
+        out.append(text[last:start])
+        out.append(put(start, at))
+        last = at
+    out.append(text[last:])
     return "".join(out)
 
 
@@ -392,12 +414,8 @@ _TS_INNER = r"[^`\\{}]|\\."
 _TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`)*\}"
 for _ in range(3):
     _TS_BRACES = r"\{(?:[^{}`]|`(?:[^`\\]|\\.)*`|" + _TS_BRACES + r")*\}"
-#: Comments, strings, regular expressions and (by their first character) template literals of TypeScript.
-TS_TEXT = re.compile(
-    r"//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|`|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
-    r"|(?:[(,=:\[!&|?{};~+\-*%<>]|\breturn|\btypeof|\bcase)[ \t]*/(?![*/])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*",
-    re.S,
-)
+#: Comments and strings of TypeScript, template literals and regular expressions by their first character.
+TS_TEXT = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/|`|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|/", re.S)
 _TS_TOKEN = re.compile(
     r"[ \t\f\r ]*+(?:(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)[ \t\f\r ]*+)*+("
     + r"(?!return\b|typeof\b|case\b)[A-Za-z_]\w*+(?!\$)|[)\]]|[(\[{},;](?![ \t]*/)|"
