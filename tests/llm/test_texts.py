@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import chunking, fusion, leakage, packing, spans
@@ -43,7 +45,7 @@ def test_leaks_equal_brute_force(spark):
 
 
 # ---------------------------------------------------------------- p10
-def test_shared_spans_equal_brute_force(spark):
+def test_shared_spans_equal_brute_force(spark, monkeypatch):
     random.seed(4)
     say = lambda n: "".join(random.choice("abcdefgh é\n😀") for _ in range(n))
     parts = {n: say(n) for n in (319, 320, 321, 400, 700)}
@@ -69,6 +71,32 @@ def test_shared_spans_equal_brute_force(spark):
         got[r["id"]] = got.get(r["id"], 0) + r["hi"] - r["lo"]
     assert got == cover
     assert spans.documents_sharing(df.limit(0)).collect() == []
+    monkeypatch.setattr(spans, "BROADCAST_LOG", 0)
+    monkeypatch.setattr(spans, "BLOCK", 3)
+    assert {r[0] for r in spans.documents_sharing(df).collect()} == set(cover)
+
+
+@pytest.mark.parametrize("seeds", [3_700_000, 37_000_000, 370_000_000, 10**12])
+def test_sketch_filters_at_any_size(seeds):
+    """The seeds of one range of the sketch, which hold 1/ranges of all, of three partitions; some are in two texts."""
+    rng, log_width = np.random.default_rng(5), spans.sketch_width(seeds)
+    bits = log_width - spans.RANGE_LOG
+    some = seeds >> bits
+    h = (rng.integers(0, 1 << (64 - bits), some, dtype=np.uint64)) | np.uint64(3 << (64 - bits))
+    twice = h[:500]
+    parts = [(np.arange(len(x)), x) for x in (h[: some // 2], np.concatenate([h[some // 2 :], h[some // 2 :]]))]
+    parts[1] = (np.tile(np.arange(some - some // 2), 2) + some, parts[1][1])  # a text that has its seeds twice
+    parts.append((np.full(500, -1), twice))
+    rows = []
+    for ids, seed in parts:
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seed.view(np.int64))], ["id", "seed"])
+        rows += [r for b in spans._partial_sketches(log_width)([batch]) for r in b.to_pylist()]
+    assert {r["range"] for r in rows} == {3}
+    merged = spans._merge([pa.scalar(3)], pa.Table.from_pylist(rows))
+    packed = np.frombuffer(spans.zlib.decompress(merged.column("bits")[0].as_py()), np.uint8)
+    passed = spans._passes(h, np.zeros(len(h), np.int64), packed)
+    assert passed[:500].all()
+    assert passed[500:].mean() < 0.05
 
 
 # ---------------------------------------------------------------- p4
