@@ -1,18 +1,27 @@
 """The most similar vectors for every vector, by multiprobe p-stable hashing and exact reranking.
 
-Equal vectors are one class: one representative is hashed, members are put back at the end. Each of `TABLES` tables
-hashes a unit vector by `HASHES` projections h_i = floor((a_i . v + b_i) / WIDTH). A vector is stored in its own bucket
-and looks into that and `PROBES` perturbed ones, in the order of the estimated success of their perturbations (squared
-distances to the cell borders). Pairs that meet in any table carry a 64-bit sign sketch each; pairs whose sketches are
-too far apart for `min_cosine` are dropped before the vectors are joined and the exact cosine is taken.
+Equal vectors are one class: one representative is hashed, members are put back at the end. Each table hashes a unit
+vector by projections h_i = floor((a_i . v + b_i) / WIDTH). A vector is stored in its own bucket and looks into that and
+`PROBES` perturbed ones, in the order of the estimated success of their perturbations (squared distances to the cell
+borders). Pairs that meet in any table carry a 64-bit sign sketch each; pairs whose sketches are too far apart for
+`min_cosine` are dropped before the vectors are joined and the exact cosine is taken.
+
+How many hashes and tables there are follows from the number of vectors (`index_shape`): so many hashes that a bucket
+holds `OCCUPANCY` vectors of no relation, whatever their number, and so many tables that a pair of cosine `min_cosine`
+meets in one of them with a probability of `SUCCESS`. So neither the recall nor the pairs for each vector depend on the
+size; the rows for each vector grow as about its power of 0.22.
 
 A bucket of more than `FULL` vectors is compared by matrix products instead of pair by pair: its members and all vectors
-that look into it are split into blocks of `BLOCK`, and each vector keeps its nearest ones of every block.
+that look into it are split into blocks of `BLOCK`, and each vector keeps its nearest ones of every block. In the other
+buckets a vector meets at most `FULL` others for each probe; a bucket that very many look into is one side of a join
+whose other side adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +32,7 @@ from cairn.llm.hashing import mix
 from cairn.session import broadcast_if_small, checkpoint, table
 
 DIMENSION, NEIGHBOURS, MIN_COSINE = 64, 5, 0.93
-TABLES, HASHES, PROBES, WIDTH = 4, 16, 10, 2.0
+PROBES, WIDTH, OCCUPANCY, SUCCESS = 4, 2.0, 8.0, 0.97
 FULL, BLOCK, SLICE, SEED = 400, 4096, 512, 20240229
 
 
@@ -51,19 +60,44 @@ def perturbation_sets(hashes: int, probes: int) -> list[tuple[int, ...]]:
     return out
 
 
-def _planes(level: int, t: int, dimension: int):
-    rng = np.random.default_rng([SEED, level, t])
-    width = WIDTH / 2**level
-    return rng.normal(size=(dimension, HASHES)), rng.uniform(0, width, HASHES), rng.integers(1, 1 << 62, HASHES), width
-
-
-def bucket_keys(v: np.ndarray, level: int, probes: int) -> np.ndarray:
-    """(rows, TABLES, 1 + probes) bucket keys of unit vectors; the first of each is the vector's own bucket."""
-    sets = perturbation_sets(HASHES, probes) if probes else []
-    out = np.empty((len(v), TABLES, 1 + probes), np.int64)
-    for t in range(TABLES):
-        a, b, weights, width = _planes(level, t, v.shape[1])
-        x = (v @ a + b) / width
+def same_cell(distance: float, width: float = WIDTH) -> float:
+    """The probability that one hash of two vectors at a distance is equal."""
+    c = width / distance
+    return math.erf(c / math.sqrt(2)) - math.sqrt(2 / math.pi) / c * (1 - math.exp(-c * c / 2))
+
+
+@cache
+def table_success(hashes: int, distance: float, probes: int = PROBES, samples: int = 4000) -> float:
+    """The share of pairs at `distance` of which one looks into the other's bucket of one table, by simulation."""
+    place_of = {frozenset(s): i for i, s in enumerate(perturbation_sets(hashes, probes))}
+    rng = np.random.default_rng([SEED, hashes])
+    x = rng.uniform(size=(samples, hashes))
+    y = x + rng.normal(size=x.shape) * (distance / WIDTH)
+    moved = np.floor(y).astype(int)
+    found = ~moved.any(axis=1)
+    for below, to in ((x, moved), (y - moved, -moved)):
+        order = np.argsort(np.concatenate([below, 1 - below], axis=1), axis=1)
+        place = np.argsort(order, axis=1)
+        for i in np.flatnonzero(~found & (np.abs(to) <= 1).all(axis=1)):
+            found[i] = frozenset(int(place[i, j if to[i, j] < 0 else j + hashes]) for j in np.flatnonzero(to[i])) in place_of
+    return float(found.mean())
+
+
+def index_shape(vectors: int, min_cosine: float) -> tuple[int, int]:
+    """(hashes, tables) for so many vectors: see the module's text. Vectors of no relation are at a distance of sqrt(2)."""
+    hashes = max(8, math.ceil(math.log(max(1.0, vectors / OCCUPANCY)) / -math.log(same_cell(math.sqrt(2)))))
+    success = table_success(hashes, math.sqrt(max(1e-6, 2 - 2 * min_cosine)))
+    return hashes, max(1, math.ceil(math.log(1 - SUCCESS) / math.log(1 - min(max(success, 1e-6), 0.999))))
+
+
+def bucket_keys(v: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
+    """(rows, tables, 1 + probes) bucket keys of unit vectors; the first of each is the vector's own bucket."""
+    sets = perturbation_sets(hashes, probes) if probes else []
+    out = np.empty((len(v), tables, 1 + probes), np.int64)
+    for t in range(tables):
+        rng = np.random.default_rng([SEED, hashes, t])
+        a, b, weights = rng.normal(size=(v.shape[1], hashes)), rng.uniform(0, WIDTH, hashes), rng.integers(1, 1 << 62, hashes)
+        x = (v @ a + b) / WIDTH
         cell = np.floor(x)
         own = (cell.astype(np.int64) * weights).sum(axis=1)
         keys = [own]
@@ -72,7 +106,7 @@ def bucket_keys(v: np.ndarray, level: int, probes: int) -> np.ndarray:
             order = np.argsort(np.concatenate([below, 1 - below], axis=1), axis=1)
             change = np.concatenate([-weights, weights])[order]
             keys += [own + change[:, list(s)].sum(axis=1) for s in sets]
-        salted = np.stack(keys, axis=1).view(np.uint64) + np.uint64((level << 8) + t)
+        salted = np.stack(keys, axis=1).view(np.uint64) + np.uint64(t)
         out[:, t, :] = mix(salted).view(np.int64)
     return out
 
@@ -98,13 +132,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return _unit(column.flatten(), len(column))
 
 
-def _hashed(level: int, probes: int):
+def _hashed(shape: tuple[int, int], probes: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _matrix(batch.column(1))
-            keys = bucket_keys(v, level, probes)
+            keys = bucket_keys(v, *shape, probes)
             per = keys.shape[1] * keys.shape[2]
             ids = np.repeat(batch.column(0).to_numpy(), per)
             yield pa.RecordBatch.from_arrays(
@@ -230,8 +264,9 @@ def candidate_pairs(points: DataFrame, k: int, min_cosine: float) -> DataFrame:
     """(a, b) with a < b: pairs of ids of `points` (id, vec, first) that the tables and the sketches propose, once each;
     of crowded buckets those among the k nearest of one of the two."""
     limit, vectors = sketch_limit(min_cosine), points.select("id", "vec")
-    entries = vectors.mapInArrow(_hashed(0, 0), "bucket long, id long, sketch long")
-    probes = vectors.mapInArrow(_hashed(0, PROBES), "bucket long, id long, sketch long")
+    shape = index_shape(points.count(), min_cosine)
+    entries = vectors.mapInArrow(_hashed(shape, 0), "bucket long, id long, sketch long")
+    probes = vectors.mapInArrow(_hashed(shape, PROBES), "bucket long, id long, sketch long")
     hot = checkpoint(entries.groupBy("bucket").count().filter(F.col("count") > FULL).select("bucket"))
     crowded = None
     if not hot.isEmpty():

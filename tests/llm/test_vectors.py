@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import vectors as V
@@ -39,7 +40,7 @@ def test_empty_table(spark):
     assert V.most_similar(spark.createDataFrame([], SCHEMA), 5, 0.93, 8).collect() == []
 
 
-def test_crowded_buckets_go_to_finer_levels(spark, monkeypatch):
+def test_recall_of_a_small_crowd(spark, monkeypatch):
     monkeypatch.setattr(V, "FULL", 8)
     rng = np.random.default_rng(1)
     centre = rng.normal(size=8)
@@ -97,3 +98,47 @@ def test_nearest_five_of_all_without_a_threshold(spark, monkeypatch):
     got = V.most_similar(spark.createDataFrame(rows, SCHEMA), 5, None, 8).collect()
     assert {(r["record"], r["neighbour"]) for r in got} == exact(rows, 5, -2)
     assert len(got) == 5 * len(rows)
+
+
+def test_shape_keeps_success_and_occupancy_at_any_size():
+    for n in (10, 20_000, 200_000, 20_000_000, 10**9, 10**11):
+        hashes, tables = V.index_shape(n, 0.93)
+        assert n * V.same_cell(2**0.5) ** hashes <= V.OCCUPANCY
+        assert 1 - (1 - V.table_success(hashes, 0.14**0.5)) ** tables >= V.SUCCESS
+        assert tables * (2 + V.PROBES) <= 60 * max(1, n / 10**5) ** 0.3
+
+
+@pytest.mark.parametrize("size", [20_000, 20_000_000])
+def test_planted_pairs_meet_in_a_table(size):
+    """Pairs of cosine 0.93 to 0.97, in the index of a table of `size` vectors."""
+    rng = np.random.default_rng(7)
+    a, shape = rng.normal(size=(3000, 64)), V.index_shape(size, 0.93)
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.normal(size=a.shape)
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    for cosine in (0.93, 0.95, 0.97):
+        b = cosine * a + np.sqrt(1 - cosine**2) * off
+        ka, kb = (V.bucket_keys(x, *shape, V.PROBES) for x in (a, b))
+        met = (ka == kb[:, :, :1]).any(axis=(1, 2)) | (kb == ka[:, :, :1]).any(axis=(1, 2))
+        assert met.mean() >= 0.9
+
+
+def test_recall_in_a_crowd_of_thousands(spark, monkeypatch):
+    """7,000 of 21,000 vectors in one cluster, nearest ones at cosines of 0.93 to 0.97."""
+    monkeypatch.setattr(V, "FULL", 100)
+    rows = clustered(21_000, 0.27, 9)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {}
+    for r in V.most_similar(df).select("record", "cosine").collect():
+        got.setdefault(r[0], []).append(r[1])
+    m = np.array([v for _, v, _ in rows[:7000]], np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    wanted = found = 0
+    for i in range(0, 7000, 20):
+        cos = np.round(m[i] @ m.T, 6)
+        cos[i] = -1
+        best = np.sort(cos[cos >= 0.93])[::-1][:5]
+        wanted += len(best)
+        found += min(len(best), sum(c >= best[-1] - 2e-6 for c in got.get(rows[i][0], []))) if len(best) else 0
+    assert wanted > 500 and found >= 0.9 * wanted
