@@ -118,9 +118,9 @@ def sketches(v: np.ndarray) -> np.ndarray:
 
 
 def sketch_limit(min_cosine: float) -> int:
-    """Differing signs up to which a pair is kept: the expected number at `min_cosine` plus five deviations."""
+    """Differing signs up to which a pair is kept: the expected number at `min_cosine` plus 3.5 deviations, which 2 pairs in 10,000 at that cosine exceed."""
     p = float(np.arccos(np.clip(min_cosine, -1, 1)) / np.pi)
-    return min(64, int(np.ceil(64 * p + 5 * np.sqrt(64 * p * (1 - p)))))
+    return min(64, int(np.ceil(64 * p + 3.5 * np.sqrt(64 * p * (1 - p)))))
 
 
 def _unit(values: pa.Array, rows: int) -> np.ndarray:
