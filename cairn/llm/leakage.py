@@ -1,15 +1,21 @@
 """Evaluation texts leaking into documents: MinHash containment search over word shingles.
 
-An item leaks in passages, so the sets that are searched are those of passages: the 12-word windows of an item, each
-the set of its 8 five-word shingles. Containment of a short set in a long document is hopeless for MinHash, because
-their Jaccard similarity is small; therefore documents are partitioned by size down to windows of the same 12 words.
-In this size class containment 1 is Jaccard 1, and a single MinHash row finds every contained passage. The signature
-of a document is the set of the MinHashes of its windows, about two for nine words. Candidates that share one are
-verified by the exact containment of a 12-word shingle.
+`contained_items` finds the items of which a document contains most (by default four fifths of their five-word shingles).
+The Jaccard similarity of a short item and a long document is small even if all of the item is in it, so documents are
+partitioned by size, in powers of two. In each partition the containment is turned into the Jaccard similarity that an
+item must have at least with a document of the partition's greatest size, and from that follows how many MinHash rows
+both get there: so many that one of them agrees with a probability of `FOUND`. Candidates are verified by the exact
+containment of the shingles.
+
+`leaked_items` asks for less: 12 consecutive words, which are far below any containment of a whole item. There the sets
+are the passages - the 12-word windows, each the set of its 8 five-word shingles - so that both sides have the same size
+and containment 1 is Jaccard 1: a single MinHash row finds every contained passage. The signature of a document is the
+set of the MinHashes of its windows, about two for nine words. Candidates that share one are verified on the words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -18,10 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.hashing import all_windows, prefix_hash, window_minima
+from cairn.llm.hashing import all_windows, mix, prefix_hash, window_minima
 from cairn.session import broadcast_if_small, checkpoint, table
 
 PASSAGE_WORDS, SHINGLE_WORDS = 12, 5
+CONTAINMENT, FOUND, SEED = 0.8, 0.99, 20240301
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -103,6 +110,120 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_verified, "doc_id long, item_id long").distinct()
 
 
+# ------------------------------------------------------------------------------------------ containment of whole items
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's five-word shingles; a text of fewer words has none."""
+    ws = words(text)
+    return np.unique(all_windows(word_prefix(ws), SHINGLE_WORDS)) if len(ws) >= SHINGLE_WORDS else np.zeros(0, np.uint64)
+
+
+def containment(item: str, doc: str) -> float:
+    """The share of an item's distinct five-word shingles that a document has, compared as words; 0 without shingles."""
+    n, wi, wd = SHINGLE_WORDS, words(item), words(doc)
+    a = {tuple(wi[i : i + n]) for i in range(len(wi) - n + 1)}
+    b = {tuple(wd[i : i + n]) for i in range(len(wd) - n + 1)}
+    return len(a & b) / len(a) if a else 0.0
+
+
+def rows_needed(item: int, partition: int, least: float) -> int:
+    """MinHash rows for items of `item` shingles and documents of less than 2^(partition + 1); 0 where no document of the
+    partition can hold enough of the item."""
+    longest, common = 2 ** (partition + 1) - 1, math.ceil(least * item)
+    if longest < common:
+        return 0
+    jaccard = common / (item + longest - common)
+    return 1 if jaccard >= 1 else math.ceil(math.log(1 - FOUND) / math.log(1 - jaccard))
+
+
+_factors = np.zeros(0, np.uint64)
+
+
+def _multipliers(n: int) -> np.ndarray:
+    global _factors
+    if len(_factors) < n:
+        size = 1 << n.bit_length()
+        _factors = np.random.default_rng(SEED).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return _factors[:n]
+
+
+def minhash_keys(shingles: np.ndarray, rows: int, partition: int) -> np.ndarray:
+    """One key for each MinHash row, different for every row and partition."""
+    factors, out = _multipliers(rows), np.empty(rows, np.uint64)
+    step = max(1, (1 << 20) // max(1, len(shingles)))
+    for i in range(0, rows, step):
+        out[i : i + step] = (shingles[None, :] * factors[i : i + step, None]).min(axis=1)
+    return mix(out + mix(np.arange(rows, dtype=np.uint64) + np.uint64(partition << 32))).view(np.int64)
+
+
+def _keys_of(each):
+    """(id, key) rows: `each(size)` lists the (rows, partition) that a text of so many shingles gets."""
+
+    def run(batches):
+        for batch in batches:
+            ids, keys = [], [np.zeros(0, np.int64)]
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shingles = shingle_set(text)
+                for rows, partition in each(len(shingles)) if len(shingles) else ():
+                    ids += [i] * rows
+                    keys.append(minhash_keys(shingles, rows, partition))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys))], ["id", "key"])
+
+    return run
+
+
+def _sizes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([len(shingle_set(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["size"])
+
+
+def _contained(least: float):
+    def run(batches):
+        for batch in batches:
+            share = [containment(i, d) for d, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = pa.array([x >= least for x in share], pa.bool_())
+            cols = [batch.column(0), batch.column(1), pa.array([round(x, 6) for x in share], pa.float64())]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], ["doc_id", "item_id", "containment"])
+
+    return run
+
+
+def _id_texts(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("long").alias("id"), "text")
+
+
+def contained_items(documents: DataFrame, items: DataFrame, least: float = CONTAINMENT) -> DataFrame:
+    """(doc_id, item_id, containment): documents that have at least `least` of an item's distinct five-word shingles.
+
+    Null texts and texts of fewer than five words match nothing. Of repeated keys with different texts the best pair
+    counts. Only the distinct sizes of the items and the greatest partition come to the driver.
+    """
+    wanted = _id_texts(items, "item_id").distinct()
+    docs = _id_texts(documents, "doc_id")
+    known = sorted(r[0] for r in wanted.select("text").mapInArrow(_sizes, "size long").filter("size > 0").distinct().collect())
+    # a word has a letter at least, and so has what stands between two
+    longest = (docs.agg(F.max(F.length("text"))).first()[0] or 0) // 2 + 1
+    partitions = range(longest.bit_length())
+    most = {p: max((rows_needed(q, p, least) for q in known), default=0) for p in partitions}
+    of_item = _keys_of(lambda size: [(n, p) for p in partitions if (n := rows_needed(size, p, least))])
+    of_doc = _keys_of(lambda size: [(most[p], p)] if most.get(p := size.bit_length() - 1) else [])
+    item_keys = wanted.mapInArrow(of_item, "id long, key long").withColumnRenamed("id", "item_id").distinct()
+    doc_keys = docs.mapInArrow(of_doc, "id long, key long").withColumnRenamed("id", "doc_id")
+    met = doc_keys.join(broadcast_if_small(checkpoint(item_keys), 1_000_000), "key")
+    candidates = checkpoint(met.select("doc_id", "item_id").distinct())
+    pairs = (
+        docs.select(F.col("id").alias("doc_id"), F.col("text").alias("doc")).join(broadcast_if_small(candidates), "doc_id")
+        .join(broadcast_if_small(wanted.select(F.col("id").alias("item_id"), F.col("text").alias("item")), 2_000), "item_id")
+        .select("doc_id", "item_id", "doc", "item")
+    )
+    found = pairs.mapInArrow(_contained(least), "doc_id long, item_id long, containment double")
+    return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
+
+
+def p9_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, containment): documents that hold most of an item."""
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -114,4 +235,4 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {}
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items}
+QUERIES = {"p9_method": p9_method, "p9_found": p9_found, "p9_items": p9_items}

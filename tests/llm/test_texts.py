@@ -44,6 +44,30 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked_items(dd, ii.limit(0)).collect() == [] and leakage.leaked_items(dd.limit(0), ii).collect() == []
 
 
+def test_containment_search_equals_brute_force(spark):
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    items = [(i, say(random.choice([5, 9, 40, 63, 159]))) for i in range(25)] + [(30, None), (31, ""), (32, "four words are few"), (3, None)]
+    items += [items[4], (40, items[5][1].upper().replace(" ", "_; "))]
+    docs = []
+    for d in range(150):
+        ws = items[d % 25][1].split()
+        cut = ws[: max(1, int(len(ws) * random.choice([0.5, 0.7, 0.9, 1.0])))]
+        docs.append((d, " ".join([say(random.choice([0, 3, 60, 900])), *cut, say(random.choice([0, 5, 300]))])))
+    docs += [(200, None), (201, ""), (202, items[6][1]), (203, items[6][1] + " " + say(6000)), docs[0], (None, items[0][1])]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            if d is not None and t and x and (c := leakage.containment(x, t)) >= 0.8:
+                want[d, i] = round(c, 6)
+    dd = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(7))
+    ii = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x"))
+    got = {(r[0], r[1]): r[2] for r in leakage.contained_items(dd, ii).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.97 * len(want) > 50
+    assert leakage.contained_items(dd, ii.limit(0)).collect() == [] and leakage.contained_items(dd.limit(0), ii).collect() == []
+
+
 # ---------------------------------------------------------------- p10
 def test_shared_spans_equal_brute_force(spark, monkeypatch):
     random.seed(4)
