@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +47,10 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.mapInArrow(count, "doc_id long, tokens long").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
 
 
-def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int, most: np.ndarray) -> np.ndarray:
-    """Pricing: how many of each size (ascending, at most `most`) give the greatest value within `capacity`.
+def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
+    """Pricing: how many of each size (ascending) give the greatest value within `capacity`, and that value.
 
-    The knapsack is solved by dynamic programming over the capacity, with unbounded counts; counts beyond `most` are
-    then cut, which leaves room that a later pattern or the residue uses.
+    The knapsack is solved by dynamic programming over the capacity, with unbounded counts.
     """
     best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
@@ -69,19 +69,24 @@ def best_pattern(sizes: np.ndarray, values: np.ndarray, capacity: int, most: np.
         else:
             counts[take[c]] += 1
             c -= sizes[take[c]]
-    return np.minimum(counts, most)
+    return counts, float(best[capacity])
 
 
-def covering_lp(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int, eta: float = 0.5) -> dict:
-    """An approximate fractional solution {pattern: how often} of min sum x with every size covered `need` times.
+def covering_lp(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int, eta: float = 0.5) -> tuple[dict, float]:
+    """An approximate fractional solution {pattern: how often} of min sum x with every size covered `need` times, and a
+    lower bound of that sum.
 
     Multiplicative weights: a size starts with its length as price, which falls exponentially with how far it is covered;
-    each round prices the best pattern and uses it as often as its scarcest size allows. The sum is scaled so that the
-    items are covered once on average.
+    each round prices the best pattern, cuts it to what is there, and uses it as often as its scarcest size allows. The
+    sum is scaled so that the items are covered once on average. Prices whose best pattern is worth 1 are a solution of
+    the dual, so what all items are worth by them is a bound; the first round's is the volume.
     """
-    covered, x = np.zeros(len(sizes)), {}
+    covered, x, bound = np.zeros(len(sizes)), {}, 0.0
     for _ in range(rounds):
-        pattern = best_pattern(sizes, np.exp(-eta * (covered - covered.min())) * sizes, capacity, need)
+        price = np.exp(-eta * (covered - covered.min())) * sizes
+        pattern, value = best_pattern(sizes, price, capacity)
+        bound = max(bound, float((price * need).sum()) / value) if value else bound
+        pattern = np.minimum(pattern, need)
         if not pattern.any():
             break
         step = float((need[pattern > 0] / pattern[pattern > 0]).min())
@@ -89,15 +94,17 @@ def covering_lp(sizes: np.ndarray, need: np.ndarray, capacity: int, rounds: int,
         x[key] = x.get(key, 0.0) + step
         covered += step * pattern / need
     scale = float((covered * sizes * need).sum() / (sizes * need).sum()) or 1.0
-    return {k: v / scale for k, v in x.items()}
+    return {k: v / scale for k, v in x.items()}, bound
 
 
-def _fill(sizes: np.ndarray, left: np.ndarray, capacity: int) -> np.ndarray:
-    """The fullest pattern that starts with the greatest size left and goes on greedily by best fit."""
-    counts, room = np.zeros(len(sizes), np.int64), capacity
+def _fill(sizes: np.ndarray, left: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """The pattern `counts` (or an empty one) filled up greedily from the greatest size left that fits."""
+    counts = np.zeros(len(sizes), np.int64) if counts is None else counts.copy()
+    left, room = left - counts, capacity - int((counts * sizes).sum())
     for j in np.flatnonzero(left)[::-1]:
         k = min(int(left[j]), room // int(sizes[j]))
-        counts[j], room = k, room - k * int(sizes[j])
+        counts[j] += k
+        room -= k * int(sizes[j])
         if room < sizes[0]:
             break
     return counts
@@ -114,13 +121,16 @@ def pack_histogram(sizes: np.ndarray, need: np.ndarray, capacity: int, phases=(4
         live = np.flatnonzero(left)
         if not len(live):
             break
-        x = covering_lp(sizes[live], left[live], capacity, rounds)
+        x, _ = covering_lp(sizes[live], left[live], capacity, rounds)
         for key, times in sorted(x.items(), key=lambda kv: (-kv[1], kv[0])):
             pattern = np.zeros(len(sizes), np.int64)
             pattern[live] = np.frombuffer(key, np.int64)
+            if (pattern > left).any():
+                continue
+            pattern = _fill(sizes, left, capacity, pattern)  # a cut pattern has room, which the greatest sizes take
             used = pattern > 0
             k = min(int(times + 0.5), int((left[used] // pattern[used]).min()))
-            if k > 0 and int((pattern * sizes).sum()) >= 0.97 * capacity:
+            if k > 0:
                 out.append((pattern, k))
                 left -= pattern * k
     while left.any():
@@ -136,16 +146,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     """(doc_id, piece, tokens, container) for items (doc_id, tokens): every item in one container of `capacity`.
 
     Items above the capacity, and only they, are split into full pieces and a rest; null sizes count as 0. Lengths are
-    rounded up to `classes` steps of the capacity, so the driver sees a histogram of at most that many rows. Items
+    rounded up to at most `classes` steps of the capacity (what is longer than the last whole step fills a container
+    alone), so the driver sees a histogram of at most that many rows. Items
     of one class take the places of the class in the patterns by their rank in it; ranks are distributed, so no class is
     gathered anywhere. Empty items join container 0.
     """
-    step = max(1, capacity // classes)
+    step = -(-capacity // classes)
     pieces = checkpoint(
         items.withColumn("tokens", F.coalesce("tokens", F.lit(0)))
         .withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int"))))
         .select("doc_id", "piece", F.least(F.col("tokens") - F.col("piece") * capacity, F.lit(capacity)).alias("tokens"))
-        .withColumn("class", F.ceil(F.col("tokens") / step).cast("int"))
+        .withColumn("class", F.least(F.ceil(F.col("tokens") / step), F.lit(capacity // step)).cast("int"))
     )
     histogram = sorted((r["class"], r["count"]) for r in pieces.filter("class > 0").groupBy("class").count().collect())
     keys, offsets, bases, per = [], [], [], []
@@ -178,6 +189,22 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     )
 
 
+def lower_bounds(items: DataFrame, capacity: int = CAPACITY, rounds: int = 150) -> tuple[int, int, float]:
+    """(pieces, containers by volume, containers by the dual of the LP): what no packing can be below.
+
+    The histogram is exact: one row for each length up to the capacity.
+    """
+    size = F.coalesce("tokens", F.lit(0))
+    whole, rest = F.floor(size / capacity), size % capacity
+    lengths = items.select(whole.alias("whole"), rest.alias("rest")).groupBy("rest").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole"))
+    rows = lengths.collect()
+    full = sum(r["whole"] for r in rows)
+    sizes, need = (np.array(x, np.int64) for x in list(zip(*sorted((r["rest"], r["n"]) for r in rows if r["rest"]))) or ((), ()))
+    pieces, volume = full + int(need.sum()), full + math.ceil(int((sizes * need).sum()) / capacity)
+    bound = full + covering_lp(sizes, need, capacity, rounds)[1] if len(sizes) else float(full)
+    return pieces, volume, bound
+
+
 def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents")))
 
@@ -190,5 +217,14 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(containers, volume_bound, lp_bound): how many containers there are, and how many there must be at least."""
+    tokens = checkpoint(token_counts(table(spark, sf_dir, "documents")))
+    _, volume, bound = lower_bounds(tokens)
+    return pack(tokens).agg((F.max("container") + 1).alias("containers")).select(
+        "containers", F.lit(volume).cast("long").alias("volume_bound"), F.lit(math.ceil(bound - 1e-6)).cast("long").alias("lp_bound")
+    )
+
+
 SQL = {}
-QUERIES = {"p8_packing": p8_packing, "p8_containers": p8_containers}
+QUERIES = {"p8_packing": p8_packing, "p8_containers": p8_containers, "p8_bounds": p8_bounds}

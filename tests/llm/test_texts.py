@@ -172,6 +172,24 @@ def test_packing_uses_every_item_once_and_fits(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, tokens long")).collect() == []
 
 
+@pytest.mark.parametrize("capacity", [1, 7, 100, 511, 513, 2050, 2051, 4099])
+def test_packing_takes_any_capacity(spark, capacity):
+    random.seed(capacity)
+    rows = [(i, random.randrange(0, capacity + 1)) for i in range(150)] + [(900, capacity), (901, capacity - 1), (902, capacity + 1), (903, 3 * capacity)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens long")
+    used, placed = {}, 0
+    for r in packing.pack(df, capacity).collect():
+        used[r["container"]] = used.get(r["container"], 0) + r["tokens"]
+        placed += r["tokens"]
+    pieces, volume, bound = packing.lower_bounds(df, capacity, 20)
+    assert placed == sum(n for _, n in rows) and max(used.values()) <= capacity
+    assert volume == math.ceil(placed / capacity) and volume - 1 <= bound + 1e-6 <= len(used) + 1e-5 and pieces >= len(used)
+
+
+def test_the_bound_of_halves_exceeds_the_volume():
+    assert packing.covering_lp(np.array([60]), np.array([10]), 100, 5)[1] == 10
+
+
 def test_histogram_solution_is_close_to_the_bound():
     sizes, need = np.array([3, 5, 7, 11, 64, 100]), np.array([400, 300, 200, 100, 50, 37])
     plan = packing.pack_histogram(sizes, need, 128)
