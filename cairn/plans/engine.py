@@ -283,18 +283,12 @@ class Engine:
             v.write("semantic_records", D.delete_by_key(t["semantic_records"], keys, "record_id").unionByName(rows))
             new = v.reread("semantic_records").filter(F.col("record_id").isin([f"semantic:file_card:{i}" for i in ids]))
             v.write("late_vectors", D.delete_by_key(t["late_vectors"], keys, "record_id").unionByName(self._late(new)))
-            for n in TABLES:
-                if n not in ("file_cards", "semantic_records", "late_vectors"):
-                    v.write(n, t[n])
         return {"enriched": len(ids), "files": ids}
 
     def rebuild_semantic(self) -> dict:
         """Derive all records, embeddings and late vectors again from facts and cards."""
         t = {n: self.store.read(n) for n in TABLES}
         with self.store.commit() as v:
-            for n in TABLES:
-                if n not in ("semantic_records", "late_vectors"):
-                    v.write(n, t[n])
             v.write("semantic_records", self._embedded(self._records(t["files"], t["symbols"], t["code_chunks"], t["file_cards"], t["folder_cards"], t["repo_cards"])))
             v.write("late_vectors", self._late(v.reread("semantic_records")))
         return self.summary()
