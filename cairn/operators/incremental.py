@@ -135,11 +135,13 @@ class IncrementalFiles:
     def step(self, scans: DataFrame, runs: DataFrame) -> DataFrame:
         """What is due because of rows that no former step decided: (run_id, file_id, scan_id)."""
         ledger = self._ledger()
-        gaps = gap_rows(scans, "scan_id", ledger)
+        columns = ["scan_id", "run_id", "file_id", "source_hash", "input_hash", "seen_at", "arrived_at"]
         with self.store.commit() as version:
+            version.write("gaps", gap_rows(scans.select(F.col("scan_id").cast("long").alias("scan_id"), *columns[1:]), "scan_id", ledger))
+            gaps = version.reread("gaps")
             decided = gaps.join(broadcast_if_small(final_runs(runs)), "run_id", "left_semi")
             version.write("decided", to_intervals(decided, "scan_id"))
-            version.append("batch", eligible_scans(gaps, runs))
+            version.write("batch", eligible_scans(gaps, runs))
             # the rest follows from what was just written, so a task that is run again cannot change what is committed
             fresh = version.reread("batch")
             fresh, history = self._history(fresh) if version.number > 1 else (fresh, None)
@@ -152,7 +154,8 @@ class IncrementalFiles:
                 version.write("state", states)
                 version.folder = version.folder.removesuffix("-merged")
             version.write("ledger", merge_intervals(ledger, version.reread("decided")))
-            version.tables.pop("batch"), version.tables.pop("decided")
+            for passing in ("gaps", "batch", "decided"):
+                version.tables.pop(passing)
         return self.last()
 
     def last(self) -> DataFrame:
