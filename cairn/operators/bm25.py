@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +39,25 @@ def corpus_stats(df: DataFrame, cols: list[str]) -> DataFrame:
 def search(df: DataFrame, key: str, cols: list[str], query: str, limit: int | None = None) -> DataFrame:
     """(id, rank): the rows that hold a term of the query; rank = -BM25, lowest first, ties by id.
 
-    One pass takes N, the mean length and the document frequency of the few query terms as one row; a second scores the
-    rows in place. No token leaves its row, so nothing is shuffled but one row for each partition.
+    One pass takes N, the mean length and the document frequency of the few query terms as one row; a second scores, in
+    place, the rows whose text holds a term as a substring at least. No token leaves its row, so nothing is shuffled but
+    one row for each partition. For many queries `build_postings` is the index to write.
     """
     terms = fts_terms(query)
     rows = tokenised(df, key, cols)
     if not terms:
         return rows.select("id", F.lit(0.0).alias("rank")).limit(0)
-    count = lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("double")
-    tf = rows.select("id", F.size("tokens").alias("len"), F.array(*[count(t) for t in terms]).alias("tf"))
-    stats = tf.agg(
+    count = lambda t: (F.size("tokens") - F.size(F.array_remove("tokens", t))).cast("double")
+    text = F.lower(F.concat_ws(" ", *cols))
+    likely = tokenised(df.filter(reduce(or_, [text.contains(t) for t in terms])), key, cols)
+    counted = lambda x: x.select("id", F.size("tokens").alias("len"), F.array(*[count(t) for t in terms]).alias("tf"))
+    stats = counted(rows).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("len").alias("mean"),
         F.array(*[F.sum((F.col("tf")[i] > 0).cast("long")) for i in range(len(terms))]).alias("df"),
     )
     score = sum(term_score(F.col("tf")[i], idf(F.col("n"), F.col("df")[i]), F.col("len"), F.col("mean")) for i in range(len(terms)))
-    hits = tf.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select("id", (-score).alias("rank"))
+    hits = counted(likely).filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats)).select("id", (-score).alias("rank"))
     return hits.orderBy("rank", "id").limit(limit) if limit else hits
 
 

@@ -20,20 +20,38 @@ RERANK_CANDIDATES, RERANK_WEIGHT, RERANK_CHARS = 40, 0.24, 1400
 GRANULARITIES = ("file", "record", "symbol", "chunk")
 
 
-def candidates(records: DataFrame, plan: QueryPlan, limit: int, query_vector=None) -> DataFrame:
+def _local(rows: DataFrame) -> DataFrame:
+    """The few rows of a ranked limit, computed once."""
+    return rows.sparkSession.createDataFrame(rows.collect(), rows.schema)
+
+
+def record_texts(records: DataFrame) -> DataFrame:
+    """`records` with what full-text search reads, in `TEXT_COLUMNS`."""
+    return records.withColumn("metadata_text", metadata_text("metadata"))
+
+
+TEXT_COLUMNS = ["title", "path", "content", "metadata_text"]
+
+
+def candidates(records: DataFrame, plan: QueryPlan, limit: int, query_vector=None, postings=None) -> DataFrame:
     """Records with any evidence: full-text rank, dense rank, exact and graph score, card hint.
 
-    Without any evidence the first records by record_id are candidates. The evidence of a few hundred ranked records is
-    joined as a bounded broadcast.
+    Without any evidence the first records by record_id are candidates. The ranked records of both searches, a few
+    hundred, are computed once. With `postings` - the tables (term, id, tf, len) and (n, mean) of a stored index - no
+    text is tokenised.
     """
     top = candidate_limit(limit)
-    texts = records.withColumn("metadata_text", metadata_text("metadata"))
-    fts = bm25.search(texts, "record_id", ["title", "path", "content", "metadata_text"], plan.query, top).select(F.col("id").alias("record_id"), F.col("rank").alias("fts_rank"))
+    spark = records.sparkSession
+    if postings is not None:
+        query = spark.createDataFrame([(0, plan.query)], "query_id int, query string")
+        ranked = bm25.search_postings(*postings, query, top)
+    else:
+        ranked = bm25.search(record_texts(records), "record_id", TEXT_COLUMNS, plan.query, top)
+    fts = _local(ranked.select(F.col("id").alias("record_id"), F.col("rank").alias("fts_rank")))
     rows = records.join(F.broadcast(fts), "record_id", "left")
     if query_vector is not None:
-        spark = records.sparkSession
         q = spark.createDataFrame([(0, [float(x) for x in query_vector])], "query_id int, embedding array<float>")
-        dense = dense_topk(records.select(F.col("record_id").alias("id"), "embedding"), q, top).select(F.col("id").alias("record_id"), F.col("pos").alias("dense_rank"))
+        dense = _local(dense_topk(records.select(F.col("record_id").alias("id"), "embedding"), q, top).select(F.col("id").alias("record_id"), F.col("pos").alias("dense_rank")))
         rows = rows.join(F.broadcast(dense), "record_id", "left")
     else:
         rows = rows.withColumn("dense_rank", F.lit(None).cast("int"))
@@ -45,9 +63,11 @@ def candidates(records: DataFrame, plan: QueryPlan, limit: int, query_vector=Non
     rows = rows.withColumns(
         {"exact_score": exact_score(plan), "graph_score": graph_score(plan) if plan.graph_neighbours else F.lit(0.0), "card_hint": hint}
     )
+    # a record found by a search makes the question whether there is any evidence one for no scan
+    sure = not fts.isEmpty()
     some = F.col("fts_rank").isNotNull() | F.col("dense_rank").isNotNull() | (F.col("exact_score") > 0) | (F.col("graph_score") > 0) | F.col("card_hint")
     found = rows.filter(some)
-    return rows.orderBy("record_id").limit(top) if found.isEmpty() else found
+    return rows.orderBy("record_id").limit(top) if not sure and found.isEmpty() else found
 
 
 def apply_late(hits: DataFrame, late: DataFrame, query_tokens: list[str], embedder: Embedder) -> DataFrame:
@@ -95,7 +115,8 @@ def shape(hits: DataFrame, granularity: str, limit: int) -> DataFrame:
 def hydrate(hits: DataFrame, records: DataFrame, file_cards: DataFrame | None = None) -> DataFrame:
     """Hits with summary, description and behaviours: file hits from their card (by path, else by entity), others from
     their record's content."""
-    r = records.join(F.broadcast(hits.select("record_id")), "record_id", "left_semi").select("record_id", "content", "metadata", F.col("path").alias("rpath"))
+    ids = [h[0] for h in hits.select("record_id").collect()]
+    r = records.filter(F.col("record_id").isin(ids)).select("record_id", "content", "metadata", F.col("path").alias("rpath"))
     rows = hits.join(r, "record_id", "left")
     is_file = F.col("entity_type").isin("file", "folder", "repo")
     meta = lambda k: F.try_element_at("metadata", F.lit(k))
@@ -136,7 +157,7 @@ def hydrate(hits: DataFrame, records: DataFrame, file_cards: DataFrame | None =
 
 def search(
     records: DataFrame, query: str, limit: int = 8, granularity: str = "file", late: DataFrame | None = None, file_cards: DataFrame | None = None,
-    embedder: Embedder | None = None, reranker: Reranker | None = None, dense: bool = True,
+    embedder: Embedder | None = None, reranker: Reranker | None = None, dense: bool = True, postings=None,
 ) -> DataFrame:
     """The best `limit` hits for a query text over a record table; see the module's functions for each stage.
 
@@ -146,12 +167,12 @@ def search(
         raise ValueError(f"granularity must be one of {GRANULARITIES}")
     plan = plan_query(query)
     vector = embedder.embed([query])[0] if embedder is not None and dense else None
-    hits = score_records(candidates(records, plan, limit, vector), plan, vector)
+    hits = score_records(candidates(records, plan, limit, vector, postings), plan, vector)
     if vector is not None and late is not None:
         hits = apply_late(hits, late, plan.tokens, embedder)
     if reranker is not None:
         hits = apply_rerank(hits, query, reranker)
-    return hydrate(shape(hits, granularity, limit), records, file_cards).orderBy(F.desc("score"), "path", "record_id")
+    return hydrate(_local(shape(hits, granularity, limit)), records, file_cards).orderBy(F.desc("score"), "path", "record_id")
 
 
 def without_details(hits: DataFrame) -> DataFrame:
