@@ -68,6 +68,14 @@ def build_postings(df: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame,
     return postings.select("term", "id", "tf", "len"), rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
 
 
+def index_rows(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """(term, id, tf, len) to store: the postings, and for each row one with a null term, which holds its length even
+    if it has no token. Rows of an id can be taken out and put in again without touching others."""
+    rows = tokenised(df, key, cols).withColumn("len", F.size("tokens"))
+    terms = rows.select("id", "len", F.explode(F.concat("tokens", F.array(F.lit(None).cast("string")))).alias("term"))
+    return terms.groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "len")
+
+
 def search_postings(postings: DataFrame, stats: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(query_id, id, rank, pos): the `limit` best rows of each query of (query_id, query), over a postings table.
 

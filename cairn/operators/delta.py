@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,34 +109,60 @@ def cascade_paths(records: DataFrame, late: DataFrame, paths: DataFrame) -> tupl
     return delete_by_key(records, k, "path"), delete_by_key(late, gone, "record_id")
 
 
+#: Owner tables, by what stands in a record's id behind `semantic:`: (table, its key, the record's reference to it).
+OWNERS = {
+    "file": ("files", "file_id", "entity_id"),
+    "file_card": ("file_cards", "file_id", "entity_id"),
+    "folder_card": ("folder_cards", "folder_id", "entity_id"),
+    "repo_card": ("repo_cards", "repo_root", "entity_id"),
+    "symbol": ("symbols", "symbol_id", "entity_id"),
+    "snippet": ("files", "path", "path"),
+}
+PRUNED = ("file_cards", "folder_cards", "semantic_records", "fts_records", "late_vectors", "code_chunks")
+
+
 def prune(tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The tables without orphans, and one row of counts.
+    """The tables without orphans, and one row that counts what went from each of `PRUNED`.
 
-    Cards need their file, records their owner by record_id prefix (file, file_card, symbol; snippets their file's path),
-    late vectors a record that stays, chunks their file. Chunk records are not pruned. Keys are compared in canonical spelling.
+    File cards and chunks need their file, folder cards their folder, records their owner by the prefix of their id (see
+    `OWNERS`; owners are looked up in what stays), full-text rows (`fts_records`, by `id`) and late vectors a record that
+    stays. Records of other prefixes stay. A null key refers to nothing, so its row stays. A table that is not given has
+    no orphans, and a table of owners that is not given owns nothing unless its records are to stay: then leave out both.
+    Keys are compared in canonical spelling.
     """
-    files = tables["files"].select(canonical_path("file_id").alias("k")).distinct()
-    stays = lambda df, c, keys: df.join(keys, F.coalesce(c, F.lit("")) == F.col("k"), "left_semi")
-    cards = stays(tables["file_cards"], canonical_path("file_id"), files)
-    owners = (
-        files.select(F.concat(F.lit("file|"), "k").alias("k"))
-        .unionByName(cards.select(F.concat(F.lit("file_card|"), canonical_path("file_id")).alias("k")))
-        .unionByName(tables["read_symbols"].select(F.concat(F.lit("symbol|"), canonical_path("symbol_id")).alias("k")))
-        .distinct()
-    )
-    kind = F.regexp_extract("record_id", r"^semantic:(file_card|file|symbol):", 1)
-    records = tables["semantic_records"]
-    free = records.filter(F.coalesce(kind, F.lit("")) == "")
-    kept = stays(records.filter(kind != ""), F.concat(kind, F.lit("|"), canonical_path("entity_id")), owners).unionByName(free)
-    late = stays(tables["late_vectors"], F.col("record_id"), kept.select(F.col("record_id").alias("k")).distinct())
-    chunks = stays(tables["code_chunks"], canonical_path("file_id"), files)
-    out = {"file_cards": cards, "semantic_records": kept, "late_vectors": late, "code_chunks": chunks}
-    n = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
-    counts = None
-    for name, df in out.items():
-        one = n(tables[name]).withColumnRenamed("n", "b").crossJoin(n(df)).select((F.col("b") - F.col("n")).alias(name))
-        counts = one if counts is None else counts.crossJoin(one)
-    return out, counts
+    out, counts = dict(tables), []
+    key_of = lambda c, name: F.col(c) if name in ("record_id", "id") else canonical_path(c)
+
+    def keep(name: str, column: str, owners: DataFrame) -> None:
+        if name not in tables:
+            return
+        k = owners.filter(F.col("k").isNotNull()).distinct()
+        mine = key_of(column, column)
+        out[name] = tables[name].filter(F.col(column).isNull()).unionByName(tables[name].join(k, mine == F.col("k"), "left_semi"))
+        # a row that no owner matches goes: counted apart, so that no table is counted twice
+        counts.append(tables[name].filter(F.col(column).isNotNull()).join(k, mine == F.col("k"), "left_anti").select(F.lit(name).alias("name")))
+
+    keys = lambda name, column: out[name].select(key_of(column, column).alias("k"))
+    keep("file_cards", "file_id", keys("files", "file_id"))
+    keep("code_chunks", "file_id", keys("files", "file_id"))
+    if "folders" in tables:
+        keep("folder_cards", "folder_id", keys("folders", "folder_id"))
+    if "semantic_records" in tables:
+        known = {p: o for p, o in OWNERS.items() if o[0] in tables}
+        owners = reduce(DataFrame.unionByName, [keys(t, c).select(F.concat(F.lit(p + "|"), "k").alias("k")) for p, (t, c, _) in known.items()])
+        prefix = F.regexp_extract("record_id", r"^semantic:([a-z_]+):", 1)
+        reference = F.create_map(*[x for p, (_, _, r) in known.items() for x in (F.lit(p), canonical_path(r))])[prefix]
+        full = tables["semantic_records"]
+        tables = tables | {"semantic_records": full.withColumn("__owner", F.concat(prefix, F.lit("|"), reference))}
+        key_of = lambda c, name: F.col(c) if name in ("record_id", "id", "__owner") else canonical_path(c)
+        keep("semantic_records", "__owner", owners)
+        out["semantic_records"] = out["semantic_records"].drop("__owner")
+        ids = out["semantic_records"].select(F.col("record_id").alias("k"))
+        keep("fts_records", "id", ids)
+        keep("late_vectors", "record_id", ids)
+    gone = reduce(DataFrame.unionByName, counts) if counts else None
+    one = [F.count(F.when(F.col("name") == n, 1)).alias(n) for n in PRUNED]
+    return out, gone.agg(*one)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -167,8 +194,19 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prune_counts(spark: SparkSession, d: str) -> DataFrame:
-    names = ("files", "file_cards", "semantic_records", "late_vectors", "code_chunks", "read_symbols")
-    return prune({n: table(spark, d, n) for n in names})[1]
+    """What goes from the tables, with folders and full-text rows derived: folders of live files only, and full-text rows
+    of every second day's records under ids that may be gone."""
+    names = ("files", "file_cards", "semantic_records", "late_vectors", "code_chunks")
+    tables = {n: table(spark, d, n) for n in names} | {"symbols": table(spark, d, "read_symbols")}
+    files = tables["files"]
+    tables["folders"] = files.filter("deleted_at IS NULL").select(F.col("parent_folder_id").alias("folder_id")).distinct()
+    tables["folder_cards"] = files.select(F.col("parent_folder_id").alias("folder_id")).distinct()
+    tables["fts_records"] = tables["late_vectors"].select(F.col("record_id").alias("id")).distinct()
+    snippets = files.select(F.concat(F.lit("semantic:snippet:"), "file_id").alias("record_id"), "file_id", F.when(F.col("deleted_at").isNull(), F.col("path")).otherwise(F.concat("path", F.lit(".gone"))).alias("path")).distinct()
+    cards = tables["folder_cards"].select(F.concat(F.lit("semantic:folder_card:"), "folder_id").alias("record_id"), F.col("folder_id").alias("entity_id"))
+    records = tables["semantic_records"].select("record_id", "entity_id", "path")
+    tables["semantic_records"] = records.unionByName(snippets.drop("file_id"), allowMissingColumns=True).unionByName(cards, allowMissingColumns=True)
+    return prune(tables)[1]
 
 
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -202,12 +240,19 @@ SELECT file_id FROM x UNION SELECT t FROM e WHERE s IN (SELECT file_id FROM c) U
     "upsert_merge": """WITH d AS (SELECT o_orderkey * 2 AS o_orderkey, 'U' AS o_orderstatus, o_totalprice + 1 AS price FROM orders WHERE o_orderkey % 3 = 0),
   m AS (SELECT o_orderstatus, o_totalprice AS price FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM d) UNION ALL SELECT o_orderstatus, price FROM d)
 SELECT o_orderstatus, count(*) AS orders, round(sum(price), 2) AS price FROM m GROUP BY 1""",
-    "prune_counts": f"""WITH f AS (SELECT DISTINCT {_P("file_id")} AS k FROM files), c AS (SELECT *, {_P("file_id")} AS k FROM file_cards), ck AS (SELECT * FROM c WHERE k IN (SELECT k FROM f)),
-  r AS (SELECT *, regexp_extract(record_id, '^semantic:(file_card|file|symbol):', 1) AS kind, {_P("entity_id")} AS e FROM semantic_records),
-  rk AS (SELECT * FROM r WHERE kind = '' OR (kind = 'file' AND e IN (SELECT k FROM f)) OR (kind = 'file_card' AND e IN (SELECT k FROM ck)) OR (kind = 'symbol' AND e IN (SELECT symbol_id FROM read_symbols)))
-SELECT (SELECT count(*) FROM c) - (SELECT count(*) FROM ck) AS file_cards, (SELECT count(*) FROM r) - (SELECT count(*) FROM rk) AS semantic_records,
-  (SELECT count(*) FROM late_vectors WHERE record_id NOT IN (SELECT record_id FROM rk)) AS late_vectors,
-  (SELECT count(*) FROM code_chunks WHERE file_id IS NULL OR {_P("file_id")} NOT IN (SELECT k FROM f)) AS code_chunks""",
+    "prune_counts": f"""WITH fi AS (SELECT {_P("file_id")} AS k FROM files), fp AS (SELECT {_P("path")} AS k FROM files),
+  fo AS (SELECT DISTINCT {_P("parent_folder_id")} AS k FROM files WHERE deleted_at IS NULL AND parent_folder_id IS NOT NULL), fc AS (SELECT DISTINCT parent_folder_id AS folder_id FROM files),
+  c AS (SELECT {_P("file_id")} AS k FROM file_cards), ck AS (SELECT k FROM c WHERE k IN (FROM fi)), fck AS (SELECT {_P("folder_id")} AS k FROM fc WHERE {_P("folder_id")} IN (FROM fo)),
+  r AS (SELECT record_id, {_P("entity_id")} AS e, NULL AS p FROM semantic_records
+    UNION ALL SELECT DISTINCT 'semantic:snippet:' || file_id, NULL, {_P("CASE WHEN deleted_at IS NULL THEN path ELSE path || '.gone' END")} FROM files
+    UNION ALL SELECT 'semantic:folder_card:' || folder_id, {_P("folder_id")}, NULL FROM fc),
+  g AS (SELECT *, (record_id LIKE 'semantic:file:%' AND e NOT IN (FROM fi)) OR (record_id LIKE 'semantic:file\\_card:%' ESCAPE '\\' AND e NOT IN (FROM ck))
+      OR (record_id LIKE 'semantic:folder\\_card:%' ESCAPE '\\' AND e NOT IN (FROM fck)) OR (record_id LIKE 'semantic:symbol:%' AND e NOT IN (SELECT {_P("symbol_id")} FROM read_symbols))
+      OR (record_id LIKE 'semantic:snippet:%' AND p NOT IN (FROM fp)) AS gone FROM r),
+  kept AS (SELECT record_id FROM g WHERE gone IS NOT TRUE AND record_id IS NOT NULL)
+SELECT (SELECT count(*) FROM c WHERE k NOT IN (FROM fi)) AS file_cards, (SELECT count(*) FROM fc WHERE {_P("folder_id")} NOT IN (FROM fo)) AS folder_cards,
+  (SELECT count(*) FROM g WHERE gone) AS semantic_records, (SELECT count(DISTINCT record_id) FROM late_vectors WHERE record_id NOT IN (FROM kept)) AS fts_records,
+  (SELECT count(*) FROM late_vectors WHERE record_id NOT IN (FROM kept)) AS late_vectors, (SELECT count(*) FROM code_chunks WHERE {_P("file_id")} NOT IN (FROM fi)) AS code_chunks""",
     "cascade_delete": f"""WITH {_F}, g AS (SELECT path FROM f WHERE deleted_at IS NOT NULL), r AS (SELECT DISTINCT ON (record_id) * FROM semantic_records), l AS (SELECT DISTINCT * FROM late_vectors)
 SELECT 'semantic_records' AS table_name, count(*) AS rows_left FROM r WHERE path NOT IN (SELECT path FROM g)
 UNION ALL SELECT 'late_vectors', count(*) FROM l WHERE record_id NOT IN (SELECT record_id FROM r WHERE path IN (SELECT path FROM g))""",

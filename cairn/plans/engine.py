@@ -11,20 +11,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import sanitize_tags
+from cairn.functions.text import metadata_text, sanitize_tags
 from cairn.operators import delta as D
-from cairn.operators import graph, read, records, reports
+from cairn.operators import bm25, graph, read, records, reports
 from cairn.operators.dense import late_tokens
 from cairn.plans.planner import PREWARM_QUERIES, task_query, wants_tests
-from cairn.plans.search import search, without_details
+from cairn.plans.search import TEXT_COLUMNS, record_texts, search, without_details
 from cairn.providers import Embedder, Enricher, HashEmbedder, Reranker, TemplateEnricher, embed_column, late_vectors, summarise_column
-from cairn.session import checkpoint
+from cairn.session import broadcast_if_small, checkpoint
 from cairn.sources.parse import code_chunks, symbol_facts, with_imports, with_snippets, with_symbols
 
 from cairn.sources.scan import file_facts, read_repository
 from cairn.store import VersionedStore
 
-TABLES = ["files", "folders", "symbols", "edges", "code_chunks", "semantic_records", "late_vectors", "file_cards", "folder_cards", "repo_cards"]
+TABLES = ["files", "folders", "symbols", "edges", "code_chunks", "semantic_records", "late_vectors", "file_cards", "folder_cards", "repo_cards", "postings", "fts_stats"]
 CARD = (
     "file_id string, summary string, role string, primary_behaviors array<string>, behavior_intents array<string>, edit_intents array<string>, retrieval_tags array<string>, "
     "ownership_kind string, owns_behaviors array<string>, delegates_to array<string>, search_phrases array<string>, "
@@ -120,10 +120,16 @@ class Engine:
         self.cancelled = False
 
     # ---------------------------------------------------------------- building
-    def parsed(self) -> DataFrame:
+    def parsed(self, old: DataFrame | None = None) -> DataFrame:
+        """The facts of all files; those with a path and hash that `old` has are taken from there instead of parsed."""
         sources = read_repository(self.spark, self.root, ignores=self.config.ignores)
         facts = file_facts(sources).join(sources.select("path", "text"), "path")
-        return with_snippets(with_imports(with_symbols(facts)))
+        if old is None:
+            return with_snippets(with_imports(with_symbols(facts)))
+        facts = checkpoint(facts)  # one read of the tree
+        known = ["path", "source_hash"]
+        new = with_snippets(with_imports(with_symbols(facts.join(old.select(*known), known, "left_anti"))))
+        return new.unionByName(old.join(facts.select(*known), known, "left_semi").select(*new.columns))
 
     def _resolved(self, files: DataFrame) -> DataFrame:
         """`files` with their imports resolved against their own paths."""
@@ -197,6 +203,38 @@ class Engine:
             out = out.unionByName(more)
         return out
 
+    def _same(self, rows: DataFrame, old: dict | None) -> DataFrame | None:
+        """(record_id, embedding) of the old records whose text is that of `rows`."""
+        if old is None:
+            return None
+        text = F.xxhash64(F.coalesce("title", F.lit("")), F.coalesce("path", F.lit("")), F.coalesce("content", F.lit("")), F.coalesce(metadata_text("metadata"), F.lit(""))).alias("__text")
+        return rows.select("record_id", text).join(old["semantic_records"].select("record_id", text, "embedding"), ["record_id", "__text"]).select("record_id", "embedding")
+
+    def _write_records(self, v, rows: DataFrame, old: dict | None = None) -> None:
+        """Records, late vectors and full-text postings of `rows`; those of records that did not change are taken over from
+        `old`, so only new and changed texts are embedded and tokenised."""
+        if old is None:
+            v.write("semantic_records", self._embedded(rows))
+            fresh = v.reread("semantic_records")
+            v.write("late_vectors", self._late(fresh))
+            self._write_postings(v, bm25.index_rows(record_texts(fresh), "record_id", TEXT_COLUMNS))
+            return
+        rows = checkpoint(rows)
+        same = checkpoint(self._same(rows, old))
+        ids = broadcast_if_small(same.select("record_id"))
+        fresh = checkpoint(self._embedded(rows.join(ids, "record_id", "left_anti")))
+        v.write("semantic_records", fresh.unionByName(rows.join(same, "record_id")))
+        v.write("late_vectors", old["late_vectors"].join(ids, "record_id", "left_semi").unionByName(self._late(fresh)))
+        kept = old["postings"].join(same.select(F.col("record_id").alias("id")), "id", "left_semi")
+        self._write_postings(v, kept.unionByName(bm25.index_rows(record_texts(fresh), "record_id", TEXT_COLUMNS)))
+        self.log.event("embedded", fresh=fresh.count(), kept=same.count())
+
+    def _write_postings(self, v, rows: DataFrame) -> None:
+        """The stored index, sorted by term so that a search reads the row groups of its terms; `term` is null in the row
+        that each record has for its length."""
+        v.write("postings", rows.repartitionByRange("term").sortWithinPartitions("term", "id"))
+        v.write("fts_stats", v.reread("postings").filter("term IS NULL").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")))
+
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
 
@@ -222,8 +260,7 @@ class Engine:
             v.write("folder_cards", self.folder_cards(folder_rows, made) if enrich else (folder_cards if folder_cards is not None else self._empty(FOLDER_CARD)))
             v.write("repo_cards", self.repo_card(v.reread("folder_cards")) if enrich else (repo_cards if repo_cards is not None else self._empty(REPO_CARD)))
             self._check()
-            v.write("semantic_records", self._embedded(self._records(files, symbols, chunks, made, v.reread("folder_cards"), v.reread("repo_cards"))))
-            v.write("late_vectors", self._late(v.reread("semantic_records")))
+            self._write_records(v, self._records(files, symbols, chunks, made, v.reread("folder_cards"), v.reread("repo_cards")), old)
             v.write("invalidation_queue", old["marks"] if old else self._empty("entity_id string, entity_kind string, reason string"))
 
     def _chunks(self, chunks: DataFrame, old: dict | None) -> DataFrame:
@@ -252,7 +289,7 @@ class Engine:
         if not self.store.current():
             return self.index() | {"changed": None}
         old = {n: self.store.read(n) for n in TABLES}
-        found = checkpoint(self.parsed())  # the texts are parsed once
+        found = checkpoint(self.parsed(old["files"]))  # only changed texts are parsed, once
         parsed = checkpoint(self._resolved(found))
         change = D.snapshot_delta(old["files"], parsed)
         if change.is_noop():
@@ -278,19 +315,17 @@ class Engine:
         with self.store.commit() as v:
             v.write("file_cards", D.delete_by_key(t["file_cards"], some.select("file_id"), "file_id").unionByName(fresh))
             made = v.reread("file_cards")
-            rows = self._embedded(records.card_records(made.filter(F.col("file_id").isin(ids)), "file_card"))
-            keys = made.filter(F.col("file_id").isin(ids)).select(F.concat(F.lit("semantic:file_card:"), "file_id").alias("k"))
-            v.write("semantic_records", D.delete_by_key(t["semantic_records"], keys, "record_id").unionByName(rows))
-            new = v.reread("semantic_records").filter(F.col("record_id").isin([f"semantic:file_card:{i}" for i in ids]))
-            v.write("late_vectors", D.delete_by_key(t["late_vectors"], keys, "record_id").unionByName(self._late(new)))
+            fresh_records = records.card_records(made.filter(F.col("file_id").isin(ids)), "file_card")
+            keys = fresh_records.select("record_id")
+            rows = D.delete_by_key(t["semantic_records"].drop("embedding"), keys, "record_id").unionByName(fresh_records)
+            self._write_records(v, rows, t)
         return {"enriched": len(ids), "files": ids}
 
     def rebuild_semantic(self) -> dict:
         """Derive all records, embeddings and late vectors again from facts and cards."""
         t = {n: self.store.read(n) for n in TABLES}
         with self.store.commit() as v:
-            v.write("semantic_records", self._embedded(self._records(t["files"], t["symbols"], t["code_chunks"], t["file_cards"], t["folder_cards"], t["repo_cards"])))
-            v.write("late_vectors", self._late(v.reread("semantic_records")))
+            self._write_records(v, self._records(t["files"], t["symbols"], t["code_chunks"], t["file_cards"], t["folder_cards"], t["repo_cards"]))
         return self.summary()
 
     def prepare(self, queries: list[str] | None = None, limit: int = 6) -> dict:
@@ -330,7 +365,7 @@ class Engine:
     def search(self, query: str, limit: int = 8, granularity: str = "file", compact: bool = False) -> DataFrame:
         self._gate()
         t = {n: self.store.read(n) for n in ("semantic_records", "late_vectors", "file_cards")}
-        hits = search(t["semantic_records"], query, limit, granularity, t["late_vectors"] if self.config.late else None, t["file_cards"], self.embedder, self.reranker, self.config.dense_on)
+        hits = search(t["semantic_records"], query, limit, granularity, t["late_vectors"] if self.config.late else None, t["file_cards"], self.embedder, self.reranker, self.config.dense_on, (self.store.read("postings"), self.store.read("fts_stats")))
         return without_details(hits) if compact else hits
 
     def op(self, task: str, query: str, limit: int = 8) -> DataFrame:

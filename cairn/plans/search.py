@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import clean_behaviours, content_field, metadata_text
+from cairn.functions.text import clean_behaviours, content_field, fts_terms, metadata_text
 from cairn.operators import bm25
 from cairn.operators.dense import dense_topk, max_sim
 from cairn.operators.read import labelled
@@ -44,7 +44,8 @@ def candidates(records: DataFrame, plan: QueryPlan, limit: int, query_vector=Non
     spark = records.sparkSession
     if postings is not None:
         query = spark.createDataFrame([(0, plan.query)], "query_id int, query string")
-        ranked = bm25.search_postings(*postings, query, top)
+        index, stats = postings  # the filter on terms reaches the sorted table's row groups
+        ranked = bm25.search_postings(index.filter(F.col("term").isin(fts_terms(plan.query))), stats, query, top)
     else:
         ranked = bm25.search(record_texts(records), "record_id", TEXT_COLUMNS, plan.query, top)
     fts = _local(ranked.select(F.col("id").alias("record_id"), F.col("rank").alias("fts_rank")))

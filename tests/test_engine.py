@@ -78,9 +78,41 @@ def test_index_search_enrich_and_update(spark, repo, tmp_path):
     assert view["summary"] == "src/auth/middleware.py handles verify_token" and view["depends_on"] == ["src/config/env.py"]
     (repo / "src/watcher.rs").unlink()
     assert engine.update()["files"] == 3
+    assert engine.search("verify_token", 1).first()["path"] == "src/auth/middleware.py"
+    assert engine.store.read("postings").filter("term = 'debounce' OR id LIKE '%watcher%'").count() == 0
     assert engine.store.read("semantic_records").filter("path = 'src/watcher.rs'").count() == 0
 
 
+class CountingEmbedder(HashEmbedder):
+    """Writes a line for every text that it embeds."""
+
+    def __init__(self, path):
+        super().__init__(8)
+        self.path = path
+
+    def embed(self, texts):
+        with open(self.path, "a") as f:
+            f.write("".join(f"{t!r}\n" for t in texts))
+        return super().embed(texts)
+
+
+def test_an_update_embeds_only_what_changed(spark, repo, tmp_path):
+    counted = str(tmp_path / "texts")
+    engine = Engine(spark, str(tmp_path / "store"), str(repo), Config(late=False), CountingEmbedder(counted), log=str(tmp_path / "log"))
+    engine.index()
+    before = {r["record_id"]: r["embedding"] for r in engine.store.read("semantic_records").collect()}
+    open(counted, "w").close()
+    assert engine.update()["changed"] == 0 and open(counted).read() == ""
+    (repo / "src/config/env.py").write_text("def obsolete_marker():\n    return 1\n")
+    assert engine.update()["changed"] == 1
+    texts = open(counted).read().splitlines()
+    assert 0 < len(texts) <= 4 and all("src/config/env.py" in t for t in texts)
+    after = {r["record_id"]: r["embedding"] for r in engine.store.read("semantic_records").collect()}
+    assert all(before[k] == after[k] for k in before if "env.py" not in k) and len(after) == len(before)
+    stats = engine.store.read("fts_stats").first()
+    assert stats["n"] == len(after) and engine.store.read("postings").select("id").distinct().count() == len(after)
+
+
 @pytest.mark.skipif(not os.environ.get("CAIRN_FULL_TESTS"), reason="takes minutes; set CAIRN_FULL_TESTS=1")
 def test_life_of_an_index(spark, repo, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"), str(repo), Config(), HashEmbedder(), log=str(tmp_path / "log"), lock=str(tmp_path / "lock"))
