@@ -49,7 +49,10 @@ def import_groups(files: DataFrame) -> DataFrame:
 
 def read_cards(files: DataFrame, symbols: DataFrame, cards: DataFrame) -> DataFrame:
     """One read view for each file: summary and description of its latest card, outline, imports, importers and targets."""
-    c = cards.groupBy(canonical_path("file_id").alias("k")).agg(F.max_by(F.struct("summary", "role_text", "primary_behaviors"), F.struct("provenance.generated_at", "card_id")).alias("c"))
+    told = ("primary_behaviors", "owns_behaviors", "delegates_to", "side_effects", "blast_radius")
+    lists = [F.col(n) if n in cards.columns else F.array().cast("array<string>").alias(n) for n in told]
+    c = cards.groupBy(canonical_path("file_id").alias("k")).agg(F.max_by(F.struct("summary", "role_text", *lists), F.struct("provenance.generated_at", "card_id")).alias("c"))
+    joined = lambda n: F.array_join(F.col(f"c.{n}"), "; ")
     e = files.select("file_id", F.explode("imports").alias("i")).select("file_id", F.col("i.resolved_file_id").alias("t")).filter("t IS NOT NULL").distinct()
     names = lambda df, key, val, out: df.groupBy(F.col(key).alias("file_id")).agg(F.array_sort(F.collect_set(val)).alias(out))
     wd = Window.partitionBy("t").orderBy("file_id")
@@ -68,7 +71,10 @@ def read_cards(files: DataFrame, symbols: DataFrame, cards: DataFrame) -> DataFr
         .select(
             "file_id", "path", "language", "line_count",
             F.nullif(F.trim("c.summary"), F.lit("")).alias("summary"),
-            labelled(Role=F.col("c.role_text"), Behaviors=F.array_join("c.primary_behaviors", "; ")).alias("description"),
+            labelled(
+                Role=F.trim("c.role_text"), Behaviors=joined("primary_behaviors"), Owns=joined("owns_behaviors"), Delegates_to=joined("delegates_to"),
+                Side_effects=joined("side_effects"), Blast_radius=joined("blast_radius"),
+            ).alias("description"),
             F.coalesce("symbols", empty).alias("symbols"), F.coalesce("total_symbols", F.lit(0)).alias("total_symbols"), "external",
             F.coalesce("internal", empty).alias("internal"), F.coalesce("dependents", empty).alias("dependents"),
             F.coalesce("total_dependents", F.lit(0)).alias("total_dependents"), F.coalesce("depends_on", empty).alias("depends_on"),

@@ -88,6 +88,24 @@ def card_listing(file_cards: DataFrame, folder_cards: DataFrame | None = None, r
     return out.withColumn("is_empty", F.trim("summary") == "")
 
 
+def card_markdown(rows: DataFrame, empty_only: bool = False, source: str = "") -> str:
+    """The card listing (kind, entity_id, summary, is_empty) as a Markdown report; the listing is collected."""
+    cards = rows.orderBy("kind", "entity_id").collect()
+    count = lambda k: sum(r["kind"] == k for r in cards)
+    out = [f"# {'Empty card' if empty_only else 'Card'} summaries", ""]
+    out += [f"- Store: `{source}`"] if source else []
+    out += [f"- Cards returned: {len(cards)}", *(f"- {k.capitalize()} cards: {count(k)}" for k in ("file", "folder", "repo")), f"- Empty summaries: {sum(r['is_empty'] for r in cards)}", ""]
+    if not cards:
+        return "\n".join([*out, "No empty card summaries found." if empty_only else "No card summaries found.", ""])
+    for kind in ("file", "folder", "repo"):
+        if count(kind):
+            out += [f"## {kind.capitalize()} cards", ""]
+        for r in (r for r in cards if r["kind"] == kind):
+            said = "_No summary is stored for this card._" if r["is_empty"] else "\n".join(f"> {x}".rstrip() for x in r["summary"].splitlines())
+            out += [f"### `{r['entity_id']}`", "", f"- Type: {kind}", f"- Summary status: {'empty' if r['is_empty'] else 'present'}", "", "Summary:", "", said, ""]
+    return "\n".join(out)
+
+
 def chunk_dump(chunks: DataFrame, source: str | None = None, with_code: bool = False) -> DataFrame:
     """Chunks, optionally of one summary source (case and `_` ignored) and with their code."""
     plain = F.replace(F.lower("summary_source"), F.lit("_"), F.lit(""))

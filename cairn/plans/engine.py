@@ -7,15 +7,17 @@ import json
 import os
 import time
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions.text import metadata_text, sanitize_tags
+from cairn.functions.text import clean_summary, metadata_text, sanitize_tags
 from cairn.operators import delta as D
 from cairn.operators import bm25, graph, read, records, reports
 from cairn.operators.dense import late_tokens
 from cairn.plans.planner import PREWARM_QUERIES, task_query, wants_tests
+from cairn.plans.progress import Progress
 from cairn.plans.search import TEXT_COLUMNS, record_texts, search, without_details
 from cairn.providers import Embedder, Enricher, HashEmbedder, Reranker, TemplateEnricher, embed_column, late_vectors, summarise_column
 from cairn.session import broadcast_if_small, checkpoint
@@ -49,6 +51,7 @@ class Config:
     aliases: list[str] = field(default_factory=list)
     crate_prefixes: list[str] = field(default_factory=list)
     embed_batch: int = 64
+    summary_threads: int = 6
 
     @property
     def dense_on(self) -> bool:
@@ -63,19 +66,31 @@ class EventLog:
     """JSON lines of what happens, and the latest state, beside the store (local path of the driver)."""
 
     def __init__(self, folder: str | None):
-        self.folder = folder
+        self.folder, self.progress = folder, Progress()
         if folder:
             os.makedirs(folder, exist_ok=True)
 
     def event(self, name: str, **fields) -> None:
+        if name == "started":
+            self.progress = Progress()
+        state = self.progress.at(fields.get("stage") or name if name != "failed" else name, fields.get("done", 0), fields.get("total", 0))
         if not self.folder:
             return
-        row = {"ts_unix_ms": int(time.time() * 1000), "event": name, "fields": fields}
+        row = {"ts_unix_ms": int(time.time() * 1000), "event": name, "fields": fields} | ({"progress": state} if state else {})
         with open(os.path.join(self.folder, "events.jsonl"), "a") as f:
             f.write(json.dumps(row, default=str) + "\n")
         with open(os.path.join(self.folder, "progress.json"), "w") as f:
             json.dump(row, f, default=str)
 
+    def mark_ready(self, summary: dict | None) -> None:
+        """The file READY with the summary while the index is ready; no such file otherwise."""
+        path = self.folder and os.path.join(self.folder, "READY")
+        if path and summary is not None:
+            with open(path, "w") as f:
+                json.dump(summary, f, default=str, indent=2)
+        elif path and os.path.exists(path):
+            os.remove(path)
+
     def last(self) -> dict | None:
         path = self.folder and os.path.join(self.folder, "progress.json")
         if not path or not os.path.exists(path):
@@ -112,11 +127,12 @@ class Engine:
     def __init__(
         self, spark: SparkSession, store: str, root: str, config: Config | None = None, embedder: Embedder | None = None,
         enricher: Enricher | None = None, reranker: Reranker | None = None, log: str | None = None, lock: str | None = None,
+        summariser: Enricher | None = None,
     ):
         self.spark, self.root, self.config = spark, root, config or Config()
         self.store = VersionedStore(spark, store)
         self.embedder, self.enricher, self.reranker = embedder or HashEmbedder(), enricher or TemplateEnricher(), reranker
-        self.log, self.lock = EventLog(log), lock
+        self.log, self.lock, self.summariser = EventLog(log), lock, summariser
         self.cancelled = False
 
     # ---------------------------------------------------------------- building
@@ -174,23 +190,48 @@ class Engine:
             F.struct(F.col("source_hash"), F.sha2("prompt", 256).alias("input_hash"), F.lit(self.enricher.name).alias("model"), F.lit(1).alias("schema_version"), F.current_timestamp().alias("generated_at")).alias("provenance"),
         )
 
-    def folder_cards(self, folder_rows: DataFrame, cards: DataFrame) -> DataFrame:
-        """Folder cards from the cards of their files: joined hashes, merged tags (24) and entry points."""
-        kids = folder_rows.select("folder_id", F.explode("child_file_ids").alias("file_id")).join(cards, "file_id")
-        agg = kids.groupBy("folder_id").agg(
-            F.array_sort(F.collect_list(F.struct("file_id", F.col("provenance.source_hash").alias("h"), F.col("retrieval_tags").alias("t")))).alias("k")
-        )
-        rows = agg.withColumn("prompt", F.to_json(F.struct(F.col("folder_id").alias("path"), F.transform("k", lambda x: x["file_id"]).alias("names"))))
+    def folder_cards(self, folder_rows: DataFrame, cards: DataFrame, existing: DataFrame | None = None, affected: DataFrame | None = None) -> DataFrame:
+        """Folder cards bottom up: the deepest folders first, so that a parent is made from its files' cards and the cards
+        that its child folders have just got. With `affected` (folder_id) only these are made again, and `existing` cards
+        stand for their other children and are returned with the new ones.
+
+        A level of depth is one stage; there are as many as the tree is deep.
+        """
+        depth = F.when(F.col("folder_id") == "repo", 0).otherwise(F.size(F.split("folder_id", "/")))
+        todo = folder_rows if affected is None else folder_rows.join(affected.toDF("folder_id").distinct(), "folder_id", "left_semi")
+        todo = checkpoint(todo.withColumn("__depth", depth))
+        files = cards.select(F.col("file_id").alias("kid"), F.col("provenance.source_hash").alias("h"), F.col("retrieval_tags").alias("t"), F.lit(True).alias("file"))
+        made = None
+        rest = None if existing is None else existing.join(todo.select("folder_id"), "folder_id", "left_anti")
+        for level in sorted((r[0] for r in todo.select("__depth").distinct().collect()), reverse=True):
+            folders = [x for x in (made, rest) if x is not None]
+            kids = files
+            for x in folders:
+                kids = kids.unionByName(x.select(F.col("folder_id").alias("kid"), F.col("provenance.source_hash").alias("h"), F.col("retrieval_tags").alias("t"), F.lit(False).alias("file")))
+            rows = todo.filter(F.col("__depth") == level)
+            pairs = rows.select("folder_id", F.explode("child_file_ids").alias("kid"), F.lit(True).alias("file")).unionByName(rows.select("folder_id", F.explode("child_folder_ids").alias("kid"), F.lit(False).alias("file")))
+            new = checkpoint(self._folder_level(pairs.join(kids, ["kid", "file"])))
+            made = new if made is None else made.unionByName(new)
+        parts = [x for x in (made, rest) if x is not None]
+        return reduce(DataFrame.unionByName, parts) if parts else self._empty(FOLDER_CARD)
+
+    def _folder_level(self, kids: DataFrame) -> DataFrame:
+        """Cards of (folder_id, kid, file, h, t): joined hashes, merged tags (24) and entry points, which are files."""
+        rows = kids.groupBy("folder_id").agg(F.array_sort(F.collect_list(F.struct(F.col("kid").alias("id"), "h", "t", "file"))).alias("k"))
+        own = F.filter("k", lambda x: x["file"])
+        rows = rows.withColumn("prompt", F.to_json(F.struct(F.col("folder_id").alias("path"), F.transform("k", lambda x: x["id"]).alias("names"))))
         rows = summarise_column(rows, "prompt", self.enricher)
-        tags = F.concat(F.array(F.lit("entity:folder")), F.flatten(F.transform("k", lambda x: x["t"])))
+        tags = F.concat(F.array(F.lit("entity:folder")), F.flatten(F.transform("k", lambda x: F.filter(x["t"], lambda t: ~t.isin("entity:file", "entity:folder")))))
+        count = F.concat(F.size(own).cast("string"), F.lit(" files, "), (F.size("k") - F.size(own)).cast("string"), F.lit(" folders"))
         return rows.select(
-            "folder_id", "summary", F.concat(F.size("k").cast("string"), F.lit(" files")).alias("responsibility"), sanitize_tags(tags, 24).alias("retrieval_tags"),
-            F.slice(F.transform("k", lambda x: x["file_id"]), 1, 16).alias("key_entrypoints"),
+            "folder_id", "summary", count.alias("responsibility"), sanitize_tags(tags, 24).alias("retrieval_tags"),
+            F.slice(F.transform(own, lambda x: x["id"]), 1, 16).alias("key_entrypoints"),
             F.struct(F.array_join(F.transform("k", lambda x: x["h"]), ":").alias("source_hash"), F.sha2("prompt", 256).alias("input_hash"), F.lit(self.enricher.name).alias("model"), F.lit(1).alias("schema_version"), F.current_timestamp().alias("generated_at")).alias("provenance"),
         )
 
     def repo_card(self, folder_cards: DataFrame) -> DataFrame:
-        top = folder_cards.orderBy("folder_id").limit(64).agg(F.array_sort(F.collect_list("folder_id")).alias("k"), F.first("provenance.source_hash").alias("h"))
+        # the folders of the first level stand for those below them, from which their cards were made
+        top = folder_cards.filter(~F.col("folder_id").contains("/")).agg(F.array_sort(F.collect_list("folder_id")).alias("k"), F.first("provenance.source_hash").alias("h"))
         rows = summarise_column(top.withColumn("prompt", F.to_json(F.struct(F.lit(self.root).alias("path"), F.col("k").alias("names")))), "prompt", self.enricher)
         return rows.filter(F.size("k") > 0).select(
             F.lit(self.root).alias("repo_root"), "summary", F.array_join("k", ", ").alias("overview"), F.array(F.lit("entity:repo")).alias("retrieval_tags"), F.slice("k", 1, 16).alias("entrypoints"),
@@ -263,8 +304,22 @@ class Engine:
             self._write_records(v, self._records(files, symbols, chunks, made, v.reread("folder_cards"), v.reread("repo_cards")), old)
             v.write("invalidation_queue", old["marks"] if old else self._empty("entity_id string, entity_kind string, reason string"))
 
+    def _summarised(self, chunks: DataFrame) -> DataFrame:
+        """Chunks without documentation or summary with one from the summariser, many requests at once in a task."""
+        if self.summariser is None:
+            return chunks
+        todo = F.col("summary_source") == "empty"
+        prompt = F.to_json(F.struct("path", "kind", "qualified_name", "signature", "code"))
+        made = summarise_column(chunks.filter(todo).withColumn("__prompt", prompt), "__prompt", self.summariser, "__said", self.config.summary_threads).drop("__prompt")
+        said = F.nullif(clean_summary("__said"), F.lit(""))
+        made = made.withColumn("generated_summary", said).withColumn("summary_source", F.when(said.isNotNull(), "llm").otherwise("empty"))
+        return made.select(*chunks.columns).unionByName(chunks.filter(~todo))
+
     def _chunks(self, chunks: DataFrame, old: dict | None) -> DataFrame:
-        """Chunks with the generated summaries of equal (chunk_id, source_hash) kept."""
+        """Chunks with the generated summaries of equal (chunk_id, source_hash) kept, and others made."""
+        return self._summarised(self._kept_summaries(chunks, old))
+
+    def _kept_summaries(self, chunks: DataFrame, old: dict | None) -> DataFrame:
         if old is None:
             return chunks
         kept = old["code_chunks"].filter("generated_summary IS NOT NULL").select("chunk_id", "source_hash", F.col("generated_summary").alias("g"))
@@ -321,6 +376,36 @@ class Engine:
             self._write_records(v, rows, t)
         return {"enriched": len(ids), "files": ids}
 
+    def prune(self) -> dict:
+        """Drop what has lost its owner: cards, records, full-text rows, late vectors and chunks; commits only if there is any."""
+        names = {"files": "files", "folders": "folders", "symbols": "symbols", "file_cards": "file_cards", "folder_cards": "folder_cards", "repo_cards": "repo_cards", "code_chunks": "code_chunks", "semantic_records": "semantic_records", "late_vectors": "late_vectors", "fts_records": "postings"}
+        kept, counts = D.prune({k: self.store.read(n) for k, n in names.items()})
+        gone = counts.first().asDict()
+        if any(gone.values()):
+            with self.store.commit() as v:
+                for k in D.PRUNED:
+                    if gone[k]:
+                        v.write(names[k], kept[k])
+                if gone["fts_records"]:
+                    rows = v.reread("postings").filter("term IS NULL")
+                    v.write("fts_stats", rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean")))
+        return gone
+
+    def missing_records(self) -> DataFrame:
+        """(record_id): records that the facts and cards call for and that are not there."""
+        t = {n: self.store.read(n) for n in TABLES}
+        want = self._records(t["files"], t["symbols"], t["code_chunks"], t["file_cards"], t["folder_cards"], t["repo_cards"]).select("record_id").distinct()
+        return want.join(t["semantic_records"].select("record_id"), "record_id", "left_anti")
+
+    def repair(self) -> dict:
+        """Make the records that are missing, with their vectors and postings; others stay as they are."""
+        missing = self.missing_records().count()
+        if missing:
+            t = {n: self.store.read(n) for n in TABLES}
+            with self.store.commit() as v:
+                self._write_records(v, self._records(t["files"], t["symbols"], t["code_chunks"], t["file_cards"], t["folder_cards"], t["repo_cards"]), t)
+        return {"repaired": missing}
+
     def rebuild_semantic(self) -> dict:
         """Derive all records, embeddings and late vectors again from facts and cards."""
         t = {n: self.store.read(n) for n in TABLES}
@@ -334,12 +419,17 @@ class Engine:
             action = "update" if self.store.current() else "index"
             self.log.event("prepare", action=action)
             self.update()
+            if self.retrieval_ready() and self.repair()["repaired"]:
+                action = "repair"
             if not self.retrieval_ready():
                 self.rebuild_semantic()
                 action = "rebuild_search"
+            self.log.event("prewarm")
             hits = self.prewarm(queries, limit)
+            pruned = self.prune()
             ready = self.retrieval_ready()
-            out = {"action": action, "status": "ready" if ready else "needs_attention", "prewarm": hits, **self.summary()}
+            out = {"action": action, "status": "ready" if ready else "needs_attention", "prewarm": hits, "pruned": pruned, **self.summary()}
+            self.log.mark_ready(out if ready else None)
             self.log.event("ready" if ready else "needs_attention", **out)
             return out
 

@@ -187,14 +187,23 @@ def embed_column(df: DataFrame, text: str, embedder: Embedder, batch: int = 64,
     return df.mapInArrow(run, schema)
 
 
-def summarise_column(df: DataFrame, prompt: str, enricher: Enricher, out: str = "summary") -> DataFrame:
-    """`df` with the enricher's summary of a JSON prompt column; a failed request fails the task, which Spark retries."""
+def summarise_column(df: DataFrame, prompt: str, enricher: Enricher, out: str = "summary", threads: int = 1) -> DataFrame:
+    """`df` with the enricher's summary of a JSON prompt column, `threads` requests at once in a task; a failed request
+    fails the task, which Spark retries."""
     names = df.columns
     at = names.index(prompt)
 
     def run(batches):
+        from concurrent.futures import ThreadPoolExecutor
+
+        ask = lambda p: None if p is None else enricher.summarise(json.loads(p))
         for rows in batches:
-            said = [None if p is None else enricher.summarise(json.loads(p)) for p in rows.column(at).to_pylist()]
+            prompts = rows.column(at).to_pylist()
+            if threads > 1:
+                with ThreadPoolExecutor(threads) as pool:
+                    said = list(pool.map(ask, prompts))
+            else:
+                said = [ask(p) for p in prompts]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(said, pa.string())], [*names, out])
 
     from pyspark.sql import types as T

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cairn.operators.graph import candidates, resolve_imports
 from cairn.plans.engine import Config, Engine, NotReady, prepare_lock
+from cairn.operators.reports import card_markdown
+from cairn.plans.progress import Progress, ratio
 from cairn.plans.search import search
 from cairn.providers import ChatEnricher, Endpoint, EndpointEmbedder, EndpointReranker, HashEmbedder, LexicalReranker, json_from_text
 from cairn.sources.parse import parse_symbols
@@ -223,3 +225,47 @@ def test_more_packages_than_a_thousand_resolve(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"), str(tmp_path), Config(primary="fts"), HashEmbedder())
     done = engine._resolved(spark.createDataFrame(rows, schema)).filter("path = 'x.py'").first()["imports"]
     assert [i["module"] for i in done if i["resolved_file_id"] != "x.py"] == ["q.x"]
+
+
+class Summariser:
+    name = "told"
+
+    def summarise(self, prompt):
+        return f"- Says what {prompt['qualified_name']} does\n\n- in {prompt['path']}"
+
+
+def test_summaries_rollups_prune_and_repair(spark, repo, tmp_path):
+    log = tmp_path / "log"
+    engine = Engine(spark, str(tmp_path / "store"), str(repo), Config(primary="fts", enrich=True), HashEmbedder(), log=str(log), summariser=Summariser())
+    engine.index()
+    chunks = {r["qualified_name"]: r for r in engine.store.read("code_chunks").collect()}
+    told = {k: r["generated_summary"] for k, r in chunks.items() if r["summary_source"] == "llm"}
+    assert told and all(v == f"Says what {k} does in {chunks[k]['path']}" for k, v in told.items())
+    assert all(r["generated_summary"] is None for r in chunks.values() if r["summary_source"] in ("docstring", "doc_comment"))
+    # a parent folder's card is made from the cards of its child folders
+    cards = {r["folder_id"]: r for r in engine.store.read("folder_cards").collect()}
+    assert set(cards) == {r[0] for r in engine.store.read("folders").select("folder_id").collect()}
+    assert cards["src/auth"]["provenance"]["source_hash"] in cards["src"]["provenance"]["source_hash"]
+    assert cards["src"]["provenance"]["source_hash"] in cards["repo"]["provenance"]["source_hash"]
+    assert "symbol:verify-token" in cards["src"]["retrieval_tags"] or any("verify" in t for t in cards["src"]["retrieval_tags"])
+    text = card_markdown(engine.cards(), source="x")
+    assert "## Folder cards" in text and "### `src/auth/middleware.py`" in text
+    # records that lost their owner go, and records that are missing come back
+    version = engine.store.current()
+    assert not any(engine.prune().values()) and engine.repair() == {"repaired": 0} and engine.store.current() == version
+    with engine.store.commit() as v:
+        v.write("file_cards", engine.store.read("file_cards").filter("file_id <> 'src/watcher.rs'"))
+        v.write("semantic_records", engine.store.read("semantic_records").filter("record_id <> 'semantic:file:web/client.ts'"))
+    gone = engine.prune()
+    assert (gone["semantic_records"], gone["fts_records"] > 0, gone["file_cards"]) == (1, True, 0)
+    assert engine.repair() == {"repaired": 1} and engine.missing_records().count() == 0
+    assert engine.store.read("fts_stats").first()["n"] == engine.store.read("semantic_records").count()
+    out = engine.prepare([])
+    assert out["status"] == "ready" and (log / "READY").exists() and engine.log.last()["progress"]["percent"] == 1.0
+
+
+def test_progress_never_falls_but_for_a_failure():
+    p = Progress()
+    seen = [p.at(*x)["percent"] for x in (("started",), ("read", 1, 2), ("embed", 1, 2), ("read", 1, 4), ("ready",))]
+    assert seen == sorted(seen) and seen[1] == 0.19 and seen[-1] == 1.0
+    assert p.at("other") is None and ratio(3, 0) == 0 and ratio(9, 3) == 1
