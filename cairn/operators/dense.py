@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cairn.functions.text import LATE_STOPWORDS, WORD_PATTERN, identifier_terms
 from cairn.functions.vectors import dot
 from cairn.session import table
 
@@ -63,7 +64,7 @@ def max_sim(late: DataFrame, query_vectors: DataFrame) -> DataFrame:
     For each query vector the best token by dot * sqrt(max(weight, 0.1)); the mean over those above zero, in 0..1.5.
     Tokens of another length are skipped; records without a positive match are left out.
     """
-    q = F.broadcast(query_vectors.select("q", F.col("embedding").alias("qe")).limit(LATE_TOKENS))
+    q = F.broadcast(query_vectors.select("q", F.col("embedding").alias("qe")))  # as many as a query text has tokens
     sim = dot("embedding", "qe") * F.sqrt(F.greatest(F.col("weight").cast("double"), F.lit(0.1)))
     return (
         late.crossJoin(q)
@@ -83,8 +84,6 @@ def late_tokens(records: DataFrame, limit: int = LATE_TOKENS) -> DataFrame:
     entity_id (1.4), summed up to 4.0; terms under three characters and stop words are dropped; heaviest first, ties by
     term; ordinals from 0.
     """
-    from cairn.functions.text import LATE_STOPWORDS, WORD_PATTERN, identifier_terms
-
     words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(WORD_PATTERN), F.lit(0))
     part = lambda c, w: F.transform(F.flatten(F.transform(words(c), identifier_terms)), lambda t: F.struct(t.alias("t"), F.lit(w).alias("w")))
     entity = F.when(F.lower("entity_type").isin("symbol", "snippet"), F.col("entity_id"))
@@ -95,7 +94,7 @@ def late_tokens(records: DataFrame, limit: int = LATE_TOKENS) -> DataFrame:
         .select("record_id", F.col("x.t").alias("token"), F.col("x.w").alias("w"))
         .filter((F.length("token") >= 3) & ~F.col("token").isin(*LATE_STOPWORDS))
         .groupBy("record_id", "token")
-        .agg(F.least(F.sum("w"), F.lit(LATE_CAP)).alias("weight"))
+        .agg(F.least(F.round(F.sum("w"), 6), F.lit(LATE_CAP)).alias("weight"))
         .withColumn("ordinal", F.row_number().over(w) - 1)
         .filter(F.col("ordinal") < limit)
     )
@@ -130,5 +129,13 @@ FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 QUALIFY pos < 10""",
   b AS (SELECT l.record_id, q.ordinal, max({_DOT.format(a="l.embedding", b="q.embedding")} * sqrt(greatest(l.weight::DOUBLE, 0.1))) AS best
         FROM late l, q WHERE len(l.embedding) = len(q.embedding) GROUP BY 1, 2)
 SELECT record_id, round(least(avg(best), 1.5), 6) AS score FROM b WHERE best > 0 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 80""",
+    "late_token_topk": rf"""WITH r AS (SELECT DISTINCT ON (record_id) * FROM semantic_records),
+  s AS (SELECT record_id, path AS t, 1.25 AS w FROM r UNION ALL SELECT record_id, title, 1.35 FROM r UNION ALL SELECT record_id, content, 1.0 FROM r
+        UNION ALL SELECT record_id, entity_id, 1.4 FROM r WHERE lower(entity_type) IN ('symbol', 'snippet')),
+  b AS (SELECT record_id, w::DOUBLE AS w, regexp_replace(unnest(regexp_extract_all(coalesce(t, ''), '[\p{{L}}\p{{N}}_]+')), '^_+|_+$', '', 'g') AS b FROM s),
+  t AS (SELECT record_id, w, unnest(list_distinct(list_filter(list_concat([lower(b)], list_transform(string_split(regexp_replace(b, '([\p{{Ll}}0-9])(\p{{Lu}})', '\1_\2', 'g'), '_'), lambda x: lower(trim(x)))),
+          lambda x: length(x) >= 2))) AS token FROM b WHERE length(b) >= 2),
+  g AS (SELECT record_id, token, least(round(sum(w), 6), 4.0) AS weight FROM t WHERE length(token) >= 3 AND token NOT IN ({", ".join(f"'{x}'" for x in LATE_STOPWORDS)}) GROUP BY 1, 2)
+SELECT record_id, token, round(weight, 6) AS weight, (row_number() OVER (PARTITION BY record_id ORDER BY weight DESC, token) - 1)::INT AS ordinal FROM g QUALIFY ordinal < {LATE_TOKENS}""",
 }
 QUERIES = {"dense_topk": dense_topk_query, "maxsim_topk": maxsim_topk, "late_token_topk": late_token_topk}

@@ -157,6 +157,11 @@ SQL = {
 SELECT 'semantic:file:' || file_id AS record_id, 'File ' || path AS title, 'path: ' || path || chr(10) || 'language: ' || coalesce(language, '') || chr(10) || 'imports: '
  || coalesce(array_to_string(list_transform(imports, lambda i: i.module), ', '), '') || chr(10) || 'important snippets: ' || coalesce(array_to_string(list_transform(snippets, lambda s: s.title), ', '), '')
  || chr(10) || 'lines: ' || line_count AS content FROM f""",
+    "card_record_template": rf"""WITH c AS (SELECT DISTINCT ON (card_id) *, regexp_replace(regexp_replace(regexp_replace(replace(trim(file_id), '\', '/'), '/+', '/', 'g'), '(/\.)+/', '/', 'g'), '^(\./)+', '') AS k FROM file_cards)
+SELECT 'semantic:file_card:' || k AS record_id, 'FileCard ' || k AS title, 'summary: ' || coalesce(summary, '') || chr(10) || 'role: ' || coalesce(role_text, '') || chr(10)
+ || 'ownership: ' || coalesce(upper(ownership_kind[1]) || lower(ownership_kind[2:]), '') || chr(10) || 'owns behaviors: ' || chr(10) || 'delegates to: ' || chr(10)
+ || 'behaviors: ' || coalesce(array_to_string(primary_behaviors, '; '), '') || chr(10) || 'behavior intents: ' || chr(10) || 'edit intents: ' || chr(10) || 'retrieval tags: ' || coalesce(array_to_string(retrieval_tags, '; '), '') || chr(10)
+ || 'imports: ' || chr(10) || 'used_by: ' || chr(10) || 'blast_radius: ' || chr(10) || 'read hints: ' || chr(10) || 'search phrases: ' AS content FROM c""",
     "record_counts": """WITH f AS (SELECT DISTINCT ON (file_id) * FROM files), s AS (SELECT DISTINCT ON (symbol_id) * FROM read_symbols), c AS (SELECT DISTINCT ON (chunk_id) * FROM code_chunks),
   sn AS (SELECT path, unnest(snippets) AS s FROM f), sy AS (SELECT s.*, coalesce(f.path, s.file_id) AS p FROM s LEFT JOIN f USING (file_id)),
   r AS (SELECT 'file' AS entity_type, 'File ' || path AS t, 'path: ' || path || 'language: ' || coalesce(language, '') || 'imports: ' || coalesce(array_to_string(list_transform(imports, lambda i: i.module), ', '), '')

@@ -47,7 +47,7 @@ REASONS = {
     "import_words": "Import-resolution wording matches directly",
     "downstream": "Downstream/dependency direction matches the query",
     "snippet": "Matched a source snippet in this file",
-    "late": "Late-interaction MaxSim matched query tokens to indexed code terms",
+    "late": "Late-interaction MaxSim matched indexed code-token vectors",
     "rerank": "Reranker preferred this result",
 }
 DEPENDENCY_WORDS = set("dependency dependencies depends dependent downstream upstream".split())

@@ -137,12 +137,14 @@ def json_field_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def summary_cleanup(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).filter("kind IN ('readme', 'change_note') AND text IS NOT NULL AND NOT contains(text, chr(13))")
-    return docs.select("doc_id", F.sha2(T.truncate(T.one_line("text"), 400), 256).alias("summary"))
+    """(doc_id, line, clean): hashes of every text as one line of at most 400 characters, and without bullets."""
+    docs = _docs(spark, d).filter("text IS NOT NULL")
+    return docs.select("doc_id", F.sha2(T.truncate(T.one_line("text"), 400), 256).alias("line"), F.sha2(T.clean_summary("text"), 256).alias("clean"))
 
 
 _D = "d AS (SELECT DISTINCT ON (doc_id) * FROM documents)"
 _C = "c AS (SELECT DISTINCT ON (card_id) * FROM file_cards)"
+_SPACE = r"[\t\n\x0b\f\r ]"
 _IGN = ", ".join(f"'{x}'" for x in DEFAULT_IGNORES)
 SQL = {
     "content_hash": f"WITH {_D} SELECT doc_id, sha256(text) AS hash FROM d",
@@ -169,9 +171,20 @@ SELECT file_id, CASE WHEN ext = 'py' THEN 'python' WHEN ext IN ('ts', 'tsx') THE
     "scan_filter": rf"""WITH f AS (SELECT DISTINCT path, regexp_extract(path, '\.([^./]+)$', 1) AS ext FROM files)
 SELECT ext, count(*) AS files FROM f WHERE ext IN ('py', 'ts', 'tsx', 'rs') AND NOT list_has_any(string_split(path, '/'), [{_IGN}]) AND NOT list_contains(string_split(path, '/'), 'orbit')
   AND path <> 'src/wharf_batch' AND NOT starts_with(path, 'src/wharf_batch/') GROUP BY 1""",
+    "import_extract": rf"""WITH {_D}, l AS (SELECT doc_id, path, regexp_extract(path, '\.([^./]+)$', 1) AS ext, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line
+    FROM d WHERE kind = 'source_file' AND text IS NOT NULL),
+  t AS (SELECT *, trim(regexp_replace(raw, '\r$', '')) AS x FROM l WHERE regexp_matches(raw, '^{_SPACE}*(import|from|use|export){_SPACE}')),
+  m AS (SELECT doc_id, path, line, ext, x, regexp_extract(x, '^from\s+(\S+)\s+import\s+(.*)$', 1) AS f, regexp_extract(x, '^from\s+(\S+)\s+import\s+(.*)$', 2) AS fn, regexp_extract(x, '^import\s+([^\s,;#]+)', 1) AS i,
+    regexp_extract(x, '^(?:import|export) [^"'']*["'']([^"'']+)["'']', 1) AS ts, regexp_extract(x, '\{{([^}}]*)\}}', 1) AS tn, replace(regexp_extract(x, '^use\s+(.*?);?\s*$', 1), ';', '') AS u FROM t),
+  k AS (SELECT *, regexp_extract(u, '^(.*?)::\{{(.*)\}}', 1) AS ug, regexp_extract(u, '^(.*?)::\{{(.*)\}}', 2) AS un FROM m),
+  r AS (SELECT doc_id, path, line, CASE WHEN ext = 'py' THEN coalesce(nullif(f, ''), nullif(i, '')) WHEN ext IN ('ts', 'tsx') THEN nullif(ts, '') WHEN ext = 'rs' THEN nullif(replace(CASE WHEN ug <> '' THEN ug ELSE u END, '::', '.'), '') END AS module,
+    CASE WHEN ext = 'py' AND f <> '' THEN fn WHEN ext IN ('ts', 'tsx') THEN tn WHEN ext = 'rs' AND ug <> '' THEN un ELSE '' END AS names, ext FROM k)
+SELECT DISTINCT doc_id, line::INT AS line, module, array_to_string(list_filter(list_transform(string_split(names, ','), lambda x: CASE WHEN ext = 'rs' THEN trim(x) ELSE regexp_split_to_array(trim(x), '\s+')[1] END), lambda x: x <> ''), ',') AS names,
+  regexp_matches(module, '^(\.|crate\.|self\.|super\.)') OR starts_with(module, string_split(path, '/')[1]) AS is_internal FROM r WHERE module IS NOT NULL""",
     "json_field_extract": "SELECT event_type, json_extract_string(props, '$.k')::INT AS k, count(*) AS n FROM events GROUP BY 1, 2",
-    "summary_cleanup": rf"""WITH {_D}, t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM d WHERE kind IN ('readme', 'change_note') AND text IS NOT NULL AND NOT contains(text, chr(13)))
-SELECT doc_id, sha256(CASE WHEN length(s) > 400 THEN substr(s, 1, 400) || '...' ELSE s END) AS summary FROM t""",
+    "summary_cleanup": rf"""WITH {_D}, t AS (SELECT doc_id, text, trim(regexp_replace(text, '{_SPACE}+', ' ', 'g')) AS s FROM d WHERE text IS NOT NULL)
+SELECT doc_id, sha256(CASE WHEN length(s) > 400 THEN substr(s, 1, 400) || '...' ELSE s END) AS line,
+  sha256(coalesce(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(trim(x), '^(?:[-*•]|{_SPACE})+', ''))), lambda x: x <> ''), ' '), '')) AS clean FROM t""",
 }
 QUERIES = {
     f.__name__: f

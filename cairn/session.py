@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where none is set, a temporary one if all runs on this machine; on
+    a cluster, where such a folder is another one on each machine, that is an error."""
     sc = spark.sparkContext
     known = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return known or current.get()
+    if not known and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     folder = known or os.path.join(tempfile.gettempdir(), "cairn-checkpoints")
     sc.setCheckpointDir(folder)
     return folder

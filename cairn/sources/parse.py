@@ -150,6 +150,11 @@ def _rust(text: str, lines: list[str]):
     return out
 
 
+_TS_INITIALISER = re.compile(r"\s*(?::[^=;]*?)?=(?![=>])\s*(.*?)(?:\{|;|\n|\Z)", re.S)
+_TS_FUNCTION = re.compile(r"(?:async\s+)?function\b")
+_TS_UP_TO_BODY = re.compile(r"[^;{]*")
+
+
 def _typescript(text: str, lines: list[str]):
     code = _hide(_TS_HIDE, text)
     owners, out = [], []
@@ -164,9 +169,8 @@ def _typescript(text: str, lines: list[str]):
         if word in ("const", "let", "var"):
             if owner:
                 continue
-            tail = code[m.end() : m.end() + 2000]
-            init = re.match(r"\s*(?::[^=;]*?)?=(?![=>])\s*(.*?)(?:\{|;|\n)", tail, re.S)
-            called = init and (re.match(r"(?:async\s+)?function\b", init.group(1)) or "=>" in re.match(r"[^;{]*", tail).group())
+            init = _TS_INITIALISER.match(code, m.end())
+            called = init and (_TS_FUNCTION.match(init.group(1)) or "=>" in _TS_UP_TO_BODY.match(code, m.end()).group())
             kind = "function" if called else "constant"
         else:
             kind = {"function": "function", "class": "class", "interface": "interface", "type": "type_alias", "enum": "enum", "method": "method"}[word]

@@ -12,8 +12,6 @@ from cairn.functions import text as T
 # What a scan reads and skips by default.
 EXTENSIONS = ["py", "ts", "tsx", "rs"]
 DEFAULT_IGNORES = [".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".pytest_cache", "target"]
-#: Files above this size are left to the caller.
-MAX_BYTES = 16 << 20
 
 
 def _rules(ignores: list[str]) -> tuple[list[str], list[str]]:
