@@ -127,7 +127,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused_ranking(table(spark, sf_dir, "candidate_evidence")).select(
-        "query_id", "record_id", F.round("fused", 6).alias("fused"), F.col("rank").cast("long").alias("rank")
+        "query_id", "record_id", (F.round("fused", 6) + F.lit(0.0)).alias("fused"), F.col("rank").cast("long").alias("rank")
     )
 
 
@@ -141,7 +141,29 @@ def _bad_sql() -> str:
     return f"SELECT query_id, record_id, {cols} FROM candidate_evidence GROUP BY ALL"
 
 
+def _ratio_sql(coefficients, r: str) -> str:
+    up, down = ("(" + reduce(lambda acc, c: f"({acc}) * {r} + {c!r}", reversed(cs[:-1]), repr(cs[-1])) + ")" for cs in coefficients)
+    return f"{up} / {down}"
+
+
+def _ranking_sql() -> str:
+    inner = f"q * {_ratio_sql(_CENTRAL, '(0.180625 - q * q)')}"
+    outer = f"sign(q) * CASE WHEN r <= 5.0 THEN {_ratio_sql(_MIDDLE, '(r - 1.6)')} ELSE {_ratio_sql(_TAIL, '(r - 5.0)')} END"
+    long = " UNION ALL ".join(f"SELECT query_id, record_id, {i} AS s, {w}::DOUBLE AS w, {c} AS v FROM b" for i, (c, (_, w)) in enumerate(EVIDENCE.items()))
+    return f"""b AS ({_bad_sql()}), l AS ({long}),
+  k AS (SELECT *, rank() OVER (PARTITION BY query_id, s ORDER BY v) - 1 AS less, count(*) OVER (PARTITION BY query_id, s, v) AS equal, count(*) OVER (PARTITION BY query_id, s) AS total FROM l),
+  p AS (SELECT *, 1 - (less + (equal + 1) / 2 - 0.5::DOUBLE) / total AS p FROM k), o AS (SELECT *, p - 0.5::DOUBLE AS q, sqrt(-ln(least(p, 1 - p))) AS r FROM p),
+  z AS (SELECT query_id, record_id, w, CASE WHEN abs(q) <= 0.425 THEN {inner} ELSE {outer} END AS z FROM o),
+  f AS (SELECT query_id, record_id, round(sum(w * z) / sum(w), 9) AS fused FROM z GROUP BY 1, 2),
+  ranking AS (SELECT query_id, record_id, fused, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, record_id) AS rank FROM f)"""
+
+
 SQL = {
+    "p5_ranking": f"WITH {_ranking_sql()} SELECT query_id, record_id, round(fused, 6) + 0.0::DOUBLE AS fused, rank FROM ranking",
+    "p5_ndcg": f"""WITH {_ranking_sql()}, g AS (SELECT query_id, record_id, max(grade) AS grade FROM rank_labels WHERE grade IS NOT NULL GROUP BY 1, 2),
+  j AS (SELECT g.*, row_number() OVER (PARTITION BY g.query_id ORDER BY rank) AS got, row_number() OVER (PARTITION BY g.query_id ORDER BY grade DESC, record_id) AS best FROM g JOIN ranking USING (query_id, record_id)),
+  s AS (SELECT query_id, count(*) AS judged, sum((2.0::DOUBLE ^ grade - 1) / log2(got + 1)) AS dcg, sum((2.0::DOUBLE ^ grade - 1) / log2(best + 1)) AS ideal FROM j GROUP BY 1)
+SELECT query_id, judged, round(dcg / ideal, 6) AS ndcg FROM s WHERE ideal > 0""",
     "p5_found": f"""WITH b AS ({_bad_sql()})
 SELECT x.query_id, x.record_id FROM b x WHERE NOT EXISTS (
   SELECT 1 FROM b y WHERE y.query_id = x.query_id AND y.record_id <> x.record_id AND (

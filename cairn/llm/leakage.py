@@ -234,5 +234,21 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-SQL = {}
+def _grams(name: str, table_name: str, key: str, n: int) -> str:
+    words_of = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+    return (
+        f"{name}w AS (SELECT DISTINCT {key} AS id, {words_of} AS ws FROM {table_name} WHERE {key} IS NOT NULL AND text IS NOT NULL), "
+        f"{name} AS (SELECT DISTINCT id, array_to_string(ws[i : i + {n - 1}], ' ') AS gram FROM (SELECT id, ws, unnest(range(1, len(ws) - {n - 2})) AS i FROM {name}w))"
+    )
+
+
+SQL = {
+    "p9_found": f"""WITH {_grams("d", "documents", "doc_id", PASSAGE_WORDS)}, {_grams("t", "eval_items", "item_id", PASSAGE_WORDS)}
+SELECT DISTINCT d.id AS doc_id, t.id AS item_id FROM d JOIN t USING (gram)""",
+    "p9_items": f"""WITH {_grams("d", "documents", "doc_id", PASSAGE_WORDS)}, {_grams("t", "eval_items", "item_id", PASSAGE_WORDS)}
+SELECT t.id AS item_id, count(DISTINCT d.id) AS documents FROM d JOIN t USING (gram) GROUP BY 1""",
+    "p9_method": f"""WITH {_grams("d", "documents", "doc_id", SHINGLE_WORDS)}, {_grams("t", "eval_items", "item_id", SHINGLE_WORDS)},
+  n AS (SELECT id, count(*) AS n FROM t GROUP BY 1)
+SELECT d.id AS doc_id, t.id AS item_id, round(count(*) / any_value(n.n), 6) AS containment FROM d JOIN t USING (gram) JOIN n ON n.id = t.id GROUP BY 1, 2 HAVING count(*) / any_value(n.n) >= {CONTAINMENT}""",
+}
 QUERIES = {"p9_method": p9_method, "p9_found": p9_found, "p9_items": p9_items}

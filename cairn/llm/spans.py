@@ -329,5 +329,11 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = {}
+#: All windows of `SPAN` characters, by brute force; equal ones are grouped by the characters themselves.
+SQL = {
+    "p10_found": f"""WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= {SPAN}),
+  w AS (SELECT doc_id, md5_number(substring(text, i, {SPAN})) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - {SPAN - 2})) AS i FROM d)),
+  g AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM w WHERE h IN (FROM g)"""
+}
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}

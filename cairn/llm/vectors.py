@@ -423,5 +423,12 @@ def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL = {}
+#: Brute force over all pairs.
+SQL = {
+    "p1_found": f"""WITH u AS (SELECT DISTINCT ON (record_id) record_id AS r, embedding::DOUBLE[] AS v FROM semantic_records WHERE record_id IS NOT NULL AND len(embedding) = {DIMENSION}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  n AS (SELECT a.r AS a, b.r AS b, round(list_cosine_similarity(a.v, b.v), 6) AS c FROM u a JOIN u b ON a.r <> b.r
+    QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY c DESC, b.r) <= {NEIGHBOURS})
+SELECT DISTINCT least(a, b) AS record_a, greatest(a, b) AS record_b FROM n WHERE c >= {MIN_COSINE}"""
+}
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p1_recall": p1_recall}
