@@ -61,9 +61,12 @@ def search(df: DataFrame, key: str, cols: list[str], query: str, limit: int | No
     return hits.orderBy("rank", "id").limit(limit) if limit else hits
 
 
-def build_postings(df: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(postings (term, id, tf, len), stats (n, mean)): the index to write and reuse."""
+def build_postings(df: DataFrame, key: str, cols: list[str], terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, id, tf, len), stats (n, mean)): the index to write and reuse. With `terms` only theirs, so that no
+    other token leaves its row."""
     rows = tokenised(df, key, cols).withColumn("len", F.size("tokens"))
+    if terms is not None:
+        rows = rows.withColumn("tokens", F.filter("tokens", lambda t: t.isin(*terms)))
     postings = rows.select("id", "len", F.explode("tokens").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
     return postings.select("term", "id", "tf", "len"), rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
 
@@ -110,7 +113,9 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    postings, stats = build_postings(table(spark, d, "documents"), "doc_id", ["text"])
+    """A batch over texts without a stored index: only postings of terms that a query has are built."""
+    wanted = sorted({t for q in BATCH for t in fts_terms(q)})
+    postings, stats = build_postings(table(spark, d, "documents"), "doc_id", ["text"], wanted)
     queries = spark.createDataFrame(list(enumerate(BATCH)), "query_id int, query string")
     hits = search_postings(postings, stats, queries, 10)
     return hits.select("query_id", F.col("id").alias("doc_id"), F.round("rank", 6).alias("rank"), F.col("pos").cast("int").alias("pos"))
