@@ -9,10 +9,10 @@ import time
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.functions.text import clean_summary, metadata_text, sanitize_tags
+from cairn.functions.text import clean_strings, clean_summary, metadata_text, sanitize_tags
 from cairn.operators import delta as D
 from cairn.operators import bm25, graph, read, records, reports
 from cairn.operators.dense import late_tokens
@@ -30,12 +30,17 @@ TABLES = ["files", "folders", "symbols", "edges", "code_chunks", "semantic_recor
 CARD = (
     "file_id string, summary string, role string, primary_behaviors array<string>, behavior_intents array<string>, edit_intents array<string>, retrieval_tags array<string>, "
     "ownership_kind string, owns_behaviors array<string>, delegates_to array<string>, search_phrases array<string>, "
+    "key_entities array<string>, external_systems array<string>, important_symbols array<struct<symbol_id:string,name:string,role:string,behavior:string>>, "
+    "imports_interpreted array<struct<target_id:string,target_path:string,why:string,dependency_kind:string>>, "
+    "used_by_interpreted array<struct<target_id:string,target_path:string,why:string,dependency_kind:string>>, "
     "provenance struct<source_hash:string,input_hash:string,model:string,schema_version:int,generated_at:timestamp>"
 )
 FOLDER_CARD = (
     "folder_id string, summary string, responsibility string, retrieval_tags array<string>, key_entrypoints array<string>, "
     "provenance struct<source_hash:string,input_hash:string,model:string,schema_version:int,generated_at:timestamp>"
 )
+#: Importers that a file's card lists.
+USED_BY = 64
 REPO_CARD = FOLDER_CARD.replace("folder_id", "repo_root").replace("responsibility", "overview").replace("key_entrypoints", "entrypoints")
 
 
@@ -173,20 +178,41 @@ class Engine:
             return self.spark.createDataFrame([], "record_id string, ordinal int, token string, weight double, embedding array<float>")
         return late_vectors(late_tokens(rows), self.embedder).withColumn("ordinal", F.col("ordinal").cast("int"))
 
-    def file_cards(self, files: DataFrame, symbols: DataFrame) -> DataFrame:
-        """A card for each file: everything but the summary follows from the facts."""
-        names = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", "name", "qualified_name"))).alias("s"))
-        rows = files.join(names, "file_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<start_line:int,name:string,qualified_name:string>>")))
+    def file_cards(self, files: DataFrame, symbols: DataFrame, every: DataFrame | None = None) -> DataFrame:
+        """A card for each of `files`: everything but the summary follows from the facts. Importers are looked up in `every`
+        file (default: the same)."""
+        item = "symbol_id:string,name:string,qualified_name:string,kind:string,signature:string"
+        names = symbols.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_line", *(x.split(":")[0] for x in item.split(","))))).alias("s"))
+        edges = (files if every is None else every).select("file_id", "path", F.explode("imports").alias("i")).filter("i.resolved_file_id IS NOT NULL")
+        w = Window.partitionBy("to").orderBy("file_id")
+        used = edges.select(F.col("i.resolved_file_id").alias("to"), "file_id", "path", F.col("i.module").alias("module")).dropDuplicates(["to", "file_id"])
+        # a file that a third of all import lists its first importers only; the rank limit works before anything is gathered
+        used = used.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= USED_BY)
+        shown = F.struct(F.col("file_id").alias("target_id"), F.col("path").alias("target_path"), F.format_string("%s imports %s via %s.", "path", "to", "module").alias("why"), F.lit("imported_by").alias("dependency_kind"))
+        used = used.groupBy(F.col("to").alias("file_id")).agg(F.array_sort(F.collect_list(shown)).alias("used"))
+        empty_used = F.array().cast("array<struct<target_id:string,target_path:string,why:string,dependency_kind:string>>")
+        rows = files.join(names, "file_id", "left").join(used, "file_id", "left").withColumn("s", F.coalesce("s", F.array().cast(f"array<struct<start_line:int,{item}>>"))).withColumn("used", F.coalesce("used", empty_used))
         short, full = F.transform("s", lambda x: x["name"]), F.transform("s", lambda x: x["qualified_name"])
         prompt = F.to_json(F.struct("path", "language", F.slice(full, 1, 24).alias("names"), F.transform("snippets", lambda x: x["text"]).alias("snippets")))
-        rows = summarise_column(rows.select("file_id", "path", "name", "language", "source_hash", "imports", prompt.alias("prompt"), short.alias("short"), full.alias("full")), "prompt", self.enricher)
+        rows = summarise_column(rows.select("file_id", "path", "name", "language", "source_hash", "imports", "s", "used", prompt.alias("prompt"), short.alias("short"), full.alias("full")), "prompt", self.enricher)
         tags = F.concat(F.array(F.lit("entity:file"), F.concat(F.lit("language:"), "language"), F.concat(F.lit("path:"), F.replace("path", F.lit("/"), F.lit("-")))), F.transform("short", lambda x: F.concat(F.lit("symbol:"), x)))
         targets = F.filter(F.transform("imports", lambda x: x["resolved_file_id"]), lambda x: x.isNotNull())
         none = F.array().cast("array<string>")
+        why = lambda x: F.struct(
+            x["resolved_file_id"].alias("target_id"), x["resolved_file_id"].alias("target_path"), F.concat(F.lit("resolved internal import "), x["module"]).alias("why"), F.lit("imports").alias("dependency_kind")
+        )
+        important = lambda x: F.struct(x["symbol_id"].alias("symbol_id"), x["name"].alias("name"), x["kind"].alias("role"), x["signature"].alias("behavior"))
+        structure = [
+            clean_strings(F.flatten(F.transform("s", lambda x: F.array(x["name"], x["qualified_name"]))), 32).alias("key_entities"),
+            clean_strings(F.transform(F.filter("imports", lambda x: ~x["is_internal"]), lambda x: x["module"]), 24).alias("external_systems"),
+            F.transform(F.slice("s", 1, 24), important).alias("important_symbols"),
+            F.array_distinct(F.transform(F.filter("imports", lambda x: x["resolved_file_id"].isNotNull()), why)).alias("imports_interpreted"),
+            F.col("used").alias("used_by_interpreted"),
+        ]
         return rows.select(
             "file_id", "summary", F.concat("language", F.lit(" source file")).alias("role"), none.alias("primary_behaviors"), none.alias("behavior_intents"), none.alias("edit_intents"),
             sanitize_tags(tags, 32).alias("retrieval_tags"), F.lit("unknown").alias("ownership_kind"), none.alias("owns_behaviors"), F.array_distinct(targets).alias("delegates_to"),
-            F.slice(F.array_distinct(F.concat(F.array("path", "name"), "full")), 1, 32).alias("search_phrases"),
+            F.slice(F.array_distinct(F.concat(F.array("path", "name"), "full")), 1, 32).alias("search_phrases"), *structure,
             F.struct(F.col("source_hash"), F.sha2("prompt", 256).alias("input_hash"), F.lit(self.enricher.name).alias("model"), F.lit(1).alias("schema_version"), F.current_timestamp().alias("generated_at")).alias("provenance"),
         )
 
@@ -366,7 +392,7 @@ class Engine:
         if not ids:
             return {"enriched": 0}
         some = t["files"].filter(F.col("file_id").isin(ids))
-        fresh = self.file_cards(some, t["symbols"])
+        fresh = self.file_cards(some, t["symbols"].join(some.select("file_id"), "file_id", "left_semi"), t["files"])
         with self.store.commit() as v:
             v.write("file_cards", D.delete_by_key(t["file_cards"], some.select("file_id"), "file_id").unionByName(fresh))
             made = v.reread("file_cards")

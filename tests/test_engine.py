@@ -242,6 +242,12 @@ def test_summaries_rollups_prune_and_repair(spark, repo, tmp_path):
     told = {k: r["generated_summary"] for k, r in chunks.items() if r["summary_source"] == "llm"}
     assert told and all(v == f"Says what {k} does in {chunks[k]['path']}" for k, v in told.items())
     assert all(r["generated_summary"] is None for r in chunks.values() if r["summary_source"] in ("docstring", "doc_comment"))
+    card = engine.store.read("file_cards").filter("file_id = 'src/config/env.py'").first()
+    assert [u["target_id"] for u in card["used_by_interpreted"]] == ["src/auth/middleware.py"] and "get_env_api_key" in card["key_entities"]
+    card = engine.store.read("file_cards").filter("file_id = 'src/auth/middleware.py'").first()
+    assert [i["target_path"] for i in card["imports_interpreted"]] == card["delegates_to"] == ["src/config/env.py"] and card["important_symbols"][0]["name"] == "verify_token"
+    record = engine.store.read("semantic_records").filter("record_id = 'semantic:file_card:src/auth/middleware.py'").first()
+    assert "imports: src/config/env.py -> resolved internal import" in record["content"]
     # a parent folder's card is made from the cards of its child folders
     cards = {r["folder_id"]: r for r in engine.store.read("folder_cards").collect()}
     assert set(cards) == {r[0] for r in engine.store.read("folders").select("folder_id").collect()}
