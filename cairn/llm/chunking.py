@@ -101,7 +101,7 @@ def _pieces(batches):
             if code is not None:
                 lines = split_lines(code)
             else:
-                lines = split_lines(doc or "")[lo - 1 : hi]
+                lines = split_lines(doc or "")
                 lines += [""] * (hi - lo + 1 - len(lines))
             for k, (a, b) in enumerate(cut_lines(lines)):
                 for name, v in zip(out, (cid, k, a + 1, b, b - a, "\n".join(lines[a:b]))):
@@ -142,9 +142,11 @@ def split_chunks(chunks: DataFrame, documents: DataFrame, most: int = MAX_LINES)
     bare = checkpoint(long.filter("code IS NULL"))
     wanted = broadcast_if_small(bare.select("key").filter("key IS NOT NULL").distinct())
     docs = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.max("doc").alias("doc"))
+    # only the chunk's lines of its document go to Python, not the document once for each of its chunks
+    part = F.array_join(F.slice(F.split("doc", "\n"), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
     rows = (
         long.filter("code IS NOT NULL").withColumn("doc", F.lit(None).cast("string"))
-        .unionByName(bare.join(docs, "key", "left"))
+        .unionByName(bare.join(docs, "key", "left").withColumn("doc", part))
         .select("chunk_id", "code", "start_line", "end_line", "doc")
     )
     return rows.mapInArrow(_pieces, _PIECES)

@@ -135,6 +135,32 @@ def p5_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ndcg(fused_ranking(table(spark, sf_dir, "candidate_evidence")), table(spark, sf_dir, "rank_labels"))
 
 
+def min_max_ranking(df: DataFrame, scores: dict = EVIDENCE) -> DataFrame:
+    """(query_id, record_id, rank) by the weighted mean of scores that are stretched to 0..1 in each query, null and NaN 0:
+    what the fused ranking is compared with, and what a score with outliers rules."""
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double") * -s) for c, (s, _) in scores.items()}
+    one = df.filter(F.col("query_id").isNotNull() & F.col("record_id").isNotNull()).groupBy("query_id", "record_id").agg(*[F.max(v).alias(c) for c, v in clean.items()])
+    ends = one.groupBy("query_id").agg(*[f(c).alias(f"{n}_{c}") for c in scores for n, f in (("lo", F.min), ("hi", F.max))])
+    part = lambda c: F.coalesce(F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))), F.lit(0.0))
+    mean = reduce(lambda a, b: a + b, [part(c) * w for c, (_, w) in scores.items()])
+    ranks = group_ranks(one.join(ends, "query_id").select("query_id", "record_id", F.round(-mean, 9).alias("worse")), ["query_id"], ["worse", "record_id"])
+    return ranks.select("query_id", "record_id", (F.col("less") + 1).alias("rank"))
+
+
+def compared(df: DataFrame, labels: DataFrame, scores: dict = EVIDENCE) -> DataFrame:
+    """(ranking, queries, ndcg): the mean nDCG of the fused ranking, of each score alone and of the min-max mean."""
+    rankings = {"fused": fused_ranking(df, scores), "min_max": min_max_ranking(df, scores)} | {c: fused_ranking(df, {c: s}) for c, s in scores.items()}
+    rows = [
+        ndcg(r, labels).agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("ndcg"), 4).alias("ndcg")).select(F.lit(name).alias("ranking"), "queries", "ndcg")
+        for name, r in rankings.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def p5_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared(table(spark, sf_dir, "candidate_evidence"), table(spark, sf_dir, "rank_labels"))
+
+
 def _bad_sql() -> str:
     worst = lambda c, s: f"min(CASE WHEN {c} IS NULL OR {c}::VARCHAR = 'nan' THEN 'inf'::DOUBLE ELSE {s} * {c}::DOUBLE END) AS {c}"
     cols = ", ".join(worst(c, s) for c, (s, _) in EVIDENCE.items())
@@ -170,4 +196,4 @@ SELECT x.query_id, x.record_id FROM b x WHERE NOT EXISTS (
     NOT (x.fts_rank <= y.fts_rank AND x.dense_rank <= y.dense_rank AND x.exact_score <= y.exact_score AND x.graph_score <= y.graph_score)
     OR (x.fts_rank = y.fts_rank AND x.dense_rank = y.dense_rank AND x.exact_score = y.exact_score AND x.graph_score = y.graph_score)))"""
 }
-QUERIES = {"p5_found": p5_found, "p5_ranking": p5_ranking, "p5_ndcg": p5_ndcg}
+QUERIES = {"p5_found": p5_found, "p5_ranking": p5_ranking, "p5_ndcg": p5_ndcg, "p5_compared": p5_compared}

@@ -235,3 +235,18 @@ def test_ndcg(spark):
     ranking = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "query_id long, record_id string, rank long")
     labels = spark.createDataFrame([(1, "a", 0), (1, "c", 3), (1, "c", 3), (2, "a", 0)], "query_id long, record_id string, grade int")
     assert [(r[0], r[2]) for r in fusion.ndcg(ranking, labels).collect()] == [(1, round(1 / math.log2(3), 6))]
+
+
+def test_the_fused_ranking_is_not_ruled_by_a_range(spark):
+    """One score with an outlier of a million times the others' range; labels follow the mean rank of all four."""
+    random.seed(3)
+    rows, labels = [], []
+    for i in range(40):
+        a, b, c, d = (random.random() for _ in range(4))
+        rows.append((1, f"r{i:02}", -a, int(1000 * (1 - b)), c, d * (1e9 if i == 7 else 1.0)))
+        labels.append((1, f"r{i:02}", int(min(3, (a + b + c + d)))))
+    df = spark.createDataFrame(rows, "query_id long, record_id string, fts_rank double, dense_rank int, exact_score double, graph_score double")
+    got = {r["ranking"]: r["ndcg"] for r in fusion.compared(df, spark.createDataFrame(labels, "query_id long, record_id string, grade int")).collect()}
+    assert set(got) == {"fused", "min_max", *fusion.EVIDENCE} and got["fused"] >= max(got[c] for c in fusion.EVIDENCE) and got["fused"] >= got["min_max"]
+    ranks = {r["record_id"]: r["rank"] for r in fusion.min_max_ranking(df).collect()}
+    assert sorted(ranks.values()) == list(range(1, 41)) and fusion.min_max_ranking(df.limit(0)).collect() == []
