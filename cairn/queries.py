@@ -7,7 +7,7 @@ import importlib
 #: Modules with QUERIES (name -> callable) and SQL (name -> text), in the order of registration.
 MODULES = [
     f"cairn.operators.{m}"
-    for m in ("incremental", "references", "bm25", "dense", "scoring", "graph", "textops", "records", "delta", "reports", "read", "interpret")
+    for m in ("incremental", "references", "bm25", "dense", "scoring", "graph", "textops", "records", "delta", "reports", "read", "interpret", "lookups")
 ] + ["cairn.plans.search"]
 
 QUERIES: dict = {}
