@@ -29,6 +29,17 @@ def spark(tmp_path_factory):
     return session
 
 
+@pytest.fixture()
+def as_in_production(spark):
+    """The session with adaptive execution and whole-stage code, which the others do without to save time."""
+    keys = ("spark.sql.adaptive.enabled", "spark.sql.codegen.wholeStage")
+    for k in keys:
+        spark.conf.set(k, "true")
+    yield spark
+    for k in keys:
+        spark.conf.set(k, "false")
+
+
 SMALL = "/root/testdata/sf0.001"
 
 

@@ -69,7 +69,6 @@ def test_import_resolution(spark):
 
 
 def test_index_search_enrich_and_update(spark, repo, tmp_path):
-    """The short run; the long one below takes minutes."""
     engine = Engine(spark, str(tmp_path / "store"), str(repo), Config(primary="fts"), HashEmbedder(), log=str(tmp_path / "log"))
     with pytest.raises(NotReady):
         engine.search("token")
@@ -115,7 +114,6 @@ def test_an_update_embeds_only_what_changed(spark, repo, tmp_path):
     assert stats["n"] == len(after) and engine.store.read("postings").select("id").distinct().count() == len(after)
 
 
-@pytest.mark.skipif(not os.environ.get("CAIRN_FULL_TESTS"), reason="takes minutes; set CAIRN_FULL_TESTS=1")
 def test_life_of_an_index(spark, repo, tmp_path):
     engine = Engine(spark, str(tmp_path / "store"), str(repo), Config(), HashEmbedder(), log=str(tmp_path / "log"), lock=str(tmp_path / "lock"))
     with pytest.raises(NotReady):

@@ -11,8 +11,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_query(spark, oracle, name):
-    df = queries.QUERIES[name](spark, SMALL)
+def test_query(as_in_production, oracle, name):
+    df = queries.QUERIES[name](as_in_production, SMALL)
     rows = df.collect()
     if name in queries.SQL:
         columns, expected = oracle(queries.SQL[name])
