@@ -173,8 +173,6 @@ SKELETONS = {
 
 # ------------------------------------------------------------------------------------------ lexing into rows
 _INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
-#: A macro's arguments are any tokens: their pairs do not count.
-_MACRO = re.compile(r"N!N?[(\[{][^()\[\]{}]*[)\]}]|" + _INNER.pattern)
 _LAYOUT = re.compile(r"\$.", re.S)
 _NOT_BRACKET = re.compile(r"[^()\[\]{}]+")
 _PAIR = re.compile(r"\(\)|\[\]|\{\}")
@@ -182,25 +180,27 @@ _MATCH = {"(": ")", "[": "]", "{": "}"}
 _decoded: dict[str, str] = {}
 
 
-def _collapse(s: str, pairs: set, clean, inner: re.Pattern = _INNER) -> str:
-    """`s` with every bracket group as one operand; the pairs inside the groups go into `pairs`."""
+def _collapse(s: str, pairs: set, clean, statements: set | None = None, sign: str = "", block: str | None = None) -> str:
+    """`s` with every bracket group as one operand; the pairs inside the groups go into `pairs`. With `statements` the
+    skeleton of each brace group goes there: `block` in front of what is a block for sure, else `sign`."""
 
     def group(m: re.Match) -> str:
         g = m.group()
-        if g[0] == "N":
-            head = g[: 3 if g[2] == "N" else 2]
-            g = g[len(head) :]
-            if ERROR in g:
-                pairs.add(ERROR + ERROR)
-            return head + (_GROUP_OF[g[0]] if g[-1] == _MATCH[g[0]] else ERROR)
         inside = clean(g)
         pairs.update(map(add, inside, inside[1:]))
+        if statements is not None and g[0] == "{":
+            at = m.start()
+            while at and s[at - 1] == "$":
+                at -= 1
+            code = g[1:-1].replace("$", "")
+            statements.add((block if block and at and s[at - 1] in _TS_BLOCK else sign) + code)
         return _GROUP_OF[g[0]] if g[-1] == _MATCH[g[0]] else ERROR
 
     while True:
-        s, n = inner.subn(group, s)
+        done, n = _INNER.subn(group, s)
         if not n:
             return s
+        s = done
 
 
 def _without_macros(s: str) -> str:
@@ -219,24 +219,6 @@ def _without_macros(s: str) -> str:
     return "".join([*out, s[at:]])
 
 
-def _blocks(s: str, sign: str, block: str | None = None) -> set[str]:
-    """The skeletons of the top level of `s` and of each brace group: `block` in front of what is a block for sure and of
-    the top level, else `sign`."""
-    out, plain = set(), block is None
-
-    def group(m: re.Match) -> str:
-        g, at = m.group(), m.start()
-        if g[0] == "{":
-            out.add((sign if plain or not at or m.string[at - 1] not in _TS_BLOCK else block) + g[1:-1])
-        return _GROUP_OF[g[0]]
-
-    n = 1
-    while n:
-        s, n = _INNER.subn(group, s)
-    out.add((block or sign) + s)
-    return out
-
-
 def _decode(pairs: set) -> set:
     out = set()
     for p in pairs:
@@ -315,20 +297,26 @@ def _rust_rows(text: str):
     s = rust_classes(text)
     pairs: set = set()
     marks = [b for line in s.split("\n") for b in _open_brackets(line)]
-    flat = _collapse(s.replace("\n", ""), pairs, lambda g: "" if "$" in g else g, _MACRO)
+    if ERROR in s:
+        marks.append(ERROR)
+    s, statements = _without_macros(s.replace("\n", "")), set()
+    flat = _collapse(s, pairs, lambda g: "" if "$" in g else g, statements, "r")
+    statements |= {"R" + flat, "r" + flat}
     whole = START + flat + END
     pairs.update(map(add, whole, whole[1:]))
-    return _decode(pairs), {"R" + flat} | _blocks(_without_macros(s.replace("\n", "")), "r"), marks
+    return _decode(pairs), statements, marks
 
 
 def _typescript_rows(text: str):
     s = typescript_classes(text)
     pairs: set = set()
     marks = [b for line in s.split("$") for b in _open_brackets(line)]
-    flat = _collapse(s, pairs, lambda g: g)
+    statements: set = set()
+    flat = _collapse(s, pairs, lambda g: g, statements, "t", "b")
+    statements |= {"T" + flat, "b" + flat.replace("$", "")}
     whole = START + flat.strip("$") + END
     pairs.update(map(add, whole, whole[1:]))
-    return _decode(pairs), {"T" + flat} | _blocks(s.replace("$", ""), "t", "b"), marks
+    return _decode(pairs), statements, marks
 
 
 ROWS_OF = {"py": _python_rows, "rs": _rust_rows, "ts": _typescript_rows}
