@@ -132,7 +132,7 @@ def _python_productions() -> re.Pattern:
 
 _PY_LINE = _python_productions()
 _RS_ITEM = (
-    r"(?:[cYxX0]*+FN[^③;]*①[^③;]*[③;]|c?[SE]N[^③;]*[③;]|x?I[^③;]*③|x?TN[^③;]*[③;]|MN[③;]|U[^;]*;|cu?N:[^;]*;|yN[^;]*;|X0?③|XN[^;]*;"
+    r"(?:[cYxX0]*+FN[^③;]*①[^③;]*[③;]|c?[SE]N[^③;]*[③;]|x?I[^③;]*③|x?TN[^③;]*[③;]|MN[③;]|U[^;:]*;|cu?N:[^;]*;|yN[^;]*;|X0?③|XN[^;]*;"
     r"|k?N(?:kN)*!(?:N?③|N?[①②];))"
 )
 _RS_FILE = re.compile(rf"(?:a|;|[@D]*+P?{_RS_ITEM})*+\Z")
@@ -143,10 +143,16 @@ _TS_BAD = re.compile(
 _RS_STATEMENT = re.compile(
     r"(?:\A|[;③@D])l[^;]*\Z|e(?![③f])|(?:\A|;)[^;fl]*e|f[^③;,J]*(?:[;,]|\Z)|w[^③;]*(?:;|\Z)|h[^③;]*(?:;|\Z)|o(?!③)|FN(?![①<])|FN[^③;]*\Z"
     r"|[N0①②]\*(?:[;,]|\Z)"
+    # a block behind an operand without a head, `in` without `for`, a function without `fn`, `if` or `for` behind a let's operand
+    r"|(?:\A|[;③])[^;③fwrhFIxYvMTSEoeJ|$!]*[①②0]③|(?:\A|[;③])[^;③r$!]*i|PN①|YN|(?:\A|[;③@D])N①j|l[^;③$!]*[N0①②?][fr]"
+)
+_TS_STATEMENT = re.compile(
+    r"(?<![.Q])(?:[fwh][N0!m~nu②③]|r[N0!②③]|t③(?![Kz])|o③(?!w))|(?<!t③)(?<!K③)(?<!K①③)(?<![.Q])z③"
+    # parentheses and a block without a head, `export` of nothing, imports without `from` or `import`
+    r"|(?:\A|[;③])①③|(?<![.Q])P(?:N|DN(?!③))|(?<![.Q])M(?:N,)?③0|(?:\A|;)③i0"
 )
-_TS_STATEMENT = re.compile(r"(?<![.Q])(?:[fwh][N0!m~nu②③]|r[N0!②③]|t③(?![Kz])|o③(?!w))|(?<!t③)(?<!K③)(?<!K①③)(?<![.Q])z③")
 #: In what is a block for sure (a class or an object may have methods of these names).
-_TS_ORDER = re.compile(r"\A[^f]*(?<![.Q])e|(?<!t③)(?<![.Q])K①?③")
+_TS_ORDER = re.compile(r"\A[^f]*(?<![.Q])e|(?<!t③)(?<![.Q])K①?③|(?:\A|[;③])N①(?::[^;③①②=J]*)?③")
 _TS_BLOCK = "①Jeotz"
 _RS_MACRO = re.compile(r"N!N?[(\[{]")
 _BRACKETS = re.compile(r"[()\[\]{}]")
@@ -307,8 +313,12 @@ def _rust_rows(text: str):
     return _decode(pairs), statements, marks
 
 
+#: A keyword behind a dot is a name.
+_TS_PROPERTY = re.compile(r"(?<=[.Q])[vdkxPMRferwohCtKZznuibDTs]")
+
+
 def _typescript_rows(text: str):
-    s = typescript_classes(text)
+    s = _TS_PROPERTY.sub("N", typescript_classes(text)).replace("r(;", "r(0;")  # a loop's start may be empty
     pairs: set = set()
     marks = [b for line in s.split("$") for b in _open_brackets(line)]
     statements: set = set()

@@ -23,7 +23,16 @@ VALID_RS = [
     "impl<'a> A<'a> for B<'a> { const X: u8 = 1; fn f(&mut self) { self.x.await; } }\npub struct S(pub u8);\nenum E { A, B { x: u8 } }\ntrait T { fn f(&self); }\ntype X = Y<u8>;\nstatic mut Z: [u8; 3] = [0; 3];\nmod m;\n",
     "macro_rules! m { ($x:expr, $($y:tt)*) => { $x + 1 } }\nm! { a b c }\n", "#![allow(x)]\n", "const A: fn(u8) -> u8 = |x| x;\nextern \"C\" fn g() {}\n", "// x\n// <<<<<<< a", "fn f() { let s = \"a\n<<<<<<< b\n\"; }\n",
 ]
+VALID_RS += [
+    "fn f() { if a.b() { c() } else if let Some(x) = y { z } while a() > 0 { b(); } match a() { B { x, .. } if x > 0 => { c() } _ => d {}, } }\n",
+    "fn f() -> impl Fn(u8) -> u8 { let g = |x: u8| -> u8 { x }; let s = S { a: 1, ..b() }; unsafe { h(); } async move { k().await } }\n",
+    "impl<F> T for F where F: Fn(u8) -> u8 { pub fn g(&self) where Self: Sized {} }\nstruct P { pub a: u8, pub b: fn(u8) -> u8 }\n",
+    "fn f() { for (i, x) in a.iter().enumerate() { b[i] = x; } let Some(y) = z() else { return; }; let t = if a() { 1 } else { 2 }; let v = for_each(|x| x); 'a: loop { break 'a; } }\n",
+    "macro_rules! m { ($x:ident in $y:expr) => { for $x in $y { $x.f() } } }\nfn f() { v![1, 2]; m!(a in b()); const N: usize = 3; static S: [u8; 2] = [1, 2]; }\n",
+]
 INVALID_RS = [
+    "fn f() { a.len() > 6 { b(); } }", "fn f() { x.is_empty() { b(); } }", "fn f() { x in y.iter() { b(); } }", "impl A { pub g(&self) {} }", "impl A { g(&self) -> u8 { 1 } }", "impl A { pub async g(&self) {} }",
+    "fn f() { let a = b()? if c { d } }",
     "fn f() {", "fn f( -> u8 {}", "fn f() { let x = ; }", "use a::b", "def f(self):\n    pass\n", "export const a = 1;\n", "fn f() {}\n<<<<<<< HEAD\nfn g() {}\n=======\n>>>>>>> x\n", "/// doc only\n", "pub struct A", "fn f() { x y }", "fn f() { \"abc }", "/* open", "# comment\n",
     "fn f() { (] }", "const x = 3;\n",
 ]
@@ -32,7 +41,15 @@ VALID_TS = [
     "export abstract class A<T> extends B implements C {\n  private readonly x: number = 1;\n  static async f(): Promise<void> { await 1; }\n  get y() { return this.x / 2 / 3; }\n  abstract z(): void;\n}\n",
     "export interface I { a: string; b?(x: number): void }\ntype X = A | B & { c: number };\nexport const f = async (x: number): Promise<any> => { return { ...x }; };\nlet a = 1\nlet b = 2\n", "enum E { A = 1, B }\n@dec()\nclass C {}\nexport { E as default };\ndeclare module 'm' { }\n", "a\n  .b()\n  .c();\nx = y as unknown as Z;\n", "// a\n// =======",
 ]
+VALID_TS += [
+    "export default class A<T> { constructor(private x: number) {} f(a: string): a is B { return true; } get [k]() { return 1; } static { g(); } }\nexport = A;\nexport as namespace N;\n",
+    "declare global { interface W { x: number } }\nexport declare global { var y: number; }\nexport const { a, b } = c;\nexport { a as default } from './x';\nimport d, { e } from './y';\nimport './z';\nimport type { F } from './t';\n",
+    "if (a) { b(); } else if (c) { d(); } else { e(); }\nfor (const x of y) { z(x); }\nwhile (a) { b(); }\nswitch (a) { case 1: { b(); break; } default: c(); }\ntry { a(); } catch { b(); } finally { c(); }\ndo { a(); } while (b)\n",
+    "const o = { f(x: number) { return x; }, async g() { await h(); }, 'k'() { return 1; }, [m]: (a) => { n(); } };\nlabel: for (;;) { break label; }\n(function () { a(); })();\n(() => { b(); })();\n",
+    "namespace N { export function f(): void {} }\nabstract class B { abstract g(): void; protected h(): Promise<{ a: number }> { return k(); } }\nfunction over(a: string): void;\nfunction over(a: any) { return a.export.import; }\n",
+]
 INVALID_TS = [
+    "function f() { (a === b) { c(); } }\n", "export f(a: string) { return a; }\n", "export async f() { return 1; }\n", "export A { x = 1; }\n", "import { a } './x';\n", "{ a } from './x';\n", "function f() { g(a) { return 1; } }\n",
     "function f() {", "const x = ;", "def f(self):\n    pass\n", "use crate::a;\npub fn f() {}\n", "from a import b\n", "class A {}\n=======\nclass B {}\n", "const s = \"abc;\n", "`open", "/* open", "f(a b);", "export\n", "import { a } from\n", "x = (1]\n", "# c d\n", "const a = {b: =};\n",
     "export class A {}\n>>>>>>> shelf/sample\nexport class B {}\n", "const a = 1;\n||||||| a/b/c\n", "function f() {}\n<<<<<<< a/'b'\n",
 ]
