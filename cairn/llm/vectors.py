@@ -33,6 +33,8 @@ from cairn.session import broadcast_if_small, checkpoint, table
 
 DIMENSION, NEIGHBOURS, MIN_COSINE = 64, 5, 0.93
 PROBES, WIDTH, OCCUPANCY, SUCCESS = 4, 2.0, 8.0, 0.97
+#: With few tables the pairs of a cluster, which lie alike in the cells, are all lost or all found: never fewer than these.
+LEAST_TABLES = 6
 FULL, BLOCK, SLICE, SEED = 400, 4096, 512, 20240229
 
 
@@ -87,7 +89,7 @@ def index_shape(vectors: int, min_cosine: float) -> tuple[int, int]:
     """(hashes, tables) for so many vectors: see the module's text. Vectors of no relation are at a distance of sqrt(2)."""
     hashes = max(8, math.ceil(math.log(max(1.0, vectors / OCCUPANCY)) / -math.log(same_cell(math.sqrt(2)))))
     success = table_success(hashes, math.sqrt(max(1e-6, 2 - 2 * min_cosine)))
-    return hashes, max(1, math.ceil(math.log(1 - SUCCESS) / math.log(1 - min(max(success, 1e-6), 0.999))))
+    return hashes, max(LEAST_TABLES, math.ceil(math.log(1 - SUCCESS) / math.log(1 - min(max(success, 1e-6), 0.999))))
 
 
 def bucket_keys(v: np.ndarray, hashes: int, tables: int, probes: int) -> np.ndarray:
