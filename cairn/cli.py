@@ -9,8 +9,10 @@ import time
 
 from pyspark.sql import SparkSession
 
+from cairn.operators.reports import card_markdown
 from cairn.plans.engine import Config, Engine
 from cairn.plans.planner import TASKS
+from cairn.providers import ChatEnricher, ChatReranker, Endpoint, EndpointReranker
 from cairn.session import ship_package
 
 
@@ -25,15 +27,21 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(x)
         c.add_argument("--store", required=True)
         c.add_argument("--ignore", action="append", default=[])
-        c.add_argument("--primary", choices=["fts", "dense", "hybrid", "splade"], default="hybrid")
+        c.add_argument("--primary", choices=["fts", "dense", "hybrid", "splade"], default="hybrid", help="splade has no model of its own and searches as hybrid does")
         dense = c.add_mutually_exclusive_group()
         dense.add_argument("--enable-dense", dest="dense", action="store_true", default=None)
         dense.add_argument("--disable-dense", dest="dense", action="store_false")
         c.add_argument("--no-late-interaction", dest="late", action="store_false")
         c.add_argument("--enrich-now", action="store_true")
+        c.add_argument("--chunk-summary-url", help="a chat endpoint that describes code without documentation")
+        c.add_argument("--chunk-summary-model", default="default")
+        c.add_argument("--rerank-url")
+        c.add_argument("--rerank-model", default="default")
+        c.add_argument("--rerank-provider", choices=["rerank", "chat"], default="rerank")
+        c.add_argument("--ensure-fresh", action="store_true", help="bring the index up to date first")
         return c
 
-    for name in ("prepare", "index", "update", "rebuild-semantic", "status", "prewarm"):
+    for name in ("prepare", "index", "update", "rebuild-semantic", "repair", "prune", "status", "prewarm"):
         command(name).add_argument("--query", action="append")
     for name, extra in (("search", ("query",)), ("op", ("task", "query"))):
         c = command(name, *extra)
@@ -51,6 +59,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--max-files", type=int, default=1)
     c = command("cards")
     c.add_argument("--empty", action="store_true")
+    c.add_argument("--markdown", action="store_true", help="a report instead of JSON lines")
     c = command("chunks")
     c.add_argument("--source")
     c.add_argument("--with-code", action="store_true")
@@ -63,10 +72,15 @@ def parser() -> argparse.ArgumentParser:
 
 def run(args: argparse.Namespace, spark: SparkSession, out=sys.stdout) -> None:
     config = Config(primary=args.primary, dense=args.dense, late=args.late, enrich=args.enrich_now, ignores=args.ignore)
-    engine = Engine(spark, args.store, args.root, config, log=f"{args.store}-logs", lock=f"{args.store}.prepare.lock")
+    summariser = ChatEnricher(Endpoint(args.chunk_summary_url), args.chunk_summary_model) if args.chunk_summary_url else None
+    ranker = {"rerank": EndpointReranker, "chat": ChatReranker}[args.rerank_provider]
+    reranker = ranker(Endpoint(args.rerank_url), args.rerank_model) if args.rerank_url else None
+    engine = Engine(spark, args.store, args.root, config, log=f"{args.store}-logs", lock=f"{args.store}.prepare.lock", reranker=reranker, summariser=summariser)
+    if args.ensure_fresh and args.command in ("search", "op", "read", "read-bundle", "cards", "chunks", "status"):
+        engine.update()
     show = lambda df: [print(x, file=out) for x in df.toJSON().toLocalIterator()]
     match args.command:
-        case "prepare" | "index" | "update" | "rebuild-semantic" | "prewarm":
+        case "prepare" | "index" | "update" | "rebuild-semantic" | "repair" | "prune" | "prewarm":
             call = {"prepare": lambda: engine.prepare(args.query), "prewarm": lambda: engine.prewarm(args.query)}
             done = call.get(args.command, getattr(engine, args.command.replace("-", "_"), None))()
             print(json.dumps(done, default=str, indent=2), file=out)
@@ -83,7 +97,8 @@ def run(args: argparse.Namespace, spark: SparkSession, out=sys.stdout) -> None:
         case "enrich":
             print(json.dumps(engine.enrich_once(args.max_files)), file=out)
         case "cards":
-            show(engine.cards(args.empty))
+            rows = engine.cards(args.empty)
+            print(card_markdown(rows, args.empty, args.store), file=out) if args.markdown else show(rows)
         case "chunks":
             show(engine.chunks(args.source, args.with_code))
         case "watch":

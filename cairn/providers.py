@@ -125,15 +125,49 @@ class EndpointEmbedder:
         return [normalised(r["embedding"]) for r in rows]
 
 
+def chat(endpoint: Endpoint, model: str, task: str, content: dict, schema: dict, name: str, tokens: int = 400) -> dict:
+    """The JSON object of a chat endpoint's answer, which is asked to keep to `schema`."""
+    body = {
+        "model": model, "messages": [{"role": "system", "content": task}, {"role": "user", "content": json.dumps(content, ensure_ascii=False)}], "temperature": 0, "max_tokens": tokens,
+        "stream": False, "response_format": {"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": schema}},
+    }
+    return json_from_text(endpoint.post("/v1/chat/completions", body)["choices"][0]["message"]["content"] or "")
+
+
 class ChatEnricher:
     """A chat endpoint that answers {"summary": ...}."""
 
-    def __init__(self, endpoint: Endpoint, model: str):
-        self.endpoint, self.name = endpoint, model
+    TASK = "Say in two or three plain lines what this part of a code base does. Answer with JSON only."
+    SCHEMA = {"type": "object", "properties": {"summary": {"type": "string"}}, "required": ["summary"], "additionalProperties": False}
+
+    def __init__(self, endpoint: Endpoint, model: str, task: str = TASK):
+        self.endpoint, self.name, self.task = endpoint, model, task
 
     def summarise(self, prompt: dict) -> str:
-        body = {"model": self.name, "messages": [{"role": "user", "content": json.dumps(prompt, ensure_ascii=False)}], "temperature": 0}
-        return str(json_from_text(self.endpoint.post("/v1/chat/completions", body)["choices"][0]["message"]["content"]).get("summary", "")).strip()
+        return str(chat(self.endpoint, self.name, self.task, prompt, self.SCHEMA, "summary").get("summary", "")).strip()
+
+
+class ChatReranker:
+    """A chat endpoint that scores the first `limit` documents for a query; missing scores are 0, others go to 0..1."""
+
+    TASK = "Score how well each document answers the query, from 0 to 1. Answer with JSON only."
+    SCHEMA = {
+        "type": "object", "properties": {"scores": {"type": "array", "items": {"type": "object", "properties": {"index": {"type": "integer"}, "score": {"type": "number"}}, "required": ["index", "score"]}}},
+        "required": ["scores"],
+    }
+
+    def __init__(self, endpoint: Endpoint, model: str, limit: int = 20):
+        self.endpoint, self.name, self.limit = endpoint, model, limit
+
+    def rerank(self, query: str, documents: list[str]) -> list[float]:
+        out = [0.0] * len(documents)
+        if documents:
+            content = {"query": query, "documents": [{"index": i, "text": d} for i, d in enumerate(documents[: self.limit])]}
+            answer = chat(self.endpoint, self.name, self.TASK, content, self.SCHEMA, "scores", 1200)
+            for r in answer.get("scores", answer.get("items", [])):
+                if isinstance(r, dict) and 0 <= int(r.get("index", -1)) < len(out):
+                    out[int(r["index"])] = min(max(float(r.get("score", 0.0)), 0.0), 1.0)
+        return out
 
 
 class EndpointReranker:

@@ -10,7 +10,7 @@ from cairn.plans.engine import Config, Engine, NotReady, prepare_lock
 from cairn.operators.reports import card_markdown
 from cairn.plans.progress import Progress, ratio
 from cairn.plans.search import search
-from cairn.providers import ChatEnricher, Endpoint, EndpointEmbedder, EndpointReranker, HashEmbedder, LexicalReranker, json_from_text
+from cairn.providers import ChatEnricher, ChatReranker, Endpoint, EndpointEmbedder, EndpointReranker, HashEmbedder, LexicalReranker, json_from_text
 from cairn.sources.parse import parse_symbols
 from cairn.sources.scan import is_ignored, list_paths, read_repository
 from cairn.store import VersionedStore, upsert
@@ -213,6 +213,10 @@ def test_clients_with_a_fake_server():
     e = Endpoint("http://x/", send=send, pause=0)
     assert EndpointEmbedder(e, "m").embed(["a", "b"]) == [[0.6, 0.8], [0.0, 1.0]]
     assert EndpointReranker(e, "m").rerank("q", ["a", "b"]) == [0.0, 1.0]
+    asked = []
+    scored = Endpoint("http://x", send=lambda url, body, timeout: asked.append(body) or {"choices": [{"message": {"content": '{"scores": [{"index": 1, "score": 7}, {"index": 9, "score": 1}]}'}}]})
+    assert ChatReranker(scored, "m").rerank("q", ["a", "b"]) == [0.0, 1.0] and asked[0]["response_format"]["json_schema"]["strict"]
+    assert ChatReranker(scored, "m").rerank("q", []) == []
     assert ChatEnricher(e, "m").summarise({}) == "ok" and json_from_text("none") == {} and json_from_text("[1]") == {"items": [1]}
 
 
